@@ -46,7 +46,7 @@ class _Sums:
             self.starts.append(self.starts[-1] + found.get(k, 0))
         self.total = self.starts[-1]
         within = F.sum("bytes").over(Window.partitionBy("range").orderBy("digest"))
-        base = F.element_at(F.array(*[F.lit(x) for x in self.starts[:-1]]), F.col("range") + 1)
+        base = F.expr(f"element_at(array({', '.join(f'{x}L' for x in self.starts[:-1])}), range + 1)")  # one constant
         self.groups = cut(groups.select("range", "digest", "bytes", (within + base).alias("upto")))
 
     def range_of(self, at: int) -> int:

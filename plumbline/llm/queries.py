@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
+from plumbline.llm import bpe, chat, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
 from plumbline.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -52,4 +56,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op9_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op7_license_scan, op9_url_filter, op10_sharding)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
+from plumbline.llm import bpe, chat, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -56,4 +60,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op7_license_scan, op9_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op7_license_scan, op8_vector_dedup, op9_url_filter, op10_sharding)}

@@ -1,26 +1,53 @@
-"""A corpus from raw documents to packed sequences: quality rules, quality classifier, near-duplicates, packing."""
+"""From raw documents to packed sequences: quality rules, quality classifier, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of documents; the
+last returns the pieces of the packed sequences.  SQL cannot express the classifier, the sketches and the tokenizer,
+so ORACLE_SQL is None and tests hold each stage against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality_rules
-from plumbline.llm.common import table
+from plumbline.llm import near_dedup, packing, quality_classifier, quality_rules
+from plumbline.llm.common import ensure_checkpoint_dir, table
+from plumbline.llm.queries import tokenizer
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the adaptive quality rules keep."""
+    """Documents that neither the base rule nor a fence of their language and source rejects."""
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant, learnt from labelled raw documents, takes for good ones."""
+    return quality_classifier.filter_documents(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.filter_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pack(docs, packing.PackParams(tokenizer("word_bpe_49k.json")))
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_dedup", near), ("packing", pack)]
+
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet beside the checkpoints and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir()
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{folder}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
-
-
-ORACLE_SQL = None

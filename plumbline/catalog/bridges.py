@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ATTEMPTS = """
 SELECT user_id * 10000 + CAST(FLOOR((rn - 1) / 3.0) AS BIGINT) AS task_id, arm, CAST((rn - 1) % 3 + 1 AS INT) AS attempt_no, output,
-       CASE WHEN user_id % 7 = 0 THEN 'other_task' ELSE 'repository_hard_masked_call' END AS task, 4 AS n_candidates, CAST(user_id % 4 AS INT) AS answer_index,
+       CASE WHEN user_id % 7 = 0 THEN 'other_task' ELSE 'python.hard_masked_direct_call' END AS task, 4 AS n_candidates, CAST(user_id % 4 AS INT) AS answer_index,
        'ns' || CAST(user_id % 5 AS VARCHAR(9)) AS namespace, 'ns' || CAST(user_id % 5 AS VARCHAR(9)) || '::f' || CAST(user_id % 30 AS VARCHAR(9)) AS source
 FROM (SELECT user_id, arm, output, ROW_NUMBER() OVER (PARTITION BY user_id, arm ORDER BY ts, event_id) AS rn
       FROM (SELECT user_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'assisted' END AS arm,

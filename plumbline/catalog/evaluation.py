@@ -28,7 +28,7 @@ def r(c: str, digits: int = 9):
 # Building blocks of the oracles, written without the operators.
 PARSED = f"""(SELECT *, CASE WHEN k BETWEEN 1 AND 4 THEN k - 1 END AS sel FROM (
   SELECT *, TRY_CAST(regexp_extract(trim(output), '^(?:[Cc]andidate\\s*)?(\\d+)\\s*[:.)]?$', 1) AS INT) AS k FROM ({sql(ATTEMPTS)}) a) b)"""
-VERDICTS = f"""(SELECT *, CASE WHEN task <> 'repository_hard_masked_call' THEN 'unsupported_task' WHEN sel IS NULL THEN 'unparseable_selection' WHEN sel <> answer_index THEN 'wrong_selection' ELSE 'ok' END AS why FROM {PARSED} p)"""
+VERDICTS = f"""(SELECT *, CASE WHEN task <> 'python.hard_masked_direct_call' THEN 'unsupported_task' WHEN sel IS NULL THEN 'unparseable_selection' WHEN sel <> answer_index THEN 'wrong_selection' ELSE 'ok' END AS why FROM {PARSED} p)"""
 REPLAYED = f"""(SELECT *, CASE WHEN sel IS NULL THEN 'unparseable_selection' WHEN list_contains(rej, sel) THEN 'rejected_candidate' ELSE why END AS reason FROM (
   SELECT *, coalesce(list(sel) FILTER (WHERE why = 'wrong_selection') OVER w, []) AS rej, coalesce(max(CASE WHEN why = 'ok' THEN 1 ELSE 0 END) OVER w, 0) AS done FROM {VERDICTS} v
   WINDOW w AS (PARTITION BY task_id, arm ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE done = 0)"""

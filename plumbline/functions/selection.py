@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Task families that structured selection supports, and verdict reasons.
-SUPPORTED_TASKS = ("repository_hard_masked_call", "repository_hard_masked_method_call", "repository_hard_masked_cross_file_call")
+SUPPORTED_TASKS = ("python.hard_masked_direct_call", "python.hard_masked_same_class_call", "python.hard_masked_cross_file_call")
 OK, UNSUPPORTED, UNPARSEABLE, REJECTED, WRONG = "ok", "unsupported_task", "unparseable_selection", "rejected_candidate", "wrong_selection"
 
 

@@ -4,13 +4,14 @@ A document's set holds 64-bit hashes of its distinct word 3-shingles.  Its sketc
 truncated logarithm, to base `base`, of the least of exponentially distributed hashes of the set.  Sketches of unions
 are register-wise maxima.  Documents with equal sets are one node from the start, so copies cost one row each.
 
-Nodes that agree in all registers of a band share a bucket.  Pairs are formed from buckets without listing all pairs
-of one: first each node with its bucket's first node; after that only between different components of what is linked
-so far, again by one hub for each bucket while that is less work, and at the end all pairs of nodes whose bucket still
-holds different components.  Thus each pair of a shared bucket is either tested or already connected.  A pair's
-registers (how many are greater, less, equal) and set sizes give the likelihood of each similarity; pairs for which
-`threshold` is too unlikely go, and the rest are verified on their full sets, which are made anew from the texts of
-just these documents.  Two sets at the threshold share no bucket with probability (1 - t^rows)^bands, below 1e-6 here.
+Nodes that agree in all registers of a band share a bucket.  No bucket's pairs are listed.  First each node is tested
+against one hub, the first node of most of its buckets.  Then only buckets that still hold different components are
+looked at, in units of two blocks of at most `block` nodes, each a task's work: a pair of different components, in the
+first band that it shares, stays if its registers (how many are greater, less, equal) and the set sizes leave a
+similarity at the threshold likely enough.  A unit gives back a row for each node with such partners; the full sets of
+just these nodes, made anew from their texts, go to their units, where the pairs are verified until their components
+are joined.  Thus each pair of a shared bucket is tested or already connected.  Two sets at the threshold share no
+bucket with probability (1 - t^rows)^bands, below 1e-6 here.
 
 Cases: a null or blank text has an empty set, is linked with nothing and is its own component; with fewer than three
 words the whole sequence is the one shingle; null ids take part, and a component of null ids alone has a null id and
@@ -40,7 +41,7 @@ class NearParams:
     base: float = 1.02
     rate: float = 20.0
     unlikely: float = 12.0  # log of the likelihood ratio beyond which a pair goes
-    hub_rounds: int = 6
+    block: int = 512
     seed: int = 3
 
     @property
@@ -160,10 +161,10 @@ class _Pairs:
             return cut(self._verified(probable))
         return probable
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, some: DataFrame) -> DataFrame:
+        """(node, set) of the nodes, made from their texts."""
         p = self.p
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        need = cut(self.nodes.join(ends, "node", "left_semi").select("node", "doc_id", "print"))
+        need = cut(self.nodes.join(some, "node", "left_semi").select("node", "doc_id", "print"))
         found = join_small(self.docs, need, self.docs["_id"].eqNullSafe(need["doc_id"]), "inner", 50_000).select("node", "print", "text")
 
         def make(batches):
@@ -175,7 +176,12 @@ class _Pairs:
                     if hashlib.blake2b(s, digest_size=16).digest() == seal.as_py():  # an id may have other texts
                         yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([s], pa.binary())], names=["node", "set"])
 
-        sets = cut(found.mapInArrow(make, "node long, set binary")).dropDuplicates(["node"])
+        return found.mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        p = self.p
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = cut(self.sets(ends))
         side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"s{k}"))
 
         def compare(batches):
@@ -192,6 +198,107 @@ class _Pairs:
 
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
+    def across(self, member: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links between different components of a bucket: enough of them to join what is linked."""
+        p = self.p
+        at = member.join(comps, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
+        opened = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        chunks = F.ceil(F.col("n") / p.block).cast("int")
+        at = at.join(opened, "key").select("key", "band", "node", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("node", F.lit(p.seed)), chunks).cast("int").alias("own"))
+        at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        units = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "comp", "own").join(self.nodes.select("node", "n", "sketch"), "node")
+        unit = ["key", "i", "j"]
+
+        def guess(batches):
+            for key, rows in _groups(batches, unit):
+                if found := _likely_partners(rows, key[1] != key[2], p):
+                    yield _batch([(*key, *r) for r in found], [*unit, "node", "comp", "partners"], "lllll[")
+
+        lists = cut(units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(guess, "key long, i int, j int, node long, comp long, partners array<long>"))
+        if small_enough(lists, 0):
+            return lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        full = lists.join(self.sets(lists.select("node").distinct()), "node")
+
+        def verify(batches):
+            for _, rows in _groups(batches, unit):
+                if found := _join_components(rows, p):
+                    yield _batch(found, ["a", "b"], "ll")
+
+        return cut(full.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, "a long, b long"))
+
+
+def _groups(batches, keys: list[str]):
+    """(key, rows as dicts) of consecutive rows with equal keys."""
+    held, last = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            if (now := tuple(row[k] for k in keys)) != last:
+                if held:
+                    yield last, held
+                held, last = [], now
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _batch(rows, names, kinds):
+    import pyarrow as pa
+
+    types = {"l": pa.int64(), "[": pa.list_(pa.int64())}
+    kind = lambda n, k: pa.int32() if n in ("i", "j") else types[k]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind(n, k)) for c, (n, k) in enumerate(zip(names, kinds, strict=True))], names=names)
+
+
+def _likely_partners(rows: list[dict], two: bool, p: NearParams) -> list[tuple]:
+    """(node, comp, likely partners after it) of a unit's nodes that have or are partners."""
+    import numpy as np
+
+    x = np.frombuffer(b"".join(r["sketch"] for r in rows), "<u2").reshape(len(rows), -1)
+    comp, n, own = (np.array([r[c] for r in rows]) for c in ("comp", "n", "own"))
+    size, band = n.astype(float), rows[0]["band"]
+    partners: dict[int, list[int]] = {}
+    for k in range(len(rows) - 1):
+        at = np.arange(k + 1, len(rows))
+        ok = (comp[at] != comp[k]) & (100 * np.minimum(n[at], n[k]) >= p.threshold * np.maximum(n[at], n[k]))
+        if two:
+            ok &= own[at] != own[k]
+        at = at[ok]
+        if band and len(at):  # pairs that share an earlier band are another unit's
+            same = (x[at, : band * p.rows] == x[k, : band * p.rows]).reshape(len(at), band, p.rows).all(axis=2).any(axis=1)
+            at = at[~same]
+        if len(at):
+            at = at[likely(np.broadcast_to(x[k], (len(at), x.shape[1])), x[at], np.full(len(at), size[k]), size[at], p)]
+        if len(at):
+            partners.setdefault(k, []).extend(rows[j]["node"] for j in at)
+            for j in at:
+                partners.setdefault(int(j), [])
+    return [(rows[k]["node"], rows[k]["comp"], found) for k, found in sorted(partners.items())]
+
+
+def _join_components(rows: list[dict], p: NearParams) -> list[tuple[int, int]]:
+    """Verified links of a unit, none between components that are joined already."""
+    import numpy as np
+
+    sets = {r["node"]: frozenset(np.frombuffer(r["set"], np.uint64).tolist()) for r in rows}
+    comp = {r["node"]: r["comp"] for r in rows}
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    out = []
+    for r in rows:
+        a = r["node"]
+        for b in r["partners"]:
+            if b in sets and (u := find(comp[a])) != (v := find(comp[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= p.threshold * (len(sets[a]) + len(sets[b]) - both):
+                    root[u] = v
+                    out.append((a, b))
+    return out
+
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """doc_id, row, text_hash, n_shingles, component_id, kept, first for each document; first marks one row of each component."""
@@ -199,36 +306,18 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     nodes = cut(rows.where("n_shingles > 0").groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     width = 2 * p.rows
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(p.bands)])
-    member = nodes.select("node", F.explode(keys).alias("key"))
+    member = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     shared = member.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     member = cut(member.join(shared, "key"))  # nodes alone in a bucket are gone
     test = _Pairs(docs, nodes, p)
 
-    tried = cut(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = test.linked(tried)
-    for k in range(p.hub_rounds + 1):
-        comps = components(links, "a", "b")
-        at = member.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        per = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("open"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        at = cut(at.join(per.select("key", "n", "open"), "key"))
-        work = at.groupBy("key").agg(F.max("n").alias("n"), F.max("open").alias("open")).agg(F.sum("n"), F.sum("open") / 2).first()
-        if not work[0]:
-            break
-        last = k == p.hub_rounds or work[1] <= 4 * work[0]
-        if last:
-            x, y = (at.select("key", F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-            new = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-        else:  # another hub for each bucket
-            hubs = at.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("h"))
-            new = at.join(hubs, "key").where("comp <> h.comp").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
-        found = test.linked(new)
-        if last and small_enough(found, 0):
-            break
-        tried, links = cut(tried.unionByName(new)), cut(links.unionByName(found))
-        if last:
-            comps = components(links, "a", "b")
-            break
+    votes = member.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    first_try = votes.groupBy(F.col("node").alias("b")).agg(F.min(F.struct(-F.col("n"), F.col("hub").alias("hub"))).alias("h")).select(F.col("h.hub").alias("a"), "b")
+    links = test.linked(first_try)
+    comps = components(links, "a", "b")
+    more = test.across(member.drop("hub"), comps)
+    if not small_enough(more, 0):
+        comps = components(links.unionByName(more), "a", "b")
 
     of_set = nodes.select("print", "node").join(comps, "node", "left").select("print", F.coalesce("component", "node").alias("comp"))
     placed = rows.select("doc_id", "row", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(of_set, "print", "left")

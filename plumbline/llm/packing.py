@@ -30,40 +30,93 @@ class PackParams:
     end_id: int = 2
     length: int = 4096
     group_tokens: int = 8_000_000
-    cached: int = 400_000  # white-space separated strings whose ids a worker remembers
+    cached: int = 1_000_000  # strings between blanks, and pieces of them, whose ids a worker remembers
     seed: int = 11
 
 
-class _Ids(dict):
-    """Little-endian ids of strings between blanks; the tokenizer drops white space and never looks across it."""
+#: Fixed value: how the vocabulary splits text between blanks (its file's own pattern).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Words:
+    """Little-endian ids of strings between blanks; the tokenizer drops white space and never looks across it.
+
+    Strings not seen lately are split into the tokenizer's own pieces, and the pieces not seen lately go to it in one
+    call, a blank between them: each piece's ids end with one that closes a word.  That is done for plain Latin
+    letters, whose lower-casing is beyond doubt; the tokenizer gets any other string by itself, whole.
+    """
 
     def __init__(self, p: PackParams):
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(p.path), p.cached
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-_loaded: dict[PackParams, _Ids] = {}
+        self.split = regex.compile(SPLIT).findall
+        self.closing = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def alone(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        parts = {}
+        for w in words:
+            if not w.isprintable() or not (w.isascii() or max(w) < "\u0130"):
+                self.known[w] = self.alone(w)
+            elif w.isalpha():
+                parts[w] = (w.lower(),)
+            elif w[:-1].isalpha():
+                parts[w] = (w[:-1].lower(), w[-1])
+            elif "<|" in w:
+                self.known[w] = self.alone(w)
+            else:
+                parts[w] = self.split(w.lower())
+        new = list({q for found in parts.values() for q in found if q not in self.pieces})
+        if new:
+            ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+            ends = [k + 1 for k, i in enumerate(ids) if i in self.closing]
+            if len(ends) == len(new):
+                data, start = array("I", ids).tobytes(), 0
+                for q, end in zip(new, ends, strict=True):
+                    self.pieces[q] = data[4 * start : 4 * end]
+                    start = end
+            else:
+                self.pieces.update((q, self.alone(q)) for q in new)
+        piece = self.pieces.__getitem__
+        for w, found in parts.items():
+            n = len(found)
+            self.known[w] = piece(found[0]) if n == 1 else piece(found[0]) + piece(found[1]) if n == 2 else b"".join(map(piece, found))
+
+    def ids(self, words: list[str]) -> bytes:
+        known = self.known
+        if new := set(words).difference(known):
+            self.learn(set(words) if len(known) > self.most else new)
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                known.pop(w, None)
+        return out
+
+
+_loaded: dict[PackParams, Words] = {}
 
 
 def id_blocks(text: str, p: PackParams) -> Iterator[bytes]:
     """The document's ids, in blocks, with the end id."""
     if p not in _loaded:
-        _loaded[p] = _Ids(p)
-    known, words = _loaded[p], text.replace("\n", " ").split(" ")
+        _loaded[p] = Words(p)
+    if text.isascii() and "<|" not in text:
+        text = text.lower()  # as the tokenizer does; fewer strings to learn
+    words = text.replace("\n", " ").split(" ")
     for k in range(0, len(words), 65536):
-        yield b"".join(map(known.__getitem__, words[k : k + 65536]))
+        yield _loaded[p].ids(words[k : k + 65536])
     yield array("I", [p.end_id]).tobytes()
 
 

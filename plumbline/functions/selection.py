@@ -10,17 +10,22 @@ SUPPORTED_TASKS = ("python.hard_masked_direct_call", "python.hard_masked_same_cl
 OK, UNSUPPORTED, UNPARSEABLE, REJECTED, WRONG = "ok", "unsupported_task", "unparseable_selection", "rejected_candidate", "wrong_selection"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def candidate_index(output: Column, n_candidates: Column) -> Column:
     """The 0-based index that a text names by its 1-based number, or null."""
-    digits = F.regexp_extract(F.trim(output), r"(?i)\A(?:candidate\s*)?(\d+)\s*[:.)]?\z", 1)
+    digits = F.regexp_extract(stripped(output), r"(?i)\A(?:candidate\s*)?(\d+)\s*[:.)]?\z", 1)
     value = digits.try_cast("int")
     return F.when(value.between(1, n_candidates), value - 1)
 
 
 def unfenced(text: Column) -> Column:
     """The inside of one code fence that begins a text, else the trimmed text."""
-    inner = F.regexp_extract(F.trim(text), "(?s)\\A```[^\\n]*\\n(.*)```", 1)
-    return F.when(F.length(F.trim(inner)) > 0, F.trim(inner)).otherwise(F.trim(text))
+    inner = stripped(F.regexp_extract(stripped(text), "(?s)\\A```[^\\n]*\\n(.*)```", 1))
+    return F.when(F.length(inner) > 0, inner).otherwise(stripped(text))
 
 
 def selection_reason(task: Column, selected: Column, answer: Column) -> Column:

@@ -145,4 +145,6 @@ def filter_documents(docs: DataFrame, known: DataFrame, labels: DataFrame, p: Qd
     rows = known.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("quality", vector(F.col("text")).alias("v")).select("quality", "v.*")
     model = fit(rows, p)
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(body, vector(F.col("text")).alias("_v")).select("_row", "_v.*").where(model.score() >= p.threshold).select("_row.*")
+    # the row number keeps the filter from being pushed below, where it would measure the text for each use
+    rows = docs.select(body, vector(F.col("text")).alias("_v"), F.monotonically_increasing_id().alias("_row_no")).select("_row", "_row_no", "_v.*")
+    return rows.where((model.score() >= p.threshold) & (F.col("_row_no") >= 0)).select("_row.*")

@@ -71,7 +71,8 @@ def measures(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     of_lines = lambda xs: F.struct(F.size(xs).alias("n"), (F.size(xs) - F.size(F.array_distinct(xs))).alias("d"))
     of_words = lambda ws: F.struct(F.size(ws).alias("n"), repeat_words(ws, p.window).alias("r"), F.length(F.array_join(ws, "")).alias("c"))
-    out = docs.withColumns({"_w": let(words_of(F.col("text")), of_words), "_l": let(lines, of_lines)})
+    # the row number keeps filters above from being pushed below, where each would measure the text again
+    out = docs.withColumns({"_w": let(words_of(F.col("text")), of_words), "_l": let(lines, of_lines), "_row_no": F.monotonically_increasing_id()})
     whole = lambda a, b, k: F.expr(f"CASE WHEN {b} > 0 THEN ({k} * {a}) DIV {b} ELSE 0L END")
     out = out.withColumns({
         "n_words": F.col("_w.n").cast("long"), "word_chars": F.col("_w.c").cast("long"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
@@ -142,7 +143,7 @@ def quality_rules(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     """Base counts and the verdict `kept` for each document, without its text."""
     narrow = docs.select("doc_id", "text", "lang", "source")
     names = sorted({*p.above, *p.below})
-    measured = cut(measures(narrow, p).drop("text"))
+    measured = cut(measures(narrow, p).drop("text", "_row_no"))
     return judge(measured, cut(fences(sketches(measured, names), p)), p)
 
 
@@ -152,6 +153,6 @@ def filter_documents(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame
     The fences are found in a first pass; the second measures each text again, so that no text is shuffled.
     """
     names = sorted({*p.above, *p.below})
-    limits = cut(fences(sketches(measures(docs.select("text", "lang", "source"), p).drop("text"), names), p))
+    limits = cut(fences(sketches(measures(docs.select("text", "lang", "source"), p).drop("text", "_row_no"), names), p))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return judge(measures(docs.select(body, "text", "lang", "source"), p), limits, p).where("kept").select("_row.*")
+    return judge(measures(docs.select(body, "text", "lang", "source"), p), limits, p).where("kept AND _row_no >= 0").select("_row.*")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import pools as N
 from plumbline.operators import tasks as T
 from plumbline.sources import files as S
 
@@ -265,3 +266,70 @@ def _(spark, d):
 def _(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id")
     return T.ordered_join(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 <> 0"), ["source"], "doc_id")
+
+
+@register("ext10_definition_decisions", f"SELECT namespace, path, fn || k AS name, CASE fn WHEN 'f' THEN 0 WHEN 'g' THEN 1 WHEN 'h' THEN 2 ELSE 3 END AS answer_index, 4 AS candidates FROM {FUNCS} f")
+def _(spark, d):
+    return T.definition_decisions(S.symbols(facts(spark, d))).select("namespace", "path", "name", "answer_index", F.size("candidates").alias("candidates"))
+
+
+@register("ext11_nested_calls", f"SELECT namespace, path, 'g' || k AS caller, 'f' || k AS target FROM {GOOD} g")
+def _(spark, d):
+    x = facts(spark, d)
+    return T.single_target_callers(S.symbols(x), S.calls(x, nested=True))
+
+
+def contexts(spark, d):
+    x = facts(spark, d)
+    e = T.single_target_callers(S.symbols(x), S.calls(x)).join(files(spark, d), ["namespace", "path"])
+    return S.masked(e).withColumn("task", F.when(F.length("path") % 2 == 0, "python.hard_masked_direct_call").otherwise("other"))
+
+
+@register("ext12_single_site", f"SELECT namespace, path, 2 AS n_args FROM {GOOD} g WHERE length(path) % 2 = 0")
+def _(spark, d):
+    c = contexts(spark, d)
+    return T.single_site(c, S.call_sites(c.select("context")), ("python.hard_masked_direct_call",)).select("namespace", "path", "n_args")
+
+
+@register("cen6_argument_counts", f"SELECT 2 AS n_args, count(*) AS n FROM {GOOD} g WHERE length(path) % 2 = 0")
+def _(spark, d):
+    c = contexts(spark, d)
+    return T.counts(T.single_site(c, S.call_sites(c.select("context")), ("python.hard_masked_direct_call",)), "n_args")
+
+
+@register("cen5_decisions_per_file", f"SELECT namespace, path, 1 AS n FROM {GOOD} g")
+def _(spark, d):
+    return T.counts(edges(spark, d)[0], "namespace", "path")
+
+
+# Members of pools from the documents: a task for each source, renderings are texts, every third document doesn't bind.
+POOL = "(SELECT source AS task_id, sha256(text) AS h, doc_id % 3 <> 1 AS binds, doc_id = min(doc_id) OVER (PARTITION BY source) AS target FROM documents)"
+PER = f"(SELECT task_id, h, count(*) AS n, bool_or(binds) AS binds, bool_or(target) AS target FROM {POOL} p GROUP BY 1, 2)"
+CENSUS = f"(SELECT task_id, CAST(sum(n) AS BIGINT) AS members, count(*) AS distinct_n, count(*) FILTER (WHERE binds) AS bindable, coalesce(bool_or(target AND binds), false) AS target_binds, coalesce(max(n) FILTER (WHERE target), 0) = 1 AS uniq FROM {PER} x GROUP BY task_id)"
+
+
+def members(spark, d):
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    first = x.groupBy("source").agg(F.min("doc_id").alias("first"))
+    return x.join(first, "source").select(F.col("source").alias("task_id"), F.lit("repository").alias("level"), F.sha2("text", 256).alias("rendering_hash"), (F.col("doc_id") % 3 != 1).alias("bindable"), (F.col("doc_id") == F.col("first")).alias("is_target"))
+
+
+@register("cen2_pool_census", f"SELECT task_id, members, distinct_n, bindable, target_binds, uniq FROM {CENSUS} c")
+def _(spark, d):
+    return N.pool_census(members(spark, d)).select("task_id", "members", F.col("distinct").alias("distinct_n"), "bindable", "target_binds", F.col("unique").alias("uniq"))
+
+
+@register("cen1_reposed", f"SELECT task_id, 5 AS candidates, 1 AS targets FROM {CENSUS} c WHERE target_binds AND uniq AND bindable >= 5")
+def _(spark, d):
+    return N.repose(members(spark, d), 5).groupBy("task_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_target").alias("targets"))
+
+
+@register("cen7_distribution", f"SELECT count(*) AS tasks, round(avg(bindable), 9) AS mean, quantile_cont(bindable, 0.5) AS median, max(bindable) AS most, avg(CAST(bindable = 0 AS INT)) AS none FROM {CENSUS} c")
+def _(spark, d):
+    return N.distribution(N.pool_census(members(spark, d)), "bindable").withColumn("mean", F.round("mean", 9))
+
+
+@register("cen8_neighbourhood_report", """SELECT lang AS namespace, source AS variant, count(*) AS tasks, count(*) FILTER (WHERE doc_id % 3 = 0) AS recalled, sum(doc_id % 4) / 4 AS uniform, count(*) FILTER (WHERE n_chars <= 1500) AS within FROM documents GROUP BY GROUPING SETS ((lang, source), (source))""")
+def _(spark, d):
+    x = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("namespace"), F.col("source").alias("variant"), (F.col("doc_id") % 3 == 0).alias("recalled"), (F.col("doc_id") % 4 / 4).alias("uniform"), F.col("n_chars").alias("size"))
+    return N.neighbourhood_report(x, 1500)

@@ -19,3 +19,41 @@ def predicate_census(members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("survivors") < F.col("pool")).alias("any_veto"), F.avg("survivors").alias("mean_survivors"),
         F.sum(1 / F.col("pool")).alias("uniform"), F.sum(after).alias("predicate_uniform"), F.sum("vetoed").alias("vetoed_truths"),
     )
+
+
+def pool_census(members: DataFrame, body_chars: int = 768) -> DataFrame:
+    """For each task and level: members, distinct renderings, those that bind, whether the target is among them and unique.
+
+    members: task_id, level, rendering_hash, bindable, is_target.  Renderings are deduplicated by grouping first.
+    """
+    per = members.groupBy("task_id", "level", "rendering_hash").agg(F.count(F.lit(1)).alias("n"), F.bool_or("bindable").alias("bindable"), F.bool_or("is_target").alias("target"))
+    g = per.groupBy("task_id", "level").agg(
+        F.sum("n").alias("members"), F.count(F.lit(1)).alias("distinct"), F.count_if("bindable").alias("bindable"), F.coalesce(F.bool_or(F.col("target") & F.col("bindable")), F.lit(False)).alias("target_binds"),
+        F.coalesce(F.max(F.when(F.col("target"), F.col("n"))), F.lit(0)).alias("like_target"),
+    )
+    return g.withColumn("unique", F.col("like_target") == 1).withColumn("uniform", F.when(F.col("bindable") > 0, 1 / F.col("bindable")).otherwise(F.lit(0.0)))
+
+
+def repose(members: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
+    """Tasks posed anew over their complete bindable pool, or the target and k - 1 others, in seeded order.
+
+    Tasks whose target does not bind, shares its rendering, or whose pool is smaller than k have no rows.
+    """
+    from plumbline.operators.tasks import choose
+
+    census = pool_census(members).where("target_binds AND unique").select("task_id", "level", F.col("bindable").alias("size"))
+    kept = census.where(F.col("size") >= k) if k else census
+    one = members.where("bindable").groupBy("task_id", "level", "rendering_hash").agg(F.bool_or("is_target").alias("is_target"))
+    pool = one.join(kept, ["task_id", "level"]).withColumn("sym", F.col("rendering_hash"))
+    return choose(pool, k or 2**31 - 1, seed)
+
+
+def distribution(census: DataFrame, column: str, *keys: str) -> DataFrame:
+    """Mean, median and largest value of a census column, and the share of tasks with none."""
+    return census.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("most"), F.avg((F.col(column) == 0).cast("int")).alias("none"))
+
+
+def neighbourhood_report(census: DataFrame, budget: int = 32) -> DataFrame:
+    """Recall, its chance and pools within the budget, by namespace and variant and by variant alone (namespace null)."""
+    parts = census.groupingSets([["namespace", "variant"], ["variant"]], "namespace", "variant")
+    return parts.agg(F.count(F.lit(1)).alias("tasks"), F.count_if("recalled").alias("recalled"), F.sum("uniform").alias("uniform"), F.count_if(F.col("size") <= budget).alias("within"))

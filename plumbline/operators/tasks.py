@@ -215,3 +215,23 @@ def ordered_join(left: DataFrame, right: DataFrame, keys: list[str], order: str)
     a = left.withColumn("nth", n).withColumnsRenamed({c: f"l_{c}" for c in left.columns if c not in keys})
     b = right.withColumn("nth", n).withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys})
     return a.join(b, [*keys, "nth"], "full_outer")
+
+
+def definition_decisions(symbols: DataFrame) -> DataFrame:
+    """One decision for each function of a file with two or more: all the file's signatures, and which is its own."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*FILE))
+    rows = symbols.withColumn("_n", n).where("_n > 1").drop("_n")
+    files = rows.groupBy(*FILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "signature"))), lambda x: x["signature"]).alias("candidates"))
+    return rows.select(*FILE, "ordinal", "name").join(files, FILE).withColumn("answer_index", F.col("ordinal"))
+
+
+def single_site(contexts: DataFrame, sites: DataFrame, tasks: tuple) -> DataFrame:
+    """Decisions of supported families with exactly one masked call, and its number of arguments."""
+    x = contexts.withColumn("context_hash", F.sha2("context", 256)).join(sites, "context_hash").where((F.size("shapes") == 1) & F.col("task").isin(*tasks))
+    s = F.get("shapes", F.lit(0))
+    return x.withColumn("n_args", s["positional"] + F.size(s["keywords"]))
+
+
+def counts(decisions: DataFrame, *keys: str) -> DataFrame:
+    """Decisions of each key, largest first."""
+    return decisions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys)

@@ -254,7 +254,7 @@ def _(spark, d):
     return P.recommendation_states(_outcomes(spark, d), _recs(spark, d))
 
 
-@register("agg18_excess", f"SELECT namespace, count(*) AS n, sum(CAST(a_ok AS INT)) AS hits, round(sum(1.0 / a_attempts), 6) AS expected, round(avg(CAST(a_ok AS INT) - 1.0 / a_attempts), 9) AS excess FROM {PR} p GROUP BY namespace")
+@register("agg18_excess", f"SELECT namespace, count(*) AS n, CAST(sum(CAST(a_ok AS INT)) AS BIGINT) AS hits, round(sum(1.0 / a_attempts), 6) AS expected, round(avg(CAST(a_ok AS INT) - 1.0 / a_attempts), 9) AS excess FROM {PR} p GROUP BY namespace")
 def _(spark, d):
     return P.excess(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), "namespace").select("namespace", "n", "hits", r("expected", 6), r("excess"))
 
@@ -267,7 +267,7 @@ def _(spark, d):
 GRID = [0.2, 0.35, 0.55, 0.75, 0.95]
 
 
-@register("agg21_threshold_sweep", f"""SELECT threshold, successes, row_number() OVER (ORDER BY successes DESC, threshold DESC) = 1 AS best FROM (
+@register("agg21_threshold_sweep", f"""SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(successes AS BIGINT) AS successes, row_number() OVER (ORDER BY successes DESC, threshold DESC) = 1 AS best FROM (
   SELECT threshold, sum(CAST(CASE WHEN confidence >= threshold THEN a_ok ELSE b_ok END AS INT)) AS successes FROM {PR} p, (SELECT unnest({GRID}) AS threshold) g GROUP BY threshold) s""")
 def _(spark, d):
     return P.threshold_sweep(view(spark, d, PAIRS), GRID)

@@ -291,7 +291,7 @@ def _(spark, d):
     return T.single_site(c, S.call_sites(c.select("context")), ("python.hard_masked_direct_call",)).select("namespace", "path", "n_args")
 
 
-@register("cen6_argument_counts", f"SELECT 2 AS n_args, count(*) AS n FROM {GOOD} g WHERE length(path) % 2 = 0")
+@register("cen6_argument_counts", f"SELECT 2 AS n_args, count(*) AS n FROM {GOOD} g WHERE length(path) % 2 = 0 HAVING count(*) > 0")
 def _(spark, d):
     c = contexts(spark, d)
     return T.counts(T.single_site(c, S.call_sites(c.select("context")), ("python.hard_masked_direct_call",)), "n_args")

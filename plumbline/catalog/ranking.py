@@ -109,7 +109,7 @@ def _(spark, d):
     return R.pool_bins(R.target_ranks(scored(spark, d)), [48, 55]).withColumn("expected", F.round("expected", 6))
 
 
-@register("agg22_coverage_curve", f"""SELECT share, min(upto) AS answered, round(arg_min(hits / upto, upto), 9) AS accuracy FROM (SELECT share, total, count(*) OVER (PARTITION BY share ORDER BY margin DESC RANGE UNBOUNDED PRECEDING) AS upto,
+@register("agg22_coverage_curve", f"""SELECT CAST(share AS DOUBLE) AS share, min(upto) AS answered, round(arg_min(hits / upto, upto), 9) AS accuracy FROM (SELECT share, total, count(*) OVER (PARTITION BY share ORDER BY margin DESC RANGE UNBOUNDED PRECEDING) AS upto,
   sum(CAST(hit AS INT)) OVER (PARTITION BY share ORDER BY margin DESC RANGE UNBOUNDED PRECEDING) AS hits FROM (SELECT *, count(*) OVER (PARTITION BY share) AS total FROM (
   SELECT task_id, round(max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2), 6) AS margin, bool_or(is_target AND rank = 1) AS hit FROM {RANKED} r GROUP BY task_id) m, (SELECT unnest([0.2, 0.5, 1.0]) AS share) g) t) x
   WHERE upto >= ceil(share * total) GROUP BY share""")

@@ -170,7 +170,7 @@ def _(spark, d):
 CORPUS = f"(SELECT p_brand AS corpus, mask AS task, p_partkey, binds, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand, mask) AS truth FROM {BINDS} b JOIN part USING (p_partkey))"
 
 
-@register("cen4_predicate_census", f"""SELECT corpus, count(*) AS tasks, count(*) FILTER (WHERE survivors < pool) AS any_veto, round(avg(survivors), 9) AS mean_survivors, round(sum(1.0 / pool), 6) AS uniform, round(sum(CASE WHEN survivors > 0 THEN 1.0 / survivors ELSE 0 END), 6) AS predicate_uniform, sum(vetoed) AS vetoed_truths
+@register("cen4_predicate_census", f"""SELECT corpus, count(*) AS tasks, count(*) FILTER (WHERE survivors < pool) AS any_veto, round(avg(survivors), 9) AS mean_survivors, round(sum(1.0 / pool), 6) AS uniform, round(sum(CASE WHEN survivors > 0 THEN 1.0 / survivors ELSE 0 END), 6) AS predicate_uniform, CAST(sum(vetoed) AS BIGINT) AS vetoed_truths
   FROM (SELECT corpus, task, count(*) AS pool, count(*) FILTER (WHERE binds) AS survivors, count(*) FILTER (WHERE truth AND NOT binds) AS vetoed FROM {CORPUS} c GROUP BY corpus, task) t GROUP BY corpus""")
 def _(spark, d):
     from plumbline.operators.pools import predicate_census

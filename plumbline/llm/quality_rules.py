@@ -98,7 +98,8 @@ def sketch_value(b: str) -> str:
 
 def sketches(measured: DataFrame, names: list[str]) -> DataFrame:
     """Mergeable sketches: a count for each (lang, source, measure, bin) over documents with a word."""
-    stacked = measured.where("n_words > 0").select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("measure", "x"))
+    some = "n_words > 0 AND _row_no >= 0" if "_row_no" in measured.columns else "n_words > 0"  # as in measures()
+    stacked = measured.where(some).select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("measure", "x"))
     return stacked.groupBy("lang", "source", "measure", F.expr(sketch_bin("x")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,6 +154,6 @@ def filter_documents(docs: DataFrame, p: RuleParams = RuleParams()) -> DataFrame
     The fences are found in a first pass; the second measures each text again, so that no text is shuffled.
     """
     names = sorted({*p.above, *p.below})
-    limits = cut(fences(sketches(measures(docs.select("text", "lang", "source"), p).drop("text", "_row_no"), names), p))
+    limits = cut(fences(sketches(measures(docs.select("text", "lang", "source"), p).drop("text"), names), p))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     return judge(measures(docs.select(body, "text", "lang", "source"), p), limits, p).where("kept AND _row_no >= 0").select("_row.*")

@@ -75,11 +75,10 @@ def lexical(judged: DataFrame) -> DataFrame:
     })
 
 
-def suffix_statistics(labelled: DataFrame, p: UrlParams) -> DataFrame:
-    """For each suffix: how many labelled URLs, and their smoothed share of blocks."""
+def suffix_statistics(labelled: DataFrame, mean: float, p: UrlParams) -> DataFrame:
+    """For each suffix: how many labelled URLs, and their share of blocks, smoothed towards the mean."""
     by = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
-    whole = by.agg((F.sum("blocked") / F.sum("n")).alias("mean"))
-    return by.crossJoin(F.broadcast(whole)).select("suffix", F.log1p("n").alias("suffix_n"), ((F.col("blocked") + p.prior * F.col("mean")) / (F.col("n") + p.prior)).alias("suffix_block"))
+    return by.select("suffix", F.log1p("n").alias("suffix_n"), ((F.col("blocked") + p.prior * mean) / (F.col("n") + p.prior)).alias("suffix_block"))
 
 
 def judge_urls(pages: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
@@ -95,11 +94,12 @@ def judge_urls(pages: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
     out = ["page_id", "host", "path", "rule"]
     if len(counts) < 2:
         return rows.select(*out, F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    stats = cut(suffix_statistics(labelled, p))
+    mean = counts[1.0] / sum(counts.values())
+    stats = cut(suffix_statistics(labelled, mean, p))
     known = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
     def vectors(df: DataFrame) -> DataFrame:
-        joined = join_small(df, stats, "suffix", "left").fillna({"suffix_n": 0.0, "suffix_block": counts[1.0] / sum(counts.values())})
+        joined = join_small(df, stats, "suffix", "left").fillna({"suffix_n": 0.0, "suffix_block": mean})
         return known.transform(joined)
 
     part = min(1.0, p.train_rows / sum(counts.values()))

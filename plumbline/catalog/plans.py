@@ -103,7 +103,7 @@ def _(spark, d):
     return x.select("task_id", F.col("shift").cast("long").alias("shift"), F.get("order", F.lit(1)).cast("int").alias("second"), G.shown_position(F.lit(1), F.col("shift"), F.lit(3)).alias("shown"))
 
 
-SCORES = "SELECT l_orderkey AS task_id, l_linenumber AS plan_idx, l_linenumber % 3 AS cand_idx, CAST(l_suppkey % 4 AS BIGINT) AS shift, -(CAST(l_quantity AS BIGINT) % 5) / 1.0 AS log_probability, CAST(1 + l_partkey % 3 AS BIGINT) AS tokens FROM {lineitem} WHERE l_orderkey < 100000000"
+SCORES = "SELECT l_orderkey AS task_id, l_linenumber AS plan_idx, l_linenumber % 3 AS cand_idx, CAST(l_suppkey % 4 AS BIGINT) AS shift, -(CAST(l_quantity AS BIGINT) % 5) / 1.0 AS log_probability, CAST(1 + l_partkey % 3 AS BIGINT) AS tokens FROM {lineitem}"
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, plan_idx) AS rank FROM (SELECT task_id, plan_idx, cand_idx, round(avg(log_probability / tokens), 9) AS score FROM ({sql(SCORES)}) s GROUP BY 1, 2, 3) x)"
 
 

@@ -301,7 +301,7 @@ def _join_components(rows: list[dict], p: NearParams) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """doc_id, row, text_hash, n_shingles, component_id, kept, first for each document; first marks one row of each component."""
+    """doc_id, row, text_hash, n_shingles, component_id, kept, first, comp for each document; first marks one row of each component, comp numbers it."""
     rows = cut(sketches(docs, p))
     nodes = cut(rows.where("n_shingles > 0").groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     width = 2 * p.rows
@@ -324,15 +324,40 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     placed = cut(placed.select("doc_id", "row", "text_hash", "n_shingles", F.coalesce("comp", F.col("row")).alias("comp")))
     least = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("m"))
     out = placed.join(least, "comp")
-    return out.select("doc_id", "row", "text_hash", "n_shingles", F.col("m.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("m.doc_id")).alias("kept"), (F.col("row") == F.col("m.row")).alias("first"))
+    return out.select("doc_id", "row", "text_hash", "n_shingles", F.col("m.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("m.doc_id")).alias("kept"), (F.col("row") == F.col("m.row")).alias("first"), "comp")
 
 
-def filter_documents(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
+def _texts(docs: DataFrame, p: NearParams) -> DataFrame:
+    """_id, _hash, comp, row, stays, n of the texts; rows that repeat an id and its text are one."""
+    return cut(near_duplicates(docs, p).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("comp").alias("comp"), F.min("row").alias("row"), F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
+
+
+def _both(one: DataFrame, two: DataFrame) -> DataFrame:
+    """one, its components joined where two links them: texts that either links, directly or over others, are together.
+
+    A component of one is an even node, one of two an odd node, and a text is an edge; texts alone in both need none.
+    """
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
+    at = two.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), (2 * F.col("comp") + 1).alias("v"))
+    pairs = cut(one.join(at, same).select((2 * F.col("comp")).alias("u"), "v").distinct())
+    many = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(c)
+    links = pairs.join(many("u"), "u", "left_semi").unionByName(pairs.join(many("v"), "v", "left_semi").select("u", "v"))
+    comps = cut(components(links, "u", "v").where("node % 2 = 0").select(F.expr("node DIV 2").alias("comp"), F.col("component").alias("whole")))
+    texts = cut(join_small(one, comps, "comp", "left", 100_000).withColumn("comp", F.coalesce("whole", 2 * F.col("comp"))).drop("whole", "stays"))
+    least = texts.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "row")).alias("m"))
+    return cut(texts.join(least, "comp").select("_id", "_hash", "comp", "row", (F.col("row") == F.col("m.row")).alias("stays"), "n"))
+
+
+def filter_documents(docs: DataFrame, *rules: NearParams) -> DataFrame:
     """One document of each component, with its own columns; rows that repeat an id and its text stay once.
 
+    With several rules, what any of them links is together.
     What goes is taken out by id and text hash; few are broadcast, many are joined by shuffling.
     """
-    by = cut(near_duplicates(docs, p).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
+    one, *others = rules or (NearParams(),)
+    by = _texts(docs, one)
+    for p in others:
+        by = _both(by, _texts(docs, p))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(body, "doc_id", F.xxhash64("text").alias("text_hash"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))

@@ -328,8 +328,9 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 
 
 def _texts(docs: DataFrame, p: NearParams) -> DataFrame:
-    """_id, _hash, comp, row, stays, n of the texts; rows that repeat an id and its text are one."""
-    return cut(near_duplicates(docs, p).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("comp").alias("comp"), F.min("row").alias("row"), F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
+    """_id, _hash, comp, row, stays, n of the texts with words; rows that repeat an id and its text are one."""
+    some = near_duplicates(docs, p).where("n_shingles > 0")
+    return cut(some.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("comp").alias("comp"), F.min("row").alias("row"), F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
 
 
 def _both(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -351,7 +352,7 @@ def _both(one: DataFrame, two: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, *rules: NearParams) -> DataFrame:
     """One document of each component, with its own columns; rows that repeat an id and its text stay once.
 
-    With several rules, what any of them links is together.
+    With several rules, what any of them links is together.  Rows without words are linked with nothing and all stay.
     What goes is taken out by id and text hash; few are broadcast, many are joined by shuffling.
     """
     one, *others = rules or (NearParams(),)

@@ -1,6 +1,7 @@
 """Queries and operators on rows that a cut would lose."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from plumbline.catalog import plans
@@ -35,3 +36,9 @@ def test_near_stage_finds_long_and_scattered_edits(spark):
                     label[i] = label[j] = min(label[i], label[j])
     got = corpus_pipeline.near(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(label)) and len(set(label)) == 36
+
+
+def test_near_stage_keeps_rows_without_words(spark):
+    rows = [(None, None), (None, None), (None, " "), (None, " "), (7, ""), (7, ""), (8, None), (None, "a b c d"), (None, "a b c d"), (9, "e f g"), (9, "e f g")]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, got)) == Counter([*rows[:8], rows[9]])

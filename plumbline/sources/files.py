@@ -25,7 +25,7 @@ def scan(spark: SparkSession, root: str, excluded: tuple = EXCLUDED) -> DataFram
     return kept.select(F.get(parts, F.lit(0)).alias("namespace"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("path"), F.col("content").alias("raw")).select("namespace", "path", F.try_validate_utf8(F.col("raw").cast("string")).alias("content"))
 
 
-def extract(files: DataFrame, longest: int = 2_000_000) -> DataFrame:
+def extract(files: DataFrame) -> DataFrame:
     """All facts of all files, a row each, tagged by kind; a file that cannot be read gives one row of kind error.
 
     Write the result as a table before deriving several things from it, so that each file is parsed once.
@@ -42,8 +42,8 @@ def extract(files: DataFrame, longest: int = 2_000_000) -> DataFrame:
             rows = []
             for ns, path, text in zip(*(batch.column(c).to_pylist() for c in ("namespace", "path", "content")), strict=True):
                 try:
-                    if text is None or len(text) > longest:
-                        raise ValueError("undecodable" if text is None else "too long")
+                    if text is None:
+                        raise ValueError("undecodable")
                     rows += [{"namespace": ns, "path": path, **r} for r in pysource.facts(text)]
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append({"namespace": ns, "path": path, "kind": "error", "error": type(e).__name__})

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from plumbline.catalog import plans
+from plumbline.sources import files
 
 
 def test_rank_plans_of_high_order_keys(spark, tmp_path):
@@ -42,3 +43,11 @@ def test_near_stage_keeps_rows_without_words(spark):
     rows = [(None, None), (None, None), (None, " "), (None, " "), (7, ""), (7, ""), (8, None), (None, "a b c d"), (None, "a b c d"), (9, "e f g"), (9, "e f g")]
     got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter(map(tuple, got)) == Counter([*rows[:8], rows[9]])
+
+
+def test_extract_long_file(spark):
+    text = "def first(a):\n    return a\n\n\n" + "#" * 2_000_000 + "\n\n\ndef last(b):\n    return first(b)\n"
+    facts = files.extract(spark.createDataFrame([("n", "long.py", text), ("n", "bad.py", "def"), ("n", "raw.py", None)], "namespace string, path string, content string")).cache()
+    assert sorted(r.name for r in files.symbols(facts).collect()) == ["first", "last"]
+    assert [(r.caller, r.callee) for r in files.calls(facts).collect()] == [("last", "first")]
+    assert sorted((r.path, r.error) for r in files.quarantine(facts).collect()) == [("bad.py", "SyntaxError"), ("raw.py", "ValueError")]

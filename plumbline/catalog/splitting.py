@@ -155,6 +155,12 @@ def _(spark, d):
     return all_sites.select("p_partkey", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
 
 
+@register("flt2_all_sites_by_group", f"SELECT p_partkey, CAST(mask % 8 AS INT) AS site_group, bool_and(binds) AS bindable FROM {BINDS} b GROUP BY 1, 2")
+def _(spark, d):
+    groups = pairs(spark, d).groupBy("p_partkey", (F.col("mask") % 8).cast("int").alias("site_group")).agg(F.first("p").alias("p"), F.collect_list("s").alias("sites"))
+    return groups.select("p_partkey", "site_group", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
+
+
 @register("flt4_literals", "SELECT item_id, contains(lower(text), 'the an') AS has, NOT contains(text, 'Then') AS hasnot FROM benchmark")
 def _(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", B.requires(F.col("text"), "The An", True).alias("has"), B.rejects(F.col("text"), "Then").alias("hasnot"))

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from plumbline.catalog import plans
+from plumbline.catalog import plans, splitting
 from plumbline.sources import files
 
 
@@ -51,3 +51,13 @@ def test_extract_long_file(spark):
     assert sorted(r.name for r in files.symbols(facts).collect()) == ["first", "last"]
     assert [(r.caller, r.callee) for r in files.calls(facts).collect()] == [("last", "first")]
     assert sorted((r.path, r.error) for r in files.quarantine(facts).collect()) == [("bad.py", "SyntaxError"), ("raw.py", "ValueError")]
+
+
+def test_every_call_shape_is_judged(spark):
+    data = "/root/testdata/sf0.001"
+    shapes = [r.mask % 8 for r in splitting.pairs(spark, data).select("mask").distinct().collect()]
+    got = splitting.QUERIES["flt2_all_sites_by_group"](spark, data).collect()
+    some = {r.p_partkey: r.bindable for r in splitting.QUERIES["flt2_all_sites"](spark, data).collect()}
+    assert {r.site_group for r in got} == set(shapes) and len(set(shapes)) == 8
+    assert {r.p_partkey: r.bindable for r in got if r.site_group == 1} == some
+    assert any(some[r.p_partkey] and not r.bindable for r in got)  # parts that flt2_all_sites alone lets pass

@@ -218,6 +218,30 @@ def _(spark, d):
     return P.required_discordant(li.select((0.5 + F.round("l_discount", 2) * 4).alias("ratio")).distinct(), limit=60).select("ratio", F.col("required").cast("long").alias("required"))
 
 
+# The whole jobs: their numbers are beyond what the SQL of the queries above can search, so they have no oracles.
+@register("agg10_required_discordant_full")
+def _(spark, d):
+    ratios = spark.read.parquet(f"{d}/lineitem.parquet").select((0.5 + F.round("l_discount", 2) * 4).alias("ratio")).where("ratio > 0.5 AND ratio <= 1").distinct()
+    return P.required_discordant(ratios).select("ratio", F.col("required").cast("long").alias("required"))
+
+
+@register("agg4_bootstrap_accuracy_full")
+def _(spark, d):
+    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=1).select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+
+
+@register("agg5_bootstrap_macro_full")
+def _(spark, d):
+    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=2, macro=True).select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+
+
+for _name in BOOT:
+
+    @register(f"agg11_bootstrap_{_name}_full")
+    def _(spark, d, _name=_name):
+        return P.bootstrap_paired(view(spark, d, PAIRS), _name, seed=3, strata=F.col("namespace")).select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+
+
 FAILS = f"""(SELECT o.task_id, namespace, recommendation = answer_index AS good, success, first_reason, last_reason, first_sel = recommendation AS followed, used FROM {OUTCOMES} o JOIN {RECS} q ON o.task_id = q.task_id WHERE arm = 'assisted')"""
 
 

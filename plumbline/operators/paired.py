@@ -30,12 +30,17 @@ def exact_tests(summary: DataFrame) -> DataFrame:
     return summary.withColumns({"mcnemar_p": two_sided_binomial(F.col("assisted_only"), F.col("baseline_only")), "sign_p": two_sided_binomial(F.col("fewer_turns"), F.col("more_turns"))})
 
 
-def required_discordant(ratios: DataFrame, alpha: float = 0.05, limit: int = 200) -> DataFrame:
-    """For each favourable ratio the least number of discordant pairs that is significant (round half to even)."""
-    grid = ratios.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(limit))))
-    wins = F.bround(F.col("n") * F.col("ratio"), 0).cast("int")
-    p = two_sided_binomial(wins, F.col("n") - wins)
-    return grid.withColumn("p", p).groupBy("ratio").agg(F.min(F.when(F.col("p") < alpha, F.col("n"))).alias("required"))
+def required_discordant(ratios: DataFrame, alpha: float = 0.05, limit: int = 10_000) -> DataFrame:
+    """For each favourable ratio the least number of discordant pairs that is significant (round half to even).
+
+    Each ratio is one row, whose search stops computing at the first significant number.
+    """
+
+    def step(found: Column, n: Column) -> Column:
+        wins = F.bround(n * F.col("ratio"), 0).cast("int")
+        return F.when(found.isNotNull(), found).when(two_sided_binomial(wins, n - wins) < alpha, n)
+
+    return ratios.select("ratio").distinct().select("ratio", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.lit(None).cast("int"), step).alias("required"))
 
 
 def accuracy(examples: DataFrame, *keys: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Queries and operators on rows that a cut would lose."""
 
+import math
 import random
 from collections import Counter
 
 import corpus_pipeline
-from plumbline.catalog import plans, splitting
+from plumbline.catalog import evaluation, plans, splitting
 from plumbline.sources import files
 
 
@@ -61,3 +62,21 @@ def test_every_call_shape_is_judged(spark):
     assert {r.site_group for r in got} == set(shapes) and len(set(shapes)) == 8
     assert {r.p_partkey: r.bindable for r in got if r.site_group == 1} == some
     assert any(some[r.p_partkey] and not r.bindable for r in got)  # parts that flt2_all_sites alone lets pass
+
+
+def required(ratio):
+    for n in range(1, 10_001):
+        few = min(k := round(n * ratio), n - k)
+        if 2 * sum(math.comb(n, i) for i in range(few + 1)) / 2**n < 0.05:
+            return n
+
+
+def test_required_discordant_near_one_half(spark):
+    got = {round(r.ratio, 2): r.required for r in evaluation.QUERIES["agg10_required_discordant_full"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k / 100: required(0.5 + 4 * (k - 50) / 400) for k in range(54, 91, 4)}
+
+
+def test_bootstraps_run_5000_replicates(spark):
+    names = ["agg4_bootstrap_accuracy_full", "agg5_bootstrap_macro_full", "agg11_bootstrap_success_rate_delta_full"]
+    got = [evaluation.QUERIES[k](spark, "/root/testdata/sf0.001").first() for k in names]
+    assert all(r.samples == 5000 and r.lower <= r.estimate <= r.upper for r in got)

@@ -251,6 +251,51 @@ def test_license_scan(docs, none, spark):
     assert all(0 <= r.score <= 1 for r in got) and license_scan.scan(none).count() == 0
 
 
+def test_license_notices(spark, none):
+    """The method's labels and score against plain diagonals, on notices whole, changed, in part and among repeats."""
+    rng, p = random.Random(4), license_scan.ScanParams()
+    notice = {label: " ".join(texts) for label, texts in license_scan.NOTICES.items()}
+    gpl, pairs = license_scan.NOTICES["gpl"][0], ["of the", "terms of the", "the license", "and or", "this software"]
+    bare = "this program is free software you can redistribute it and or modify it under the terms of the license"
+    texts = [gpl, *[f"{gpl} {(q + ' ') * n}" for q in pairs for n in (5, 30, 50)], *[f"{(q + ' ') * n}{gpl}" for q in pairs for n in (5, 50)], *[(q + " ") * 60 for q in pairs], bare, "", None]
+    texts += [notice[k].upper() + "." for k in notice] + [f"{'word ' * 30_000}{notice['mit']} {'of the ' * 30_000}"]
+    for k in notice:
+        for lost in (0.02, 0.1, 0.3):
+            texts.append(" ".join(w for w in notice[k].split() if rng.random() > lost))
+            texts.append(" ".join(w if rng.random() > lost / 2 else f"{w} zz" for w in notice[k].split()))
+    rows = [(k, t, "x", 1.0) for k, t in enumerate(texts)]
+
+    def plain(t):
+        ws = re.findall(r"[a-z0-9]+", (t or "").lower())
+        at = defaultdict(list)
+        for k, pair in enumerate(zip(ws, ws[1:], strict=False)):
+            at[pair].append(k)
+        labels, best = set(), 0.0
+        for text, label in license_scan.PHRASES.items():
+            if f" {text} " in f" {' '.join(ws)} ":
+                labels.add(label)
+                best = 1.0
+        for label, said in license_scan.NOTICES.items():
+            for text in said:
+                q = text.split()
+                n = len(q) - 1
+                on = defaultdict(set)
+                for place, pair in enumerate(zip(q, q[1:], strict=False)):
+                    for k in at[pair]:
+                        on[k - place].add(place)
+                cover = max((len(set().union(*(on.get(e, set()) for e in range(d, d + int(p.slack * n) + 1)))) for d in on), default=0) / n
+                if cover >= p.cover:
+                    labels.add(label)
+                    best = max(best, cover)
+        return ",".join(sorted(labels)), round(best, 12)
+
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, label string, cover double"), p).collect()}
+    assert {k: (r.labels, round(r.score, 12)) for k, r in got.items()} == {k: plain(t) for k, t, _, _ in rows}
+    at = {t: got[k] for k, t, _, _ in rows}
+    assert all("gpl" in r.labels for t, r in at.items() if t and gpl in t)
+    assert all(at[(q + " ") * 60].score == 0 and at[(q + " ") * 60].labels == "" for q in pairs)
+
+
 @pytest.mark.parametrize("block", [512, 5])
 def test_vector_dedup(spark, block):
     rng = np.random.default_rng(3)

@@ -4,8 +4,8 @@ A merge can wait for another of higher priority that takes its right symbol, tha
 longest such chain of merges (rank falls, each begins with the symbol that ends the one before) times the longest
 token bounds how far to the right a token can depend on the text: the merge list's sufficient lookahead.  A stretch
 of text that the splitting pattern leaves whole is merged in a buffer of that lookahead plus one block; tokens that
-end a full lookahead before the buffer's end can no longer change, are emitted, and leave the buffer, so memory does
-not grow with the stretch.  Decoding turns ids to bytes block by block and bytes to text by an incremental UTF-8
+end a full lookahead before the buffer's end can no longer change, are emitted, and leave the buffer, so memory beside
+the text itself does not grow with the stretch.  Decoding turns ids to bytes block by block and bytes to text by an incremental UTF-8
 state machine.
 
 Texts go through Spark as Arrow batches; each row stands alone, so no shuffle takes place.
@@ -30,6 +30,12 @@ from pyspark.sql import DataFrame
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
+PART = 1_000_000  # characters of a text whose pieces are listed at once
+
+#: The vocabulary files' settings that this transducer follows, and those that must be unset.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+
 
 @dataclass(frozen=True)
 class BpeParams:
@@ -63,10 +69,15 @@ class Transducer:
 
         with open(p.path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or model["type"] != "BPE" or before != BYTE_LEVEL | {"trim_offsets": before.get("trim_offsets")} or any(model.get(k) for k in PLAIN):
+            raise ValueError(f"{p.path} is no plain byte-level BPE")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{p.path} has added tokens that are not plain strings")
+        vocab = model["vocab"]
         symbols = byte_symbols()
         byte_of = {s: b for b, s in enumerate(symbols)}
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.params, self.pattern = p, regex.compile(SPLIT)
         self.byte_id = [vocab[s] for s in symbols]
         self.rank = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
@@ -78,7 +89,9 @@ class Transducer:
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
         self.names = [str(i) for i in range(len(self.bytes))]
-        self.lookahead = sufficient_lookahead([(vocab[a], vocab[b]) for a, b in pairs], max(map(len, self.bytes)))
+        longest = max(map(len, self.bytes))
+        self.lookahead = sufficient_lookahead([(vocab[a], vocab[b]) for a, b in pairs], longest)
+        self.block = max(p.block, longest)  # so that a full buffer always has a token to emit
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cut = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
         self.known = _Known(self)
@@ -123,7 +136,7 @@ class Transducer:
     def stream(self, data: Iterator[int]) -> Iterator[int]:
         """Tokens of one piece, given byte by byte; memory is the lookahead and a block."""
         held: list[int] = []
-        size = self.lookahead + self.params.block
+        size = self.lookahead + self.block
         while True:
             held += [self.byte_id[b] for b in islice(data, size - len(held))]
             out = self.merge(list(held))
@@ -145,8 +158,8 @@ class Transducer:
                 yield part, True
                 continue
             at = 0
-            while len(part) - at > 1_000_000:
-                found = self.cut.search(part, at + 500_000)
+            while len(part) - at > PART:
+                found = self.cut.search(part, at + PART // 2)
                 if not found:
                     break
                 yield part[at : found.start()], False
@@ -160,9 +173,12 @@ class Transducer:
             if special:
                 yield [self.special[part]]
                 continue
-            pieces = self.pattern.findall(part)
-            for k in range(0, len(pieces), self.params.pieces):
-                yield list(chain.from_iterable(map(self.known.__getitem__, pieces[k : k + self.params.pieces])))
+            if len(part) <= PART:
+                found = iter(self.pattern.findall(part))
+            else:  # no cut in it: its pieces are found as they are needed
+                found = (m.group() for m in self.pattern.finditer(part))
+            while some := list(islice(found, self.params.pieces)):
+                yield list(chain.from_iterable(map(self.known.__getitem__, some)))
 
     def decode(self, blocks: Iterator[list[int]]) -> Iterator[str]:
         """Text from ids; what bytes of a character are still to come waits in the state machine."""

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 @dataclass(frozen=True)
 class ChatTemplate:
     """The marks must begin with `<|`; transitions: state -> role -> next state."""
@@ -91,14 +90,16 @@ def read_chat(formatted: Column, t: ChatTemplate = ChatTemplate()) -> Column:
     return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
 
 
-def loss_text(segs: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segs, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(turns: Column, segs: Column) -> Column:
+    """All text under the loss mask, as read back from the formatted text: turn k's text is segment 3 k + 1."""
+    masked = F.filter(turns, lambda x, k: F.get(segs, 3 * k + 1)["loss"])
+    return F.array_join(F.transform(masked, lambda x: x["text"]), "")
 
 
 def chat_digests(rows: DataFrame, t: ChatTemplate = ChatTemplate()) -> DataFrame:
     """What reading the formatted conversations gives back, as counts and digests."""
-    out = format_chats(rows, t).withColumns({"turns": read_chat(F.col("formatted"), t), "loss": loss_text(F.col("segments"))})
+    out = format_chats(rows, t).withColumn("turns", read_chat(F.col("formatted"), t))
+    out = out.withColumn("loss", loss_text(F.col("turns"), F.col("segments")))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),

@@ -134,7 +134,7 @@ class _Pairs:
     """Tests pairs of nodes: by likelihood on sketches, then exactly on sets."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, p: NearParams):
-        self.docs, self.nodes, self.p = docs.select(F.col("doc_id").alias("_id"), "text"), nodes, p
+        self.docs, self.nodes, self.p = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("at"), "text"), nodes, p
 
     def probable(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches don't rule them out."""
@@ -162,10 +162,10 @@ class _Pairs:
         return probable
 
     def sets(self, some: DataFrame) -> DataFrame:
-        """(node, set) of the nodes, made from their texts."""
+        """(node, set) of the nodes, made from their texts, which id and text hash find, so that null or repeated ids do no harm."""
         p = self.p
-        need = cut(self.nodes.join(some, "node", "left_semi").select("node", "doc_id", "print"))
-        found = join_small(self.docs, need, self.docs["_id"].eqNullSafe(need["doc_id"]), "inner", 50_000).select("node", "print", "text")
+        need = cut(self.nodes.join(some, "node", "left_semi").select("node", F.col("at").alias("_at"), "print"))
+        found = join_small(self.docs, need, self.docs["at"].eqNullSafe(need["_at"]), "inner", 50_000).select("node", "print", "text")
 
         def make(batches):
             import pyarrow as pa
@@ -173,7 +173,7 @@ class _Pairs:
             for b in batches:
                 for node, seal, text in zip(b.column("node"), b.column("print"), b.column("text"), strict=True):
                     s = shingle_set(text.as_py() or "", p).tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() == seal.as_py():  # an id may have other texts
+                    if hashlib.blake2b(s, digest_size=16).digest() == seal.as_py():  # a text hash may have other texts
                         yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([s], pa.binary())], names=["node", "set"])
 
         return found.mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
@@ -276,10 +276,13 @@ def _likely_partners(rows: list[dict], two: bool, p: NearParams) -> list[tuple]:
 
 
 def _join_components(rows: list[dict], p: NearParams) -> list[tuple[int, int]]:
-    """Verified links of a unit, none between components that are joined already."""
+    """Verified links of a unit, none between components that are joined already.
+
+    Sets stay sorted arrays of eight bytes for each shingle; two at a time are compared.
+    """
     import numpy as np
 
-    sets = {r["node"]: frozenset(np.frombuffer(r["set"], np.uint64).tolist()) for r in rows}
+    sets = {r["node"]: np.frombuffer(r["set"], np.uint64) for r in rows}
     comp = {r["node"]: r["comp"] for r in rows}
     root: dict[int, int] = {}
 
@@ -293,7 +296,7 @@ def _join_components(rows: list[dict], p: NearParams) -> list[tuple[int, int]]:
         a = r["node"]
         for b in r["partners"]:
             if b in sets and (u := find(comp[a])) != (v := find(comp[b])):
-                both = len(sets[a] & sets[b])
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if 100 * both >= p.threshold * (len(sets[a]) + len(sets[b]) - both):
                     root[u] = v
                     out.append((a, b))
@@ -303,7 +306,7 @@ def _join_components(rows: list[dict], p: NearParams) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """doc_id, row, text_hash, n_shingles, component_id, kept, first, comp for each document; first marks one row of each component, comp numbers it."""
     rows = cut(sketches(docs, p))
-    nodes = cut(rows.where("n_shingles > 0").groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = cut(rows.where("n_shingles > 0").groupBy("print").agg(F.min("row").alias("node"), F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     width = 2 * p.rows
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(p.bands)])
     member = nodes.select("node", F.posexplode(keys).alias("band", "key"))
@@ -327,38 +330,14 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     return out.select("doc_id", "row", "text_hash", "n_shingles", F.col("m.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("m.doc_id")).alias("kept"), (F.col("row") == F.col("m.row")).alias("first"), "comp")
 
 
-def _texts(docs: DataFrame, p: NearParams) -> DataFrame:
-    """_id, _hash, comp, row, stays, n of the texts with words; rows that repeat an id and its text are one."""
-    some = near_duplicates(docs, p).where("n_shingles > 0")
-    return cut(some.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("comp").alias("comp"), F.min("row").alias("row"), F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
-
-
-def _both(one: DataFrame, two: DataFrame) -> DataFrame:
-    """one, its components joined where two links them: texts that either links, directly or over others, are together.
-
-    A component of one is an even node, one of two an odd node, and a text is an edge; texts alone in both need none.
-    """
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
-    at = two.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), (2 * F.col("comp") + 1).alias("v"))
-    pairs = cut(one.join(at, same).select((2 * F.col("comp")).alias("u"), "v").distinct())
-    many = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(c)
-    links = pairs.join(many("u"), "u", "left_semi").unionByName(pairs.join(many("v"), "v", "left_semi").select("u", "v"))
-    comps = cut(components(links, "u", "v").where("node % 2 = 0").select(F.expr("node DIV 2").alias("comp"), F.col("component").alias("whole")))
-    texts = cut(join_small(one, comps, "comp", "left", 100_000).withColumn("comp", F.coalesce("whole", 2 * F.col("comp"))).drop("whole", "stays"))
-    least = texts.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "row")).alias("m"))
-    return cut(texts.join(least, "comp").select("_id", "_hash", "comp", "row", (F.col("row") == F.col("m.row")).alias("stays"), "n"))
-
-
-def filter_documents(docs: DataFrame, *rules: NearParams) -> DataFrame:
+def filter_documents(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """One document of each component, with its own columns; rows that repeat an id and its text stay once.
 
-    With several rules, what any of them links is together.  Rows without words are linked with nothing and all stay.
-    What goes is taken out by id and text hash; few are broadcast, many are joined by shuffling.
+    Rows without words are linked with nothing and all stay.  What goes is taken out by id and text hash; few are
+    broadcast, many are joined by shuffling.
     """
-    one, *others = rules or (NearParams(),)
-    by = _texts(docs, one)
-    for p in others:
-        by = _both(by, _texts(docs, p))
+    some = near_duplicates(docs, p).where("n_shingles > 0")
+    by = cut(some.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(body, "doc_id", F.xxhash64("text").alias("text_hash"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))

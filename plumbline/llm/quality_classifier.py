@@ -4,7 +4,9 @@ Each document gives a vector of transformed statistics of its whole text.  From
 class, the vectors and their products; the driver gets only these sums (a few hundred numbers), shrinks each class's
 covariance towards the pooled one and towards its diagonal, and factors it once by Cholesky.  The inverse factors and
 log determinants are constants of the scoring expression: a score is the logistic of the difference of the two
-Mahalanobis log-densities plus the log of the class shares.
+Mahalanobis log-densities plus the log of the class shares.  Statistics are logarithms or bounded roots in steps of
+2^-12, and their sums are whole numbers, so that the model does not depend on the order in which rows arrive, or on
+tasks that run again.  Very long texts, and texts that are one long word, thus have statistics like any other.
 
 Label, language, source and id are no inputs of a score.  Rows whose crc32(doc_id) mod 4 is 2 are held out.
 Cases: a null text is an empty one and gets a score from its vector like any other; a null id is not held out and has
@@ -34,6 +36,8 @@ class QdaParams:
     floor: float = 1e-3  # least variance
     threshold: float = 0.7
     least: int = 5
+    step: int = 4096  # parts of one in which the statistics are counted when sums are taken
+    most: float = 32.0  # no statistic is larger
     train_rows: int = 20_000  # labelled rows that filter_documents() learns from, drawn by hash
 
 
@@ -41,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def vector(text: Column) -> Column:
+def vector(text: Column, p: QdaParams = QdaParams()) -> Column:
     """The document's transformed statistics, a struct of doubles."""
     text = F.coalesce(text, F.lit(""))
 
@@ -59,11 +63,12 @@ def vector(text: Column) -> Column:
         w, ls = v["w"], v["l"]
         root = lambda a, b: F.sqrt(F.greatest(a, F.lit(0)) / F.greatest(b, F.lit(1)))
         values = (
-            F.log1p(w["n"].cast("double")), w["c"] / F.greatest(w["n"], F.lit(1)), root(F.regexp_count(text, F.lit(SYMBOLS)), w["c"]), root(ls["d"], ls["n"]), root(w["r"], w["n"]),
+            F.log1p(w["n"].cast("double")), F.log1p(w["c"] / F.greatest(w["n"], F.lit(1))), root(F.regexp_count(text, F.lit(SYMBOLS)), w["c"]), root(ls["d"], ls["n"]), root(w["r"], w["n"]),
             root(F.regexp_count(text, F.lit("\\p{Lu}")), w["c"]), root(F.regexp_count(text, F.lit("[0-9]")), w["c"]), root(gone("!"), w["n"]), root(gone("."), w["n"]),
             root(w["d"], w["n"]), F.log1p((w["c"] / F.greatest(ls["n"], F.lit(1))).cast("double")), root(w["s"], w["n"]),
         )
-        return F.struct(*[x.cast("double").alias(name) for name, x in zip(FEATURES, values, strict=True)])
+        stepped = lambda x: F.round(F.least(x, F.lit(p.most)) * p.step) / p.step
+        return F.struct(*[stepped(x.cast("double")).alias(name) for name, x in zip(FEATURES, values, strict=True)])
 
     return let(F.struct(let(words_of(text), of).alias("w"), let(lines, both).alias("l")), out)
 
@@ -92,9 +97,9 @@ def fit(labelled: DataFrame, p: QdaParams = QdaParams()) -> Qda:
 
     k = len(FEATURES)
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    whole = [f"CAST({f} * {p.step} AS BIGINT)" for f in FEATURES]
     x = labelled.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(
-        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({f})").alias(f"s{i}") for i, f in enumerate(FEATURES)],
-        *[F.expr(f"sum({FEATURES[i]} * {FEATURES[j]})").alias(f"p{i}_{j}") for i, j in pairs],
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({w})").alias(f"s{i}") for i, w in enumerate(whole)], *[F.expr(f"sum({whole[i]} * {whole[j]})").alias(f"p{i}_{j}") for i, j in pairs],
     )
     by = {r["quality"]: r for r in x.collect()}
     n = [by[c]["n"] if c in by else 0 for c in (0, 1)]
@@ -103,10 +108,10 @@ def fit(labelled: DataFrame, p: QdaParams = QdaParams()) -> Qda:
         return Qda((), share)
     means, covs = [], []
     for c in (0, 1):
-        mean = np.array([by[c][f"s{i}"] for i in range(k)]) / n[c]
+        mean = np.array([by[c][f"s{i}"] / p.step for i in range(k)]) / n[c]
         cov = np.zeros((k, k))
         for i, j in pairs:
-            cov[i, j] = cov[j, i] = by[c][f"p{i}_{j}"] / n[c] - mean[i] * mean[j]
+            cov[i, j] = cov[j, i] = by[c][f"p{i}_{j}"] / p.step**2 / n[c] - mean[i] * mean[j]
         means.append(mean)
         covs.append(cov)
     pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
@@ -126,7 +131,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, p: QdaParams = QdaParams()) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    rows = cut(docs.select("doc_id", vector(F.col("text")).alias("v")).select("doc_id", "v.*"))
+    rows = cut(docs.select("doc_id", vector(F.col("text"), p).alias("v")).select("doc_id", "v.*"))
     model = fit(rows.join(training_labels(labels), F.col("doc_id") == F.col("_id")), p)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
 
@@ -142,9 +147,9 @@ def filter_documents(docs: DataFrame, known: DataFrame, labels: DataFrame, p: Qd
     if n > p.train_rows:
         drawn = drawn.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * p.train_rows / n)))
     drawn = drawn.limit(2 * p.train_rows)
-    rows = known.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("quality", vector(F.col("text")).alias("v")).select("quality", "v.*")
+    rows = known.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("quality", vector(F.col("text"), p).alias("v")).select("quality", "v.*")
     model = fit(rows, p)
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     # the row number keeps the filter from being pushed below, where it would measure the text for each use
-    rows = docs.select(body, vector(F.col("text")).alias("_v"), F.monotonically_increasing_id().alias("_row_no")).select("_row", "_row_no", "_v.*")
+    rows = docs.select(body, vector(F.col("text"), p).alias("_v"), F.monotonically_increasing_id().alias("_row_no")).select("_row", "_row_no", "_v.*")
     return rows.where((model.score() >= p.threshold) & (F.col("_row_no") >= 0)).select("_row.*")

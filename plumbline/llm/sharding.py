@@ -2,13 +2,15 @@
 
 Equal texts form one atomic group.  Groups lie in the order of their text's SHA-256; shards are runs of that order.
 The smallest capacity for which a greedy walk needs no more than the given number of shards is found by search over
-the running sums of the group sizes, and the walk at that capacity makes the cuts.  A cut is kept as the digest of
-the first group behind it, so each row finds its shard by comparing digests; nothing is joined to the rows.
+the running sums of the group sizes, and the walk at that capacity makes the cuts.  A cut is kept as a digest prefix
+that begins behind it, so each row finds its shard by comparing digests; nothing is joined to the rows.
 
-The search never gathers all groups.  Sums of 4,096 ranges of digests (a fixed number) give every walk the range in
-which its next cut falls; a job over the groups of those ranges gives the cut itself, for many capacities at once.
-As soon as the groups near the possible cuts are few, they are read (at most `local_groups` numbers) and the search
-ends on the driver.
+The search never gathers all groups.  The driver knows the running sums where digest prefixes begin, at first those
+of four hex digits (at most 65,536 numbers).  At a capacity the walk's cuts then lie between two walks: one that takes
+every cut inside a prefix as early as can be, one that takes it as late as can be.  Both need sums alone, so the
+capacities that may still be the smallest, and the prefixes in which their cuts may fall, are found without a job.  One
+job divides these prefixes further (at most `at_once` of them, into at most `local_groups` parts or, where more are
+needed at once, 16 for each), and the search goes on until each cut falls where a single group stands.
 
 Cases: a null text has size 8, checksum 0 and its own group with empty texts.  Rows that repeat, and null ids, are
 rows like any other.  With fewer groups than shards some shards stay empty.  An empty table gives an empty result.
@@ -17,112 +19,90 @@ A group larger than the mean shard sets the capacity alone; the other groups the
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
 
-RANGES = 4096  # three hex digits of a digest
+DIGITS = 4  # hex digits of the first prefixes
 
 
 @dataclass(frozen=True)
 class ShardParams:
     shards: int = 24
     overhead: int = 8
-    at_once: int = 32
+    at_once: int = 4096
     local_groups: int = 50_000
 
 
 class _Sums:
-    """Running sums of group sizes in digest order, known per range on the driver and per group in Spark."""
-
-    def __init__(self, groups: DataFrame):
-        found = {r["range"]: r["bytes"] for r in groups.groupBy("range").agg(F.sum("bytes").alias("bytes")).collect()}
-        self.starts = [0]
-        for k in range(RANGES):
-            self.starts.append(self.starts[-1] + found.get(k, 0))
-        self.total = self.starts[-1]
-        within = F.sum("bytes").over(Window.partitionBy("range").orderBy("digest"))
-        base = F.expr(f"element_at(array({', '.join(f'{x}L' for x in self.starts[:-1])}), range + 1)")  # one constant
-        self.groups = cut(groups.select("range", "digest", "bytes", (within + base).alias("upto")))
-
-    def range_of(self, at: int) -> int:
-        return min(bisect_right(self.starts, at) - 1, RANGES - 1)
-
-    def last_at_most(self, targets: list[int]) -> dict[int, int]:
-        """For each target the largest running sum that is no larger."""
-        ranges = {t: self.range_of(t) for t in set(targets) if t < self.total}
-        out = {t: self.total if t >= self.total else self.starts[ranges[t]] for t in targets}
-        if ranges:
-            near = self.groups.where(F.col("range").isin(sorted(set(ranges.values()))))
-            order = sorted(ranges)
-            row = near.agg(*[F.max(F.when((F.col("range") == ranges[t]) & (F.col("upto") <= t), F.col("upto"))).alias(f"t{i}") for i, t in enumerate(order)]).first()
-            out |= {t: max(out[t], row[i] or 0) for i, t in enumerate(order)}
-        return out
-
-    def between(self, spans: list[tuple[int, int]], most: int) -> list[int] | None:
-        """All running sums in the spans, or None if they are more than so many."""
-        rows = self.groups.where(F.col("range").isin(sorted({r for a, b in spans for r in range(self.range_of(max(a - 1, 0)), self.range_of(b) + 1)})))  # a sum may end the range before its own value's
-        inside = F.lit(False)
-        for a, b in spans:
-            inside |= F.col("upto").between(a, b)
-        found = rows.where(inside).select("upto").limit(most + 1).collect()
-        return None if len(found) > most else sorted({r["upto"] for r in found})
-
-
-def _walk(sums: _Sums, capacities: list[int], shards: int) -> dict[int, list[int]]:
-    """The greedy cuts of each capacity, as running sums."""
-    at = {c: [0] for c in capacities}
-    for _ in range(shards):
-        going = [c for c in capacities if at[c][-1] < sums.total]
-        if not going:
-            break
-        found = sums.last_at_most([at[c][-1] + c for c in going])
-        for c in going:
-            at[c].append(found[at[c][-1] + c])
-    return at
-
-
-def smallest_capacity(sums: _Sums, largest: int, p: ShardParams) -> list[int]:
+    """Running sums of group sizes where digest prefixes begin; a prefix is divided where a cut may fall inside."""
+
+    def __init__(self, groups: DataFrame, p: ShardParams):
+        self.groups, self.p = groups, p
+        self._keep(self._parts(groups, DIGITS))
+
+    def _parts(self, groups: DataFrame, digits: int) -> list[tuple[str, int, int]]:
+        """(prefix, bytes, number of groups) of each prefix of so many digits."""
+        by = groups.groupBy(F.substring(F.hex("digest"), 1, digits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        return [tuple(r) for r in by.collect()]
+
+    def _keep(self, parts: list[tuple[str, int, int]]) -> None:
+        self.parts = sorted(parts)
+        self.starts = [0, *accumulate(size for _, size, _ in self.parts)]
+        self.total = self.starts.pop()
+
+    def at(self, target: int) -> int:
+        """The part that holds the byte behind the target."""
+        return bisect_right(self.starts, target) - 1
+
+    def walk(self, capacity: int, late: bool) -> list[int]:
+        """The greedy cuts as running sums, none later (late: none earlier) than they are."""
+        cuts = [0]
+        for _ in range(self.p.shards):
+            target = cuts[-1] + capacity
+            if target >= self.total:
+                return [*cuts, self.total]
+            part = self.at(target)
+            cuts.append(target if late and self.parts[part][2] > 1 else self.starts[part])
+        return cuts
+
+    def least(self, low: int, late: bool) -> int:
+        """The smallest capacity from low on that such a walk gets to the end with."""
+        return low + bisect_left(range(low, self.total), True, key=lambda c: self.walk(c, late)[-1] == self.total)
+
+    def unsure(self, first: int, last: int) -> list[int]:
+        """Parts of several groups where a cut may fall for a capacity from first to last."""
+        inside: set[int] = set()
+        for early, late in zip_longest(self.walk(first, False), self.walk(last, True), fillvalue=self.total):
+            if early + first < self.total:
+                inside.update(range(self.at(early + first), self.at(min(late + last, self.total - 1)) + 1))
+        return [k for k in inside if self.parts[k][2] > 1]
+
+    def divide(self, wanted: list[int]) -> None:
+        """Divide the coarsest of these parts, the largest first, as finely as the driver has room for."""
+        digits = min(len(self.parts[k][0]) for k in wanted)
+        some = sorted((k for k in wanted if len(self.parts[k][0]) == digits), key=lambda k: -self.parts[k][1])[: self.p.at_once]
+        room = lambda more: sum(min(self.parts[k][2], 16**more) for k in some)
+        more = max((m for m in range(1, 64 - digits + 1) if room(m) <= self.p.local_groups), default=1)
+        within = F.substring(F.hex("digest"), 1, digits).isin([self.parts[k][0] for k in some])
+        gone = set(some)
+        self._keep([x for k, x in enumerate(self.parts) if k not in gone] + self._parts(self.groups.where(within), digits + more))
+
+
+def smallest_capacity(sums: _Sums, p: ShardParams) -> list[int]:
     """Cuts (running sums, first 0, last the total) of the smallest capacity that p.shards shards suffice for."""
-    low = max(-(-sums.total // p.shards), largest)  # no smaller one can do
-    walks = _walk(sums, [low, low + largest], p.shards)  # a shard that the walk closes is fuller than capacity - largest
-    high = low if walks[low][-1] == sums.total else low + largest
-    while low < high:
-        spans = [(min(a, b), max(a, b)) for a, b in zip(_padded(walks[low], p.shards), _padded(walks[high], p.shards), strict=True)]
-        if (known := sums.between([s for s in spans if s[1] > 0], p.local_groups)) is not None:
-            return _finish(known, sums.total, low, high, p.shards)
-        step = max(1, (high - low) // p.at_once)
-        tries = [c for c in range(low + step, high, step)]
-        walks |= _walk(sums, tries, p.shards)
-        good = [c for c in [*tries, high] if walks[c][-1] == sums.total]
-        high = min(good)
-        low = max([low, *[c for c in tries if c < high]])
-        if high - low == 1:
-            break
-    return walks[high]
-
-
-def _padded(cuts: list[int], shards: int) -> list[int]:
-    return cuts + [cuts[-1]] * (shards + 1 - len(cuts))
-
-
-def _finish(known: list[int], total: int, low: int, high: int, shards: int) -> list[int]:
-    """Binary search over capacities whose cuts all lie among the known running sums."""
-
-    def walk(c: int) -> list[int]:
-        at = [0]
-        while at[-1] < total and len(at) <= shards:
-            at.append(known[bisect_right(known, at[-1] + c) - 1] if at[-1] + c < total else total)
-        return at
-
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if walk(mid)[-1] == total else (mid + 1, high)
-    return walk(high)
+    first = -(-sums.total // p.shards)
+    while True:
+        first = sums.least(first, True)  # no smaller one can do
+        wanted = sums.unsure(first, sums.least(first, False))
+        if not wanted:
+            return sums.walk(first, False)
+        sums.divide(wanted)
 
 
 def sized(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
@@ -135,19 +115,13 @@ def sized(docs: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
 
 
 def cuts_of(rows: DataFrame, p: ShardParams = ShardParams()) -> list[bytes]:
-    """The digest of the first group of each shard but the first."""
-    key = F.conv(F.substring(F.hex("digest"), 1, 3), 16, 10).cast("int")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).select(key.alias("range"), "digest", "bytes")
-    groups = cut(groups)
-    largest = groups.agg(F.max("bytes")).first()[0]
-    if largest is None:
+    """Where each shard but the first begins: no digest of it is smaller, all before it are."""
+    sums = _Sums(cut(rows.groupBy("digest").agg(F.sum("size").alias("bytes"))), p)
+    if not sums.parts:
         return []
-    sums = _Sums(groups)
-    ends = smallest_capacity(sums, largest, p)[1:-1]
-    if not ends:
-        return []
-    found = sums.groups.where((F.col("upto") - F.col("bytes")).isin(ends)).select("digest").collect()
-    return sorted(bytes(r["digest"]) for r in found)
+    cuts = smallest_capacity(sums, p)[1:-1]
+    begin = {start: prefix for start, (prefix, _, _) in zip(sums.starts, sums.parts, strict=True)}
+    return [bytes.fromhex(begin[c] + "0" * (len(begin[c]) % 2)) for c in cuts]
 
 
 def shard_of(digest: Column, cuts: list[bytes]) -> Column:

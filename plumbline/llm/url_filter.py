@@ -3,8 +3,10 @@
 Rules are a short declared list; each URL is held against it in one projection, no join.  The URLs that a rule decides
 are the labelled ones: from a bounded sample of them (`train_rows`, by hash of the URL) Spark ML's boosted trees learn
 from lexical features: length, depth, digit ratio, character entropy, parameter counts, hyphens, and statistics of the
-host's suffix (how many labelled URLs have it, and their smoothed share of blocks; counted over all labelled URLs).
-What the rules name (their very hosts and paths) is no feature.  If the labelled URLs are all of one verdict, or none
+host's suffix (how many labelled URLs have it, and their smoothed share of blocks; counted over all labelled URLs, for
+a row that trains over all others, so that no row's own label is among its features).  What the rules name (their very
+hosts and paths) is no feature.  Labels that are no rules don't exist in these tables: the trees carry the rules'
+verdicts over to URLs that look alike.  If the labelled URLs are all of one verdict, or none
 exists, URLs without a rule are allowed.
 
 Cases: a null URL, or one without `://`, has an empty host and path and fits no rule; rows that repeat are judged
@@ -75,37 +77,53 @@ def lexical(judged: DataFrame) -> DataFrame:
     })
 
 
-def suffix_statistics(labelled: DataFrame, mean: float, p: UrlParams) -> DataFrame:
-    """For each suffix: how many labelled URLs, and their share of blocks, smoothed towards the mean."""
-    by = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
-    return by.select("suffix", F.log1p("n").alias("suffix_n"), ((F.col("blocked") + p.prior * mean) / (F.col("n") + p.prior)).alias("suffix_block"))
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """For each suffix: how many labelled URLs, and how many of them are blocked."""
+    return labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+
+
+def with_suffix(df: DataFrame, counts: DataFrame, mean: float, p: UrlParams, own: Column | None = None) -> DataFrame:
+    """df with how many other labelled URLs its suffix has (log) and their share of blocks, smoothed towards the mean.
+
+    own is the label that a row has in the counts itself and that is taken out, null where it has none.
+    """
+    n, blocked = F.coalesce("n", F.lit(0)), F.coalesce("blocked", F.lit(0.0))
+    if own is not None:
+        n, blocked = n - F.when(own.isNotNull(), 1).otherwise(0), blocked - F.coalesce(own, F.lit(0.0))
+    stats = {"suffix_n": F.log1p(n), "suffix_block": (blocked + p.prior * mean) / (n + p.prior)}
+    return join_small(df, counts, "suffix", "left").withColumns(stats).drop("n", "blocked")
+
+
+def sampled(labelled: DataFrame, n: int, p: UrlParams) -> DataFrame:
+    """About train_rows of n labelled rows, drawn by a hash of the URL."""
+    part = min(1.0, p.train_rows / n)
+    return labelled.where(F.pmod(F.xxhash64("url", F.lit(p.seed)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
 
 
 def judge_urls(pages: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of block) for each page."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     judged = split_url(pages.select("page_id", "url")).withColumn("_r", rule_of(F.col("host"), F.col("path"), p.rules))
     rows = cut(lexical(judged).select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("said"), "suffix", *FEATURES[:-2]))
     labelled = rows.where(F.col("rule").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = ["page_id", "host", "path", "rule"]
-    if len(counts) < 2:
-        return rows.select(*out, F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    mean = counts[1.0] / sum(counts.values())
-    stats = cut(suffix_statistics(labelled, mean, p))
-    known = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    scored = score(rows, labelled, p)
+    verdict = F.coalesce("said", F.when(F.col("score") >= p.block_at, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
-    def vectors(df: DataFrame) -> DataFrame:
-        joined = join_small(df, stats, "suffix", "left").fillna({"suffix_n": 0.0, "suffix_block": mean})
-        return known.transform(joined)
 
-    part = min(1.0, p.train_rows / sum(counts.values()))
-    drawn = F.pmod(F.xxhash64("url", F.lit(p.seed)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))
-    train = vectors(labelled.where(drawn)).select("features", "label").orderBy(F.xxhash64("features", "label")).limit(2 * p.train_rows)
+def score(rows: DataFrame, labelled: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
+    """rows with score, the probability of block by trees learnt from labelled rows; null unless both labels are there."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(found) < 2:
+        return rows.withColumn("score", F.lit(None).cast("double"))
+    n = sum(found.values())
+    mean, counts = found[1.0] / n, cut(suffix_counts(labelled))
+    known = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    train = known.transform(with_suffix(sampled(labelled, n, p), counts, mean, p, F.col("label")))
+    train = train.select("features", "label").orderBy(F.xxhash64("features", "label")).limit(2 * p.train_rows)
     model = GBTClassifier(maxIter=p.trees, maxDepth=p.depth, stepSize=p.learning_rate, seed=p.seed, cacheNodeIds=True).fit(cut(train))
-    scored = model.transform(vectors(rows))
-    block = F.element_at(vector_to_array("probability"), 2)
-    return scored.select(*out, F.coalesce("said", F.when(block >= p.block_at, "block").otherwise("allow")).alias("verdict"), block.alias("score"))
+    scored = model.transform(known.transform(with_suffix(rows, counts, mean, p)))
+    return scored.select(*[scored[c] for c in rows.columns], F.element_at(vector_to_array("probability"), 2).alias("score"))

@@ -10,7 +10,9 @@ precision, and only exact values make links.
 
 Pairs are not rows: a bucket is worked on in blocks of at most `block` vectors, a pair of blocks to a unit, and gives
 back one count for each vector and the edges of a spanning forest.  A pair counts in the first band that it shares.
-Equal vectors of a label are one node with a multiplicity, so copies are never compared.
+Equal vectors of a label are one node with a multiplicity, so copies are never compared; they are told by 128 bits of
+hashes, so that what is grouped and joined are these and not the vectors.  Vectors are scaled by powers of two before
+their squares are taken, so all finite ones are compared, however large or small.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label, link with
 nothing; vectors of different length don't link; null ids take part (a component of null ids alone has a null id and
@@ -56,11 +58,18 @@ def rotations(dim: int, bits: int, bands: int, seed: int):
     return np.vstack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-bits * bands // dim))])
 
 
+def in_range(x):
+    """The rows of x, each times the power of two that brings its largest component near 1, so that no square overflows or vanishes."""
+    import numpy as np
+
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def encode(x, bits: int, bands: int, p: VectorParams):
     """Turned unit vectors, codes (bool), factors per rotation and band keys of the rows of x."""
     import numpy as np
 
-    dim = x.shape[1]
+    dim, x = x.shape[1], in_range(x)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     turned = unit @ rotations(dim, bits, bands, p.seed).T
     code = turned > 0
@@ -100,6 +109,7 @@ def _unit(nodes, counts, x, side, band: int, across: bool, bits: int, bands: int
     """Counts and forest edges of one unit: all pairs of a block, or the pairs between two."""
     import numpy as np
 
+    x = in_range(x)
     turned, code, factors, keys = encode(x, bits, bands, p)
     guess, error = estimates(turned, code, factors)
     maybe = guess + p.sigmas * error[:, None] >= p.threshold
@@ -125,8 +135,9 @@ def near_duplicates(vectors: DataFrame, p: VectorParams = VectorParams()) -> Dat
     sound = F.coalesce(F.size(x) > 0, F.lit(False)) & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
     sound &= F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
     rows = vectors.select("vec_id", F.col("label"), F.when(sound, x).alias("x"), F.monotonically_increasing_id().alias("row"))
-    rows = cut(rows.select("vec_id", "row", F.when(F.col("x").isNotNull(), F.struct("label", "x")).alias("same")))
-    nodes = cut(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")))
+    mark = F.struct("label", F.size("x").alias("dim"), F.xxhash64(F.lit(1), "x").alias("h1"), F.xxhash64(F.lit(2), "x").alias("h2"))
+    rows = cut(rows.select("vec_id", "row", "x", F.when(F.col("x").isNotNull(), mark).alias("same")))
+    nodes = cut(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
     bits, bands = plan_bands(nodes.count(), p)
 
     def keys(batches):
@@ -143,7 +154,7 @@ def near_duplicates(vectors: DataFrame, p: VectorParams = VectorParams()) -> Dat
                 yield pa.RecordBatch.from_arrays([some.column("node"), some.column("label"), some.column("dim"), flat], names=["node", "label", "dim", "keys"])
 
     kind = nodes.schema["same"].dataType["label"].dataType.simpleString()
-    coded = nodes.select("node", "same.label", F.size("same.x").alias("dim"), "same.x").mapInArrow(keys, f"node long, label {kind}, dim int, keys array<long>")
+    coded = nodes.select("node", "same.label", "same.dim", "x").mapInArrow(keys, f"node long, label {kind}, dim int, keys array<long>")
     member = coded.select("node", "label", "dim", F.posexplode("keys").alias("band", "code"))
     at = ["label", "dim", "band", "code"]
     shared = member.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -151,7 +162,7 @@ def near_duplicates(vectors: DataFrame, p: VectorParams = VectorParams()) -> Dat
     member = member.join(shared, at).select("node", "band", F.xxhash64(*at).alias("key"), chunks.alias("chunks"), F.pmod(F.xxhash64("node", F.lit(p.seed)), chunks).cast("int").alias("own"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = member.select("node", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    full = units.join(nodes.select("node", "copies", "same.x"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    full = units.join(nodes.select("node", "copies", "x"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j")
 
     def work(batches):
         import numpy as np
@@ -181,7 +192,7 @@ def near_duplicates(vectors: DataFrame, p: VectorParams = VectorParams()) -> Dat
     comps = components(found.where("b IS NOT NULL"), "a", "b")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     of_node = nodes.join(counts, "node", "left").join(comps, "node", "left").select("same", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("comp"))
-    placed = rows.join(of_node, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "row").alias("comp"))
+    placed = rows.drop("x").join(of_node, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "row").alias("comp"))
     placed = cut(placed)
     least = placed.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
     return placed.join(least, "comp").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

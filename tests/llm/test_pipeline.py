@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def shingles(t):
     ws = (t or "").encode().lower().split()
-    return frozenset(zip(ws, ws[1:], ws[2:])) if len(ws) > 2 else frozenset([tuple(ws)] if ws else [])
+    return frozenset(zip(*[ws[k:] for k in range(5)])) if len(ws) > 4 else frozenset([tuple(ws)] if ws else [])
 
 
 def test_pipeline(spark):
@@ -29,7 +29,7 @@ def test_pipeline(spark):
     good = {r.doc_id for r in quality_classifier.score(docs, labels).collect() if r.predicted} & by_rules
     sets = {i: shingles(text[i]) for i in good}
     label = {i: i for i in good}
-    links = [(i, j) for i in good for j in good if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in good for j in good if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     for _ in good:
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])

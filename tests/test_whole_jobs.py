@@ -1,10 +1,7 @@
 """Queries and operators on rows that a cut would lose."""
 
 import math
-import random
-from collections import Counter
 
-import corpus_pipeline
 from plumbline.catalog import evaluation, plans, splitting
 from plumbline.sources import files
 
@@ -16,36 +13,6 @@ def test_rank_plans_of_high_order_keys(spark, tmp_path):
     assert sorted((r.task_id, r.plan_idx) for r in got) == sorted((k, n) for k, n, *_ in rows)
 
 
-def grams(text, k):
-    ws = text.split()
-    return frozenset(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
-
-
-def test_near_stage_finds_long_and_scattered_edits(spark):
-    rng = random.Random(3)
-    say = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    rows = []
-    for _ in range(12):
-        base = say(200)
-        longer, scattered = base + say(40), [w if k % 40 else "zz" + w for k, w in enumerate(base)]
-        rows += [base, longer, scattered, scattered[:100] + say(50), say(90)]
-    docs = [(k, " ".join(ws)) for k, ws in enumerate(rows)]
-    label = list(range(len(docs)))
-    for _ in docs:
-        for i, a in docs:
-            for j, b in docs[max(0, i - 5) : i]:
-                if any(100 * len(grams(a, k) & grams(b, k)) >= t * len(grams(a, k) | grams(b, k)) for k, t in ((3, 85), (5, 80))):
-                    label[i] = label[j] = min(label[i], label[j])
-    got = corpus_pipeline.near(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label)) and len(set(label)) == 36
-
-
-def test_near_stage_keeps_rows_without_words(spark):
-    rows = [(None, None), (None, None), (None, " "), (None, " "), (7, ""), (7, ""), (8, None), (None, "a b c d"), (None, "a b c d"), (9, "e f g"), (9, "e f g")]
-    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert Counter(map(tuple, got)) == Counter([*rows[:8], rows[9]])
-
-
 def test_extract_long_file(spark):
     text = "def first(a):\n    return a\n\n\n" + "#" * 2_000_000 + "\n\n\ndef last(b):\n    return first(b)\n"
     facts = files.extract(spark.createDataFrame([("n", "long.py", text), ("n", "bad.py", "def"), ("n", "raw.py", None)], "namespace string, path string, content string")).cache()

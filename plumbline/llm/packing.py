@@ -30,7 +30,7 @@ class PackParams:
     end_id: int = 2
     length: int = 4096
     group_tokens: int = 8_000_000
-    cached: int = 1_000_000  # strings between blanks, and pieces of them, whose ids a worker remembers
+    cached: int = 300_000  # strings between blanks, and pieces of them, whose ids a worker remembers
     seed: int = 11
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import pools as N
 from plumbline.operators import tasks as T
 from plumbline.sources import files as S
+from plumbline.sources.stored import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,7 +69,8 @@ def files(spark, d):
 
 
 def facts(spark, d):
-    return S.readable(S.extract(files(spark, d)))
+    """All facts, written once: each file is parsed once for a query, however much is derived from it."""
+    return S.readable(stored(S.extract(files(spark, d))))
 
 
 # The oracles' suppliers: readable files, and whether the import's file exists and is readable.

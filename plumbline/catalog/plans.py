@@ -70,21 +70,6 @@ def _(spark, d):
     return x.groupBy("task_id").agg(F.count_if(G.apply_op(F.col("call"), F.col("op")).isNotNull()).alias("applicable"))
 
 
-@register("arg7_binding_plans")
-def _(spark, d):
-    return G.binding_plans(tasks(spark, d), candidates(spark, d)).groupBy("task_id").agg(F.count(F.lit(1)).alias("binding"))
-
-
-@register("arg8_predicate_census")
-def _(spark, d):
-    return G.predicate_census(tasks(spark, d), candidates(spark, d))
-
-
-@register("arg10_chance_baselines")
-def _(spark, d):
-    return G.chance_baselines(G.predicate_census(tasks(spark, d), candidates(spark, d)))
-
-
 @register("arg9_verify_plans", f"""SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'invalid_plan' WHEN task_id % 3 = 1 THEN CASE WHEN k = 0 THEN 'inapplicable_operation' WHEN p = 0 OR (k = 2 AND p = 3) THEN 'unbindable_call' ELSE 'wrong_operations' END
   WHEN p = 0 OR k > 0 THEN 'unbindable_call' ELSE 'ok' END AS reason FROM {SIZES} s""")
 def _(spark, d):
@@ -186,7 +171,8 @@ def _(spark, d):
     return bench(spark, d).select("item_id", p.alias("prompt"))
 
 
-@register("snk2_paired_report", f"""SELECT namespace, metric, baseline, assisted FROM (SELECT namespace, unnest(['successes', 'first pass', 'only this arm']) AS metric, unnest([baseline_successes, baseline_first_pass, baseline_only]) AS baseline, unnest([assisted_successes, assisted_first_pass, assisted_only]) AS assisted FROM (SELECT namespace, {SUMMARY} FROM {PR} p GROUP BY namespace) s) t""")
+@register("snk2_paired_report", f"""SELECT namespace, metric, baseline, assisted FROM (SELECT namespace, unnest(['successes', 'first pass', 'only this arm', 'terminal failures', 'tasks', 'both', 'neither']) AS metric, unnest([baseline_successes, baseline_first_pass, baseline_only, tasks - baseline_successes, tasks, s.both, neither]) AS baseline,
+  unnest([assisted_successes, assisted_first_pass, assisted_only, tasks - assisted_successes, tasks, s.both, neither]) AS assisted FROM (SELECT namespace, {SUMMARY} FROM {PR} p GROUP BY namespace) s) t""")
 def _(spark, d):
     return X.paired_report(P.summarize(view(spark, d, PAIRS), "namespace"), "namespace")
 

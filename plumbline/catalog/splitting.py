@@ -149,9 +149,9 @@ def _(spark, d):
     return pairs(spark, d).groupBy("p_partkey").agg(F.count_if(ok).alias("bindable"), F.count(F.lit(1)).alias("shapes"))
 
 
-@register("flt2_all_sites", f"SELECT p_partkey, bool_and(binds) AS bindable FROM {BINDS} b WHERE mask % 8 = 1 GROUP BY p_partkey")
+@register("flt2_all_sites", f"SELECT p_partkey, bool_and(binds) AS bindable FROM {BINDS} b GROUP BY p_partkey")
 def _(spark, d):
-    all_sites = pairs(spark, d).where("mask % 8 = 1").groupBy("p_partkey").agg(F.first("p").alias("p"), F.collect_list("s").alias("sites"))
+    all_sites = pairs(spark, d).groupBy("p_partkey").agg(F.first("p").alias("p"), F.collect_list("s").alias("sites"))
     return all_sites.select("p_partkey", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
 
 

@@ -55,6 +55,12 @@ def allowed(p: Column, shapes: Column) -> Column:
     return F.coalesce(bindable(p, shapes), F.lit(True))
 
 
+def allowed_reason(p: Column, shapes: Column) -> tuple[Column, Column]:
+    """(allowed, reason): as allowed(), and why a candidate is refused ('' if it is not)."""
+    ok = allowed(p, shapes)
+    return ok, F.when(ok, F.lit("")).otherwise(F.lit("call site does not bind"))
+
+
 def requires(text: Column, literal: str, fold: bool = False) -> Column:
     return F.contains(F.lower(text), F.lit(literal.lower())) if fold else F.contains(text, F.lit(literal))
 

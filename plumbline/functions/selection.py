@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.expressions import let
+
 #: Task families that structured selection supports, and verdict reasons.
 SUPPORTED_TASKS = ("python.hard_masked_direct_call", "python.hard_masked_same_class_call", "python.hard_masked_cross_file_call")
 OK, UNSUPPORTED, UNPARSEABLE, REJECTED, WRONG = "ok", "unsupported_task", "unparseable_selection", "rejected_candidate", "wrong_selection"
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    """Without white space, that of Unicode too, at both ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def candidate_index(output: Column, n_candidates: Column) -> Column:
@@ -23,9 +25,9 @@ def candidate_index(output: Column, n_candidates: Column) -> Column:
 
 
 def unfenced(text: Column) -> Column:
-    """The inside of one code fence that begins a text, else the trimmed text."""
-    inner = stripped(F.regexp_extract(stripped(text), "(?s)\\A```[^\\n]*\\n(.*)```", 1))
-    return F.when(F.length(inner) > 0, inner).otherwise(stripped(text))
+    """What stands between a fence that begins a text and its last fence, which may be nothing; else the trimmed text."""
+    fence = "(?s)\\A```[^\\n]*\\n(.*)```"
+    return let(stripped(text), lambda s: F.when(s.rlike(fence), stripped(F.regexp_extract(s, fence, 1))).otherwise(s))
 
 
 def selection_reason(task: Column, selected: Column, answer: Column) -> Column:

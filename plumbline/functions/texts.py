@@ -11,7 +11,25 @@ from plumbline.functions.selection import REJECTED, UNPARSEABLE, UNSUPPORTED, WR
 MARKER = "__CALL_TARGET__"
 
 #: Our own wording; feedback names the kind of mistake, never the answer.
-FEEDBACK = {UNPARSEABLE: "No candidate number could be read.", WRONG: "That candidate does not satisfy the constraint.", REJECTED: "That candidate was rejected before.", UNSUPPORTED: "This task cannot be verified."}
+FEEDBACK = {
+    UNPARSEABLE: "No candidate number could be read.",
+    WRONG: "That candidate does not satisfy the constraint.",
+    REJECTED: "That candidate was rejected before.",
+    UNSUPPORTED: "This task cannot be verified.",
+    "invalid_python": "What came back is not one whole Python function.",
+    "wrong_function": "It is a different function now; keep the caller's name and kind.",
+    "placeholder_remaining": "The mark for the missing name is still there.",
+    "wrong_target": "The function that is called does not satisfy the constraint.",
+    "unrelated_change": "More was changed than the missing name.",
+    "invalid_call_expression": "What came back is not one call expression.",
+    "unknown_target": "No candidate has the name that is called.",
+    "ambiguous_target": "Several candidates have the name that is called.",
+    "unbindable_call": "The candidate's parameters cannot take these arguments.",
+    "wrong_arguments": "The arguments are not those of the place in the code.",
+    "invalid_plan": "No plan of the given form could be read.",
+    "inapplicable_operation": "The operation does not apply to the call.",
+    "wrong_operations": "The operation does not restore the call.",
+}
 
 
 def focused(text: Column, radius: int, marker: str = MARKER) -> Column:
@@ -40,8 +58,18 @@ def candidate_symbol(candidate: Column) -> Column:
 
 
 def without_own_names(candidates: Column) -> Column:
-    """Candidates with their own names replaced by `__CANDIDATE__`."""
-    return F.transform(candidates, lambda c: F.regexp_replace(c, F.concat(F.lit("\\b"), candidate_symbol(c), F.lit("\\b")), F.lit("__CANDIDATE__")))
+    """Candidates with their own names replaced by `__CANDIDATE__`; one whose first line is no signature is an error."""
+
+    def renamed(c: Column) -> Column:
+        symbol = F.coalesce(candidate_symbol(c), F.raise_error(F.concat(F.lit("no signature in candidate: "), F.substring(c, 1, 80))))
+        return F.regexp_replace(c, F.concat(F.lit("\\b"), symbol, F.lit("\\b")), F.lit("__CANDIDATE__"))
+
+    return F.transform(candidates, renamed)
+
+
+def without_caller_name(context: Column) -> Column:
+    """The context with the name of its function, where it is defined, replaced by `__CALLER__`; other places keep it."""
+    return F.regexp_replace(context, r"(?s)\A(.*?^(?:async\s+)?def\s+)\w+".replace("(?s)", "(?sm)"), "$1__CALLER__")
 
 
 def edited(context: Column, candidates: Column, index: Column, marker: str = MARKER) -> Column:
@@ -53,15 +81,53 @@ def caller_name(context: Column) -> Column:
     return F.regexp_extract(context, r"(?m)^(?:async\s+)?def\s+(\w+)", 1)
 
 
-def selection_prompt(context: Column, question: Column, candidates: Column, rejected: Column | None = None, recommendation: Column | None = None) -> Column:
-    """Prompt text: numbers stay those of the full list when rejected candidates are left out."""
+def selection_prompt(context: Column, question: Column, candidates: Column, rejected: Column | None = None, recommendation: Column | None = None, previous: Column | None = None, why: Column | None = None) -> Column:
+    """Prompt text: numbers stay those of the full list when rejected candidates are left out; previous and why add the last answer and its feedback."""
     shown = F.transform(candidates, lambda c, i: F.struct(i.alias("i"), F.concat((i + 1).cast("string"), F.lit(". "), c).alias("t")))
     if rejected is not None:
         shown = F.filter(shown, lambda x: ~F.array_contains(rejected, x["i"]))
     parts = [context, question, F.array_join(F.transform(shown, lambda x: x["t"]), "\n")]
     if recommendation is not None:
-        parts.append(F.concat(F.lit("Recommended: "), (recommendation + 1).cast("string")))
-    return F.concat_ws("\n\n", *parts, F.lit("Answer with one number."))
+        parts.append(recommended(recommendation))
+    return F.concat_ws("\n\n", *parts, *last_try(previous, why), F.lit("Answer with one number."))
+
+
+def recommended(index: Column) -> Column:
+    """A line for a recommendation; null, which concat_ws leaves out, without one."""
+    return F.concat(F.lit("Recommended: "), (index + 1).cast("string"))
+
+
+def last_try(previous: Column | None, why: Column | None) -> list[Column]:
+    """Sections for the last answer and its feedback; both or none, row by row."""
+    if previous is None or why is None:
+        return []
+    both = previous.isNotNull() & why.isNotNull()
+    return [F.when(both, F.concat(F.lit("Last answer:\n"), previous)), F.when(both, feedback(why))]
+
+
+def numbered(candidates: Column) -> Column:
+    return F.array_join(F.transform(candidates, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n\n")
+
+
+def code_prompt(asked: str, context: Column, candidates: Column, *more: Column, recommendation: Column | None = None, previous: Column | None = None, why: Column | None = None) -> Column:
+    parts = [F.lit(asked), context, numbered(candidates), *more]
+    return F.concat_ws("\n\n", *parts, *([] if recommendation is None else [recommended(recommendation)]), *last_try(previous, why))
+
+
+def repair_prompt(context: Column, candidates: Column, **rest: Column) -> Column:
+    """Asks for the whole caller with one candidate's name in the masked place."""
+    return code_prompt(f"Give the whole function back with one of the candidates in place of {MARKER} and nothing else changed.", context, candidates, **rest)
+
+
+def call_prompt(context: Column, candidates: Column, **rest: Column) -> Column:
+    """Asks for the call expression alone."""
+    return code_prompt(f"Give only the call expression that belongs in place of {MARKER}(...): one candidate's name, the same arguments.", context, candidates, **rest)
+
+
+def plan_prompt(context: Column, candidates: Column, vocabulary: Column, **rest: Column) -> Column:
+    """Asks for a candidate and one argument operation over the names that may be used."""
+    names = F.concat(F.lit("Names: "), F.array_join(vocabulary, ", "))
+    return code_prompt("The call has one wrong argument operation. Answer `candidate <number>; <operation>` with keep, swap i j, drop name, rename old new, name i name or unname name.", context, candidates, names, **rest)
 
 
 def feedback(reason: Column) -> Column:
@@ -73,8 +139,16 @@ def feedback(reason: Column) -> Column:
 
 def paired_report(summary: DataFrame, *keys: str) -> DataFrame:
     """Long rows (keys, metric, baseline, assisted) of a paired summary."""
-    rows = "stack(3, 'successes', baseline_successes, assisted_successes, 'first pass', baseline_first_pass, assisted_first_pass, 'only this arm', baseline_only, assisted_only) as (metric, baseline, assisted)"
-    return summary.selectExpr(*keys, rows)
+    twice = {"tasks": "tasks", "both": "both", "neither": "neither"}
+    rows = {"successes": "{}_successes", "first pass": "{}_first_pass", "only this arm": "{}_only", "terminal failures": "tasks - {}_successes"}
+    parts = [f"'{k}', {v.format('baseline')}, {v.format('assisted')}" for k, v in rows.items()] + [f"'{k}', {v}, {v}" for k, v in twice.items()]
+    return summary.selectExpr(*keys, f"stack({len(parts)}, {', '.join(parts)}) as (metric, baseline, assisted)")
+
+
+def tests_report(summary: DataFrame, *keys: str) -> DataFrame:
+    """Long rows (keys, metric, value) of a paired summary's deltas and exact tests."""
+    names = ["success_rate_delta", "mean_attempts_delta", "mean_turn_delta", "mcnemar_p", "sign_p"]
+    return summary.selectExpr(*keys, f"stack({len(names)}, " + ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in names) + ") as (metric, value)")
 
 
 def failure_report(summary: DataFrame, *keys: str) -> DataFrame:

@@ -33,14 +33,20 @@ def exact_tests(summary: DataFrame) -> DataFrame:
 def required_discordant(ratios: DataFrame, alpha: float = 0.05, limit: int = 10_000) -> DataFrame:
     """For each favourable ratio the least number of discordant pairs that is significant (round half to even).
 
-    Each ratio is one row, whose search stops computing at the first significant number.
+    Each ratio is one row, whose search stops computing at the first significant number.  A ratio that is not above one
+    half and at most one, and one that no number up to the limit is significant for, is an error.
     """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
 
     def step(found: Column, n: Column) -> Column:
         wins = F.bround(n * F.col("ratio"), 0).cast("int")
         return F.when(found.isNotNull(), found).when(two_sided_binomial(wins, n - wins) < alpha, n)
 
-    return ratios.select("ratio").distinct().select("ratio", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.lit(None).cast("int"), step).alias("required"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.lit(None).cast("int"), step)
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("ratio").cast("string"))).cast("int")
+    sound = F.coalesce((F.col("ratio") > 0.5) & (F.col("ratio") <= 1), F.lit(False))
+    return ratios.select("ratio").distinct().select("ratio", F.when(sound, F.coalesce(found, fail(f"not significant up to {limit} pairs"))).otherwise(fail("ratio not in (0.5, 1]")).alias("required"))
 
 
 def accuracy(examples: DataFrame, *keys: str) -> DataFrame:
@@ -53,12 +59,68 @@ def macro_accuracy(examples: DataFrame, key: str = "namespace") -> DataFrame:
     return accuracy(examples, key).agg(F.avg("accuracy").alias("macro_accuracy"), F.count(F.lit(1)).alias("groups"))
 
 
-def replicates(sources: DataFrame, sums: list[str], samples: int, seed: int) -> DataFrame:
+BLOCK = 1024  # sources whose draws are counted in one matrix product
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with i, from 0 within each stratum, and the stratum's size; no task sees a whole stratum.
+
+    Numbers go by a range of hashes, then by source within it; only counts of the ranges (4,096 a stratum) are added up.
+    """
+    x = sources.withColumn("_h", F.pmod(F.xxhash64("source"), F.lit(4096)))
+    per = x.groupBy("stratum", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    of = Window.partitionBy("stratum").orderBy("_h")
+    per = per.withColumns({"_before": F.sum("_n").over(of) - F.col("_n"), "size": F.sum("_n").over(Window.partitionBy("stratum"))}).drop("_n")
+    own = F.row_number().over(Window.partitionBy("stratum", "_h").orderBy("source")) - 1
+    at = F.col("p.stratum").eqNullSafe(F.col("x.stratum")) & (F.col("p._h") == F.col("x._h"))
+    out = x.withColumn("_own", own).alias("x").join(per.alias("p"), at)
+    return out.select("x.*", "p.size", (F.col("_before") + F.col("_own")).alias("i")).drop("_h", "_own")
+
+
+def block_replicates(sources: DataFrame, sums: list[str], samples: int, seed: int) -> DataFrame:
+    """Sums of `samples` resamples of the sources within each stratum: (b, stratum, sums), by multinomial counts.
+
+    A stratum's sources lie in blocks.  How many draws of each replicate fall into a block is found by halving the
+    stratum again and again, a binomial number at each half; all blocks below a half draw the same number, as it comes
+    from the half's own seed.  Within a block the counts are multinomial, and one product with the block's sums gives
+    its part of every replicate.  So a replicate costs a row for each block, not for each draw.
+    """
+    kind = sources.schema["stratum"].dataType.simpleString()
+
+    def draw_block(rows):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("i")
+        n, block, stratum = int(rows["size"].iloc[0]), int(rows["block"].iloc[0]), rows["stratum"].iloc[0]
+        name = zlib.crc32(str(stratum).encode())
+        low, high, drawn = 0, -(-n // BLOCK), np.full(samples, n, np.int64)
+        while high - low > 1:
+            mid = (low + high) // 2
+            left = np.random.default_rng([seed, name, low, high]).binomial(drawn, (mid - low) * BLOCK / (min(high * BLOCK, n) - low * BLOCK))
+            low, high, drawn = (low, mid, left) if block < mid else (mid, high, drawn - left)
+        counts = np.random.default_rng([seed, name, block]).multinomial(drawn, [1 / len(rows)] * len(rows))
+        out = pd.DataFrame(counts @ rows[sums].to_numpy(np.int64), columns=sums)
+        return out.assign(b=np.arange(1, samples + 1), stratum=stratum)[["b", "stratum", *sums]]
+
+    blocks = numbered(sources).withColumn("block", F.expr(f"i DIV {BLOCK}"))
+    parts = blocks.groupBy("stratum", "block").applyInPandas(draw_block, f"b long, stratum {kind}, " + ", ".join(f"{s} long" for s in sums))
+    return parts.groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def replicates(sources: DataFrame, sums: list[str], samples: int, seed: int, law: str = "blocks") -> DataFrame:
     """Sums of `samples` resamples of the sources within each stratum: (b, stratum, sums).
 
-    sources has one row for each (stratum, source), already summed, so a replicate costs a row for each source, not
-    for each task.  Draws are hashes of (seed, b, stratum, j): the same in any partitioning and engine.
+    sources has one row for each (stratum, source), already summed, so that tasks don't count.  law: "blocks" counts
+    draws block by block; "draws" makes each draw a row, a hash of (seed, b, stratum, j) that any engine can repeat,
+    which is for few sources.
     """
+    if law == "blocks":
+        return block_replicates(sources, sums, samples, seed)
+    if law != "draws":
+        raise ValueError(f"unknown law {law!r}")
     w = Window.partitionBy("stratum").orderBy("source")
     indexed = sources.withColumn("i", F.row_number().over(w).cast("long") - 1)
     sizes = sources.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
@@ -67,18 +129,18 @@ def replicates(sources: DataFrame, sums: list[str], samples: int, seed: int) ->
     return drawn.join(indexed, ["stratum", "i"]).groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def interval(values: DataFrame, confidence: float) -> DataFrame:
+def interval(values: DataFrame, confidence: float, *keys: str) -> DataFrame:
     """Percentile interval of column v over replicates; undefined ones are dropped, `samples` tells how many stayed."""
     q = (1 - confidence) / 2
-    return values.where("v IS NOT NULL").agg(F.percentile("v", F.lit(q)).alias("lower"), F.percentile("v", F.lit(1 - q)).alias("upper"), F.count("v").alias("samples"))
+    return values.where("v IS NOT NULL").groupBy(*keys).agg(F.percentile("v", F.lit(q)).alias("lower"), F.percentile("v", F.lit(1 - q)).alias("upper"), F.count("v").alias("samples"))
 
 
-def bootstrap_accuracy(examples: DataFrame, samples: int = 5000, confidence: float = 0.95, seed: int = 0, macro: bool = False) -> DataFrame:
+def bootstrap_accuracy(examples: DataFrame, samples: int = 5000, confidence: float = 0.95, seed: int = 0, macro: bool = False, law: str = "blocks") -> DataFrame:
     """Estimate and interval of the accuracy, sources resampled whole; macro: within namespaces, which weigh alike."""
     hit = (F.col("prediction") == F.col("answer")).cast("long")
     stratum = F.col("namespace") if macro else F.lit("all")
     sources = examples.groupBy(stratum.alias("stratum"), "source").agg(F.sum(hit).alias("c"), F.count(F.lit(1)).alias("n"))
-    per = replicates(sources, ["c", "n"], samples, seed).withColumn("r", F.col("c") / F.col("n"))
+    per = replicates(sources, ["c", "n"], samples, seed, law).withColumn("r", F.col("c") / F.col("n"))
     values = per.groupBy("b").agg(F.avg("r").alias("v"))
     point = macro_accuracy(examples).select(F.col("macro_accuracy").alias("estimate")) if macro else accuracy(examples).select(F.col("accuracy").alias("estimate"))
     return point.join(F.broadcast(interval(values, confidence)))  # one row with one row
@@ -91,21 +153,48 @@ STATISTICS = {
 }
 
 
-def bootstrap_paired(pairs: DataFrame, statistic: str = "success_rate_delta", samples: int = 5000, confidence: float = 0.95, seed: int = 0, strata: Column | None = None) -> DataFrame:
-    """Estimate and interval of one paired statistic, sources resampled whole within each stratum."""
-    if statistic not in STATISTICS:
-        raise ValueError(f"statistic must be one of {sorted(STATISTICS)}")
-    if samples < 1 or not 0 < confidence < 1:
-        raise ValueError("samples must be positive and confidence between 0 and 1")
+PAIR_SUMS = ["n", "a", "b0", "ba", "aa", "both", "t"]
+
+
+def paired_sources(pairs: DataFrame, stratum: Column) -> DataFrame:
+    """The sums of each stratum's sources that every paired statistic comes from."""
     long = lambda c: F.sum(c.cast("long"))
     a, b = F.col("a_ok"), F.col("b_ok")
-    sources = pairs.groupBy((strata if strata is not None else F.lit("all")).alias("stratum"), "source").agg(
+    return pairs.groupBy(stratum.alias("stratum"), "source").agg(
         F.count(F.lit(1)).alias("n"), long(a).alias("a"), long(b).alias("b0"), F.sum("b_attempts").alias("ba"), F.sum("a_attempts").alias("aa"), long(a & b).alias("both"),
         F.coalesce(F.sum(F.when(a & b, F.col("b_attempts") - F.col("a_attempts"))), F.lit(0)).alias("t"),
     )
-    f = STATISTICS[statistic]
-    values = replicates(sources, ["n", "a", "b0", "ba", "aa", "both", "t"], samples, seed).groupBy("b").agg(f().alias("v"))
-    return sources.agg(f().alias("estimate")).join(F.broadcast(interval(values, confidence)))
+
+
+def _statistic(name: str, samples: int, confidence: float):
+    if name not in STATISTICS:
+        raise ValueError(f"statistic must be one of {sorted(STATISTICS)}")
+    if samples < 1 or not 0 < confidence < 1:
+        raise ValueError("samples must be positive and confidence between 0 and 1")
+    return STATISTICS[name]
+
+
+def bootstrap_by(pairs: DataFrame, key: str, statistic: str = "success_rate_delta", samples: int = 5000, confidence: float = 0.95, seed: int = 0, law: str = "blocks") -> DataFrame:
+    """(key, estimate, lower, upper, samples) of one paired statistic for each key by itself."""
+    f = _statistic(statistic, samples, confidence)
+    sources = paired_sources(pairs, F.col(key))
+    values = replicates(sources, PAIR_SUMS, samples, seed, law).groupBy("b", "stratum").agg(f().alias("v"))
+    ends = interval(values, confidence, "stratum")
+    return sources.groupBy("stratum").agg(f().alias("estimate")).join(ends, "stratum").withColumnRenamed("stratum", key)
+
+
+def confidence_distribution(rows: DataFrame, correct: str, confidence: str = "confidence", at: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
+    """n and quantiles of the confidence for right and wrong answers; equal confidences are counted first."""
+    by = rows.groupBy(F.col(correct).alias("correct"), F.col(confidence).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    return by.groupBy("correct").agg(F.sum("_n").alias("n"), *[F.percentile("_c", F.lit(q), F.col("_n")).alias(f"q{k}") for k, q in enumerate(at, 1)])
+
+
+def bootstrap_paired(pairs: DataFrame, statistic: str = "success_rate_delta", samples: int = 5000, confidence: float = 0.95, seed: int = 0, strata: Column | None = None, law: str = "blocks") -> DataFrame:
+    """Estimate and interval of one paired statistic, sources resampled whole within each stratum."""
+    f = _statistic(statistic, samples, confidence)
+    sources = paired_sources(pairs, strata if strata is not None else F.lit("all"))
+    values = replicates(sources, PAIR_SUMS, samples, seed, law).groupBy("b").agg(f().alias("v"))
+    return sources.agg(f().alias("estimate")).join(F.broadcast(interval(values, confidence)))  # one row with one row
 
 
 def excess(rows: DataFrame, hit: str, chance: Column, *keys: str) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.stored import stored
+
 
 def of_task(*order: Column | str) -> Window:
     w = Window.partitionBy("task_id")
@@ -188,12 +190,18 @@ def pool_bins(ranks: DataFrame, edges: list[int]) -> DataFrame:
 def coverage_curve(tasks: DataFrame, shares: list[float]) -> DataFrame:
     """Selective accuracy when only the share of tasks with the largest margins is answered.
 
-    Tasks are counted per margin first, so the running sum goes over distinct margins, not tasks.
+    Tasks are counted per margin first.  The counts are dealt by range of margins, added up within each range, and the
+    sums of the ranges before (a row for each) come on top, so no task sees all margins.
     """
     by = tasks.groupBy("margin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("h"))
-    total = tasks.agg(F.count(F.lit(1)).alias("total"))
-    w = Window.orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"upto": F.sum("n").over(w), "hits": F.sum("h").over(w)}).join(F.broadcast(total), F.lit(True))
+    by = stored(by.repartitionByRange(F.desc("margin")).withColumn("part", F.spark_partition_id()))
+    sums = by.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("h").alias("ph"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("ph").over(before), F.lit(0)).alias("h0"))
+    total = by.agg(F.sum("n").alias("total"))
+    w = Window.partitionBy("part").orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.withColumns({"upto": F.sum("n").over(w), "hits": F.sum("h").over(w)}).join(F.broadcast(starts), "part").join(F.broadcast(total), F.lit(True))
+    run = run.withColumns({"upto": F.col("upto") + F.col("n0"), "hits": F.col("hits") + F.col("h0")})
     out = run.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).where(F.col("upto") >= F.ceil(F.col("share") * F.col("total")))
     return out.groupBy("share").agg(F.min("upto").alias("answered"), F.min_by(F.col("hits") / F.col("upto"), "upto").alias("accuracy"))
 

@@ -102,16 +102,13 @@ def holdout(examples: DataFrame, held_out: list[str], seed: int = 0, validation:
 def leave_one_out(examples: DataFrame) -> DataFrame:
     """(fold, split, n) sizes of the folds that hold out each namespace in turn, from counts alone: no fold copies the rows."""
     n = examples.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    if n.limit(2).count() < 2:
+        raise ValueError("folds need two namespaces")
     total = n.agg(F.sum("n").alias("total"))
     rows = n.join(F.broadcast(total), F.lit(True))
     return rows.select(F.col("namespace").alias("fold"), F.inline(F.array(F.struct(F.lit("test").alias("split"), F.col("n").alias("n")), F.struct(F.lit("train").alias("split"), (F.col("total") - F.col("n")).alias("n")))))
 
 
-def fold_split(examples: DataFrame, fold: str) -> DataFrame:
-    """One fold's split column."""
-    return holdout(examples, [fold])
-
-
 def stratified_sample(examples: DataFrame, quota: int, size: int, *strata: str, seed: int = 0) -> DataFrame:
     """Up to quota rows of each stratum in stable hash order, then the next rows of all until size is reached."""
     h = order_key(seed, "sample", F.col("task_id"))
@@ -135,10 +132,19 @@ def split_sizes(split: DataFrame) -> DataFrame:
 
 
 def leaked_namespaces(split: DataFrame) -> DataFrame:
-    """Namespaces of the test split that train or validation also have; must be empty."""
+    """Namespaces of the test split that train or validation also have; must be empty.  See also held_out()."""
     return split.where("split = 'test'").select("namespace").intersect(split.where("split <> 'test'").select("namespace"))
 
 
+def held_out(split: DataFrame) -> DataFrame:
+    """The namespaces held out for the test; an error if there are none or if train or validation has one of them."""
+    of = split.groupBy("namespace").agg(F.bool_or(F.col("split") == "test").alias("test"), F.bool_or(F.col("split") != "test").alias("other")).where("test")
+    if of.isEmpty():
+        raise ValueError("the test split is empty")
+    said = F.raise_error(F.concat(F.lit("not unseen: "), F.coalesce("namespace", F.lit("null"))))
+    return of.select(F.when(F.col("other"), said).otherwise(F.col("namespace")).alias("namespace"))
+
+
 def shared_sources(split: DataFrame) -> DataFrame:
     """Sources that stand in more than one split; must be empty."""
     return split.groupBy("source").agg(F.countDistinct("split").alias("splits")).where("splits > 1").select("source")

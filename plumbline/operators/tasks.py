@@ -57,11 +57,68 @@ def symbol_id(*prefix: str):
 def call_decisions(symbols: DataFrame, edges: DataFrame, most: int = 16, seed: int = 0) -> DataFrame:
     """Candidates of direct-call decisions: the target, local functions first, then others of the repository, up to `most`."""
     tasks = with_task(edges, "namespace", "path", "caller", "target")
-    pool = tasks.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal", "signature"), "namespace")
+    pool = tasks.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal"), "namespace")
     target = by_name(symbols).select(*FILE, F.col("name").alias("target"), F.col("ordinal").alias("tord"))
     pool = pool.join(target, [*FILE, "target"]).withColumn("is_target", F.expr("cpath = path AND name = target AND ordinal = tord"))
     pool = pool.withColumn("sym", symbol_id("cpath"))
-    return choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc())
+    return with_text(choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc()), symbols)
+
+
+def with_text(chosen: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The chosen candidates (namespace, cpath, name, ordinal) with signature and body, which no pool carries."""
+    return chosen.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal", "signature", "body"), ["namespace", "cpath", "name", "ordinal"])
+
+
+def masked_call_decisions(symbols: DataFrame, edges: DataFrame, contexts: DataFrame, most: int = 16, chars: int = 768, seed: int = 0) -> DataFrame:
+    """Direct-call decisions of callers whose masked text does not give the target away, candidates with path and body excerpt."""
+    known = edges.join(contexts.select(*FILE, "caller", "target").distinct(), [*FILE, "caller", "target"], "left_semi")
+    return call_decisions(symbols, known, most, seed).withColumn("candidate", render(F.col("signature"), F.col("body"), chars, F.col("cpath")))
+
+
+def target_in_pool(wanted: DataFrame, pool: DataFrame) -> DataFrame:
+    """(task_id, sym_id): the first pool member whose rendering is the labelled candidate's.
+
+    wanted: task_id, text of the labelled candidate; pool: task_id, ord, sym_id, text.  Texts meet by hash, then by
+    themselves; a task without such a member has no row.
+    """
+    left = wanted.select("task_id", F.col("text").alias("_t"), F.xxhash64("text").alias("_h"))
+    hit = pool.withColumn("_h", F.xxhash64("text")).join(left, ["task_id", "_h"]).where(F.col("text") == F.col("_t"))
+    return hit.groupBy("task_id").agg(F.min_by("sym_id", "ord").alias("sym_id"))
+
+
+def target_aliases(wanted: DataFrame, imported: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(task_id, alias): names in the caller's file that stand for the labelled rendering.
+
+    wanted: task_id, namespace, path, text; rendered: namespace, path, name, text of every function.
+    """
+    texts = rendered.select("namespace", F.col("path").alias("target_path"), "name", F.xxhash64("text").alias("_h"), F.col("text").alias("_t"))
+    named = imported.join(texts, ["namespace", "target_path", "name"]).select(*FILE, "alias", "_h", "_t")
+    at = wanted.withColumn("_h", F.xxhash64("text")).join(named, [*FILE, "_h"]).where(F.col("text") == F.col("_t"))
+    return at.select("task_id", "alias").distinct()
+
+
+def negatives_in_scope(wrong: DataFrame, scope: DataFrame) -> DataFrame:
+    """(task_id, n): how many of each task's own wrong candidates are in its scope; wrong, scope: task_id, text."""
+    inside = scope.select("task_id", F.xxhash64("text").alias("_h"), F.col("text").alias("_t")).distinct()
+    mine = wrong.withColumns({"_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    hit = mine.join(inside, ["task_id", "_h"]).where(F.col("text") == F.col("_t")).select("task_id", "_row").distinct()
+    return wrong.select("task_id").distinct().join(hit.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")), "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def beyond(strict: DataFrame, primary: DataFrame) -> DataFrame:
+    """Members of the strict neighbourhood that the primary one lacks; must be empty.  Both: task_id, npath."""
+    return strict.select("task_id", "npath").exceptAll(primary.select("task_id", "npath"))
+
+
+def stacked(candidates: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, size, task_ids, values): each batch's tasks in order, each with its candidates' values in order.
+
+    candidates: batch, task_id, cand_idx, value.  A batch whose tasks differ in their number of candidates is an error.
+    """
+    task = candidates.groupBy(batch, "task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "value"))), lambda x: x["value"]).alias("values"))
+    all_of = task.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("task_id", "values"))).alias("x"), F.min(F.size("values")).alias("size"), F.max(F.size("values")).alias("_most"))
+    size = F.when(F.col("size") == F.col("_most"), F.col("size")).otherwise(F.raise_error(F.concat(F.lit("mixed sizes in batch "), F.col(batch).cast("string"))).cast("int"))
+    return all_of.select(batch, size.alias("size"), F.col("x.task_id").alias("task_ids"), F.col("x.values").alias("values"))
 
 
 def hard_decisions(symbols: DataFrame, edges: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
@@ -131,9 +188,9 @@ def cross_file_decisions(symbols: DataFrame, edges: DataFrame, k: int = 4, seed:
     tasks = with_task(edges, "namespace", "path", "caller", "alias")
     last = by_name(symbols)
     tasks = tasks.join(last.select("namespace", F.col("path").alias("target_path"), F.col("name").alias("target"), "shape", F.col("ordinal").alias("tord")), ["namespace", "target_path", "target"])
-    pool = tasks.join(symbols.select("namespace", "shape", F.col("path").alias("cpath"), "name", "ordinal", "signature", "body"), ["namespace", "shape"]).where("NOT (cpath = path AND name = caller)")
+    pool = tasks.join(symbols.select("namespace", "shape", F.col("path").alias("cpath"), "name", "ordinal"), ["namespace", "shape"]).where("NOT (cpath = path AND name = caller)")
     pool = pool.withColumns({"is_target": F.expr("cpath = target_path AND ordinal = tord"), "sym": symbol_id("cpath"), "_n": F.count(F.lit(1)).over(Window.partitionBy("task_id"))})
-    return choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed)
+    return with_text(choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed), symbols)
 
 
 def read_outside(imported: DataFrame, name_reads: DataFrame, callers: DataFrame) -> DataFrame:
@@ -163,13 +220,6 @@ def repository_pool(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
     return pool.where("NOT (mpath = path AND name = caller)").select("task_id", "mpath", "name", "params")
 
 
-def level_pool(pools: DataFrame, level: str) -> DataFrame:
-    """Pool members at one level; an unknown level is an error."""
-    if level not in ("scope", "repository", "alias", "independent"):
-        raise ValueError(f"unknown pool level {level!r}")
-    return pools.where(F.col("level") == level)
-
-
 def neighbourhood_files(tasks: DataFrame, imports: DataFrame, symbols: DataFrame, imported: DataFrame, name_reads: DataFrame, variant: str = "alias", roots: tuple = ("", "src"), hide_target: bool = True) -> DataFrame:
     """(task_id, npath): files that the caller's file imports, without what names the target.
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import binding as B
-from plumbline.functions.expressions import let
-from plumbline.functions.selection import unfenced
+from plumbline.functions.expressions import draw, let
+from plumbline.functions.selection import stripped, unfenced
 
 CALL = "struct<args:array<struct<text:string,starred:boolean>>,keywords:array<struct<name:string,value:string>>>"
 
@@ -25,13 +25,13 @@ def parse_plan(text: Column, n_candidates: Column) -> Column:
     The text is lower-cased first, so names with capitals are never in a vocabulary.
     """
     operand = {"p": r"\s+(\d+)", "n": r"\s+([a-z_]\w*)"}
-    clean = F.regexp_replace(F.trim(F.regexp_replace(F.trim(unfenced(text)), "^`+|`+$", "")), r"\.+$", "")
-    parts = F.transform(F.split(F.lower(clean), ";"), lambda x: F.trim(x))
-    k = F.regexp_extract(F.get(parts, F.lit(0)), r"^candidate\s+(\d+)$", 1).try_cast("int")
+    clean = F.regexp_replace(stripped(F.regexp_replace(unfenced(text), r"\A`+|`+\z", "")), r"\.+\z", "")
+    parts = F.transform(F.split(F.lower(clean), ";"), lambda x: stripped(x))
+    k = F.regexp_extract(F.get(parts, F.lit(0)), r"(?U)\Acandidate\s+(\d+)\z", 1).try_cast("int")
     said = F.get(parts, F.lit(1))
     op = F.lit(None).cast("array<string>")
     for name, kinds in OPERANDS.items():
-        pattern = "^" + name + "".join(operand[x] for x in kinds) + "$"
+        pattern = r"(?U)\A" + name + "".join(operand[x] for x in kinds) + r"\z"
         found = F.array(F.lit(name), *[F.regexp_extract(said, pattern, i + 1) for i in range(len(kinds))])
         if name == "swap":
             a, b = (F.get(found, F.lit(i)).try_cast("int") for i in (1, 2))
@@ -156,6 +156,90 @@ def verify_plans(answers: DataFrame) -> DataFrame:
     return x.withColumn("reason", reason).drop("_plan", "_call")
 
 
+#: Perturbations by name; those that depend on nothing but what a reader sees, and the one that uses the target.
+SEMANTIC, FORM = ("bogus_keyword", "rename_keyword", "swap"), ("keywordize",)
+
+
+def perturbations(call: Column, vocabulary: Column, target: Column, receiver: Column, seed: int, *seen: Column) -> Column:
+    """All wrong calls that one operation restores: array<struct<kind, call, op>>, kinds in order; none for calls with stars.
+
+    target holds the parameters of the right candidate (null if unreadable), which only keywordize looks at.  Names are
+    drawn by a hash of the seed and of what a reader sees.
+    """
+    n, given = F.size(call["args"]), F.transform(call["keywords"], lambda k: k["name"])
+    plain = ~F.exists(call["args"], lambda a: a["starred"]) & ~F.exists(given, lambda g: g.isNull())
+    text = lambda c: c.cast("string")
+
+    def with_names(x: Column) -> Column:
+        spare, names = x["spare"], x["names"]
+        pick = lambda kind: F.get(spare, draw(F.size(spare), kind, seed, *seen).cast("int"))
+        last, first = F.element_at(names, -1), F.coalesce(F.get(call["args"], F.lit(0))["text"], F.get(call["keywords"], F.lit(0))["value"])
+        bound = F.concat(target["positional_only"], target["positional_or_keyword"])
+        key = F.get(bound, n - 1 + receiver.cast("int"))
+
+        def option(when: Column, kind: str, made: Column, op: Column) -> Column:
+            return F.when(when, F.struct(F.lit(kind).alias("kind"), made.alias("call"), op.alias("op")))
+
+        bogus = F.struct(call["args"].alias("args"), F.concat(call["keywords"], F.array(F.struct(x["extra"].alias("name"), first.alias("value")))).alias("keywords"))
+        swap = F.array(F.lit("swap"), text(n - 1), text(n))
+        swapped = apply_op(call, swap)
+        nameable = (n > 0) & F.array_contains(target["positional_or_keyword"], key) & ~F.array_contains(names, key)
+        return F.filter(
+            F.array(
+                option((F.size(spare) > 0) & (n + F.size(names) > 0), "bogus_keyword", bogus, F.array(F.lit("drop"), x["extra"])),
+                option(F.coalesce(nameable, F.lit(False)), "keywordize", apply_op(call, F.array(F.lit("name"), text(n), key)), F.array(F.lit("unname"), key)),
+                option((F.size(spare) > 0) & (F.size(names) > 0), "rename_keyword", apply_op(call, F.array(F.lit("rename"), last, pick("rename"))), F.array(F.lit("rename"), pick("rename"), last)),
+                option((n > 1) & ~swapped.eqNullSafe(call), "swap", swapped, swap),
+            ),
+            lambda o: o.isNotNull(),
+        )
+
+    spare = F.filter(vocabulary, lambda v: ~F.array_contains(given, v))
+    extra = F.get(spare, draw(F.greatest(F.size(spare), F.lit(1)), "bogus", seed, *seen).cast("int"))
+    empty = F.array().cast(f"array<struct<kind:string,call:{CALL},op:array<string>>>")
+    return F.when(plain, let(F.struct(spare.alias("spare"), given.alias("names"), extra.alias("extra")), with_names)).otherwise(empty)
+
+
+def perturbed(tasks: DataFrame, seed: int = 0, form_too: bool = False) -> DataFrame:
+    """tasks (task_id, call, vocabulary, target, receiver, seen, answer_index) with perturbation, perturbed call and restoring plan; tasks without one go.
+
+    The kind is drawn, like the names, from what a reader sees, never from the answer.
+    """
+    kinds = SEMANTIC + FORM if form_too else SEMANTIC
+    found = perturbations(F.col("call"), F.col("vocabulary"), F.col("target"), F.col("receiver"), seed, F.col("seen"))
+    x = tasks.withColumn("_o", F.filter(found, lambda o: o["kind"].isin(*kinds))).where(F.size("_o") > 0)
+    x = x.withColumn("_c", F.get("_o", draw(F.size("_o"), "kind", seed, F.col("seen")).cast("int")))
+    plan = F.struct(F.col("answer_index").alias("cand"), F.col("_c.op").alias("op"))
+    kept = [c for c in tasks.columns if c not in ("perturbation", "perturbed", "restoring")]
+    return x.select(*kept, F.col("_c.kind").alias("perturbation"), F.col("_c.call").alias("perturbed"), plan.alias("restoring"))
+
+
+def label_dependent(tasks: DataFrame, params: DataFrame, kinds: tuple = SEMANTIC, seed: int = 0) -> DataFrame:
+    """(task_id, kind) whose visible wrong call, or its absence, would be another one if another candidate were the answer.
+
+    params: (task_id, cand_idx, params); every candidate is taken for the answer in turn.
+    """
+    turns = tasks.drop("target").join(params.select("task_id", F.col("params").alias("target")), "task_id")
+    found = perturbations(F.col("call"), F.col("vocabulary"), F.col("target"), F.col("receiver"), seed, F.col("seen"))
+    seen = lambda k: F.to_json(F.struct(F.get(F.filter(F.col("_o"), lambda o: o["kind"] == k), F.lit(0))["call"].alias("c")))
+    each = turns.withColumn("_o", found).select("task_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), seen(k).alias("shown")) for k in kinds])).alias("x")).select("task_id", "x.*")
+    return each.groupBy("task_id", "kind").agg(F.countDistinct("shown").alias("n")).where("n > 1").select("task_id", "kind")
+
+
+def operation_census(tasks: DataFrame, chosen: DataFrame, census: DataFrame, seed: int = 0) -> DataFrame:
+    """Long rows (measure, kind, n, value): decisions, applicable and chosen perturbations, and what bindability leaves, in shares and means."""
+    found = perturbations(F.col("call"), F.col("vocabulary"), F.col("target"), F.col("receiver"), seed, F.col("seen"))
+    count, none = F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("value")
+    kinds = tasks.select(F.explode(found).alias("o")).groupBy(F.col("o.kind").alias("kind")).agg(count).select(F.lit("applicable").alias("measure"), "kind", "n", none)
+    took = chosen.groupBy(F.col("perturbation").alias("kind")).agg(count).select(F.lit("chosen").alias("measure"), "kind", "n", none)
+    totals = tasks.agg(count).select(F.lit("decisions").alias("measure"), F.lit("").alias("kind"), "n", none)
+    means, flags = ("plan_space_size", "binding_plans", "surviving_candidates"), ("restoring_plan_binds", "solved_by_predicate", "pure_selection", "at_most_one_per_survivor")
+    shares = census.agg(count, *[F.avg(F.col(c).cast("double")).alias(c) for c in (*means, *flags)])
+    parts = ", ".join(f"'{c}', {c}" for c in (*means, *flags))
+    per = shares.selectExpr("n", f"stack({len(means) + len(flags)}, {parts}) AS (measure, value)").select("measure", F.lit("").alias("kind"), "n", "value")
+    return totals.unionByName(kinds).unionByName(took).unionByName(per)
+
+
 def shown_position(original: Column, shift: Column, count: Column) -> Column:
     """Where a candidate appears when the order is turned by shift."""
     return F.pmod(original - shift, count)

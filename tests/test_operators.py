@@ -122,6 +122,6 @@ def test_facts():
     assert pysource.candidate_parameters("f(a, b)\ndef f(a, b")["required"] == []
 
 
-@pytest.mark.parametrize("text,want", [("```python\nx = 1\n```", "x = 1"), (" y ", "y"), ("```\n```", "```\n```"), ("a ```b```", "a ```b```")])
+@pytest.mark.parametrize("text,want", [("```python\nx = 1\n```", "x = 1"), (" y ", "y"), ("```\n```", ""), ("a ```b```", "a ```b```")])
 def test_unfenced(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.unfenced(F.col("t"))).first()[0] == want

@@ -25,10 +25,9 @@ def test_every_call_shape_is_judged(spark):
     data = "/root/testdata/sf0.001"
     shapes = [r.mask % 8 for r in splitting.pairs(spark, data).select("mask").distinct().collect()]
     got = splitting.QUERIES["flt2_all_sites_by_group"](spark, data).collect()
-    some = {r.p_partkey: r.bindable for r in splitting.QUERIES["flt2_all_sites"](spark, data).collect()}
+    whole = {r.p_partkey: r.bindable for r in splitting.QUERIES["flt2_all_sites"](spark, data).collect()}
     assert {r.site_group for r in got} == set(shapes) and len(set(shapes)) == 8
-    assert {r.p_partkey: r.bindable for r in got if r.site_group == 1} == some
-    assert any(some[r.p_partkey] and not r.bindable for r in got)  # parts that flt2_all_sites alone lets pass
+    assert whole == {k: all(r.bindable for r in got if r.p_partkey == k) for k in whole} and not all(r.bindable for r in got)
 
 
 def required(ratio):

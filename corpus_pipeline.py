@@ -36,7 +36,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences; a null text is its closing token alone."""
-    return packing.pack(docs, packing.PackParams(tokenizer("word_bpe_49k.json")))
+    # workers that the stages before have used get less room for strings than where packing runs alone
+    return packing.pack(docs, packing.PackParams(tokenizer("word_bpe_49k.json"), cached=300_000))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_dedup", near), ("packing", pack)]

@@ -285,6 +285,24 @@ def _(spark, d):
     return P.excess(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), "namespace").select("namespace", "n", "hits", r("expected", 6), r("excess"))
 
 
+OVER = f"(SELECT 'all' AS stratum, source, sum(CAST(a_ok AS INT) - 1.0 / a_attempts) AS e, count(*) AS n FROM {PR} p GROUP BY 2)"
+
+
+@register("agg18_excess_interval", f"""SELECT (SELECT round(sum(e) / sum(n), 6) FROM {OVER} o) AS estimate, t.* FROM {ends(f"(SELECT b, e / n AS v FROM {replicated(OVER, ['e', 'n'], 5000, 5)} q)")} t""")
+def _(spark, d):
+    return P.excess_interval(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), seed=5, law="draws").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+
+
+@register("agg18_excess_interval_full")
+def _(spark, d):
+    return P.excess_interval(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), seed=5).select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+
+
+@register("agg6_turn_deltas", f"SELECT namespace, b_attempts - a_attempts AS turn_delta, count(*) AS n FROM {PR} p WHERE a_ok AND b_ok GROUP BY 1, 2")
+def _(spark, d):
+    return P.turn_deltas(view(spark, d, PAIRS), "namespace")
+
+
 @register("agg20_rescued_spoiled", f"""SELECT CASE WHEN a_ok AND NOT b_ok THEN 'rescued' WHEN b_ok AND NOT a_ok THEN 'spoiled' WHEN b_ok THEN 'kept' ELSE 'missed' END AS transition, count(*) AS n FROM {PR} p GROUP BY 1""")
 def _(spark, d):
     return P.rescued_and_spoiled(view(spark, d, PAIRS), "b_ok", "a_ok")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.binding import allowed
 from plumbline.operators import pools as N
 from plumbline.operators import tasks as T
+from plumbline.operators.ranking import structural_baseline
 from plumbline.sources import files as S
 from plumbline.sources.stored import stored
 
@@ -165,6 +167,35 @@ def _(spark, d):
     return x.groupBy("namespace", "path", "caller").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.expr("cpath = path")).alias("local"), F.count_if("is_target").alias("targets"))
 
 
+def texts(symbols):
+    """Every function with its rendering as candidate text."""
+    return symbols.withColumn("text", T.render(F.col("signature"), F.col("body"), 768, F.col("path")))
+
+
+def rendering(path: str, name: str, signature: str, code: str) -> str:
+    """SQL of a candidate text: name and path are SQL, the others say what follows the name."""
+    return f"{path} || '::' || {name} || '{signature}' || chr(10) || 'def ' || {name} || '{code.split('|')[0]}' || chr(10) || '    {code.split('|')[1]}'"
+
+
+TARGET = rendering("'pkg/m' || n || '.py'", "'f' || n", "(a, b)", "(a, b=1):|return a")
+
+
+@register("join2_masked_decisions", f"SELECT g.namespace, path, 'g' || k AS caller, least(16, 4 * files) AS candidates, 1 AS targets, {rendering('path', "'f' || k", '(a, b)', '(a, b=1):|return a')} AS target FROM {GOOD} g JOIN {SIZES} s ON g.namespace = s.namespace")
+def _(spark, d):
+    e, s, _x = edges(spark, d)
+    shown = S.masked(e.join(files(spark, d), ["namespace", "path"]))
+    out = T.masked_call_decisions(s, e, shown)
+    return out.groupBy("namespace", "path", "caller").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_target").alias("targets"), F.max(F.when(F.col("cand_idx") == F.col("answer_index"), F.col("candidate"))).alias("target"))
+
+
+# A call's own file holds four functions of two parameters each: file and arity leave a choice of four.
+@register("rnk17_structural_baseline", f"SELECT namespace, count(*) AS n, count(*) / 4 AS hits, 0.25 AS accuracy FROM {GOOD} g GROUP BY namespace")
+def _(spark, d):
+    e, s, _x = edges(spark, d)
+    shown = T.call_decisions(s, e).join(s.select("namespace", F.col("path").alias("cpath"), "ordinal", (F.col("shape.pos") + F.col("shape.kwonly")).alias("arity")), ["namespace", "cpath", "ordinal"])
+    return structural_baseline(shown.withColumns({"same_file": F.expr("cpath = path"), "same_arity": F.col("arity") == 2}), "namespace")
+
+
 @register("join3_hard_decisions", f"SELECT namespace, path, 'g' || k AS caller, 2 AS candidates, 1 AS targets, 'f' || k AS target FROM {GOOD} g")
 def _(spark, d):
     e, s, _x = edges(spark, d)
@@ -223,6 +254,77 @@ def _(spark, d):
     return pool.join(t.select("task_id", "namespace", "path"), "task_id").groupBy("namespace", "path").agg(F.count(F.lit(1)).alias("scope"), F.count_if(F.col("source") == "local").alias("local"))
 
 
+def scoped(spark, d):
+    """Tasks of the imported call, all functions' texts, and each task's scope with texts, local members first."""
+    t, i, x = tasks(spark, d)
+    t, i, s = stored(t), stored(i), texts(S.symbols(x))  # read several times below
+    pool = T.scope_pool(t, s, i).join(t.select("task_id", "namespace"), "task_id")
+    said = pool.join(s.select("namespace", F.col("path").alias("mpath"), "name", "text", "shape", "params"), ["namespace", "mpath", "name"])
+    return t, i, x, s, said.withColumns({"ord": F.struct(F.col("source") == "imported", "mpath", "name"), "sym_id": F.concat_ws("::", "mpath", "name")})
+
+
+def wanted(t, s):
+    """Each task's target as text."""
+    return t.join(s.select("namespace", F.col("path").alias("target_path"), F.col("name").alias("target"), "text"), ["namespace", "target_path", "target"]).select("task_id", "namespace", "path", "text")
+
+
+@register("join12_target_aliases", f"SELECT namespace, path, 'other' AS alias FROM {GOOD} g WHERE linked")
+def _(spark, d):
+    t, i, _x, s, _pool = scoped(spark, d)
+    return T.target_aliases(wanted(t, s), i, s).join(t.select("task_id", "namespace", "path"), "task_id").select("namespace", "path", "alias")
+
+
+@register("join16_target_in_pool", f"SELECT namespace, path, 'pkg/m' || n || '.py::f' || n AS sym_id, {TARGET} AS text FROM {GOOD} g WHERE linked")
+def _(spark, d):
+    t, _i, _x, s, pool = scoped(spark, d)
+    w = wanted(t, s)
+    return T.target_in_pool(w, pool).join(w, "task_id").select("namespace", "path", "sym_id", "text")
+
+
+# Of all functions of the caller's and the target's file, the caller and three beside the target are out of scope.
+@register("join17_negatives_in_scope", f"SELECT namespace, path, 3 AS n FROM {GOOD} g WHERE linked")
+def _(spark, d):
+    t, _i, _x, s, pool = scoped(spark, d)
+    wrong = protocol(t, s).where("NOT is_target").select("task_id", "text")
+    return T.negatives_in_scope(wrong, pool).join(t.select("task_id", "namespace", "path"), "task_id").select("namespace", "path", "n")
+
+
+def protocol(t, s):
+    """Candidates shown: all functions of the caller's and the target's file."""
+    both = t.withColumn("cpath", F.explode(F.array("path", "target_path")))
+    shown = both.join(s.select("namespace", F.col("path").alias("cpath"), "name", "text"), ["namespace", "cpath"])
+    return shown.select("task_id", "text", F.expr("cpath = target_path AND name = target").alias("is_target"))
+
+
+# The import is read at module level too, so the target is in scope without the caller.  A call with b by name binds f
+# and g of any file: in scope two local ones and the target, in the repository two of each file.
+@register("cen2_task_census", f"""SELECT g.namespace, path, 8 AS protocol_candidates, 3 AS protocol_negatives_in_scope, 3 AS scope_local, 1 AS scope_imported, 4 AS scope_shape_matched, 4 AS scope_size, 3 AS scope_bindable, 4 * files - 1 AS repository_size, 2 * files AS repository_bindable,
+  true AS target_independent, true AS scope_target, true AS scope_target_binds, true AS scope_target_unique, true AS repository_target, true AS repository_target_binds, true AS repository_target_unique, false AS scope_solved, false AS filter_resolves, false AS filter_resolves_independently
+  FROM {GOOD} g JOIN {SIZES} s ON g.namespace = s.namespace WHERE linked""")
+def _(spark, d):
+    t, i, x, s, pool = scoped(spark, d)
+    keyed = lambda df: df.withColumn("rendering_hash", F.sha2("text", 256))
+    masked = S.masked(t.join(files(spark, d), ["namespace", "path"]).withColumn("target", F.col("alias"))).withColumn("context_hash", F.sha2("context", 256))
+    sites = masked.join(S.call_sites(masked.select("context")), "context_hash").join(t.select("task_id", "namespace", "path", "caller"), ["namespace", "path", "caller"]).select("task_id", "shapes")
+    read = T.read_outside(i, S.name_reads(x), t).join(t.select("task_id", "namespace", "path", "caller", F.col("alias").alias("_a")), ["namespace", "path", "caller"])
+    read = read.join(i, ["namespace", "path", "alias"]).select("task_id", F.col("target_path").alias("mpath"), "name", F.lit(True).alias("_read")).distinct()
+    scope = keyed(pool).join(sites, "task_id", "left").join(read, ["task_id", "mpath", "name"], "left")
+    scope = scope.withColumns({"bindable": allowed(F.col("params"), F.col("shapes")), "elsewhere": (F.col("source") == "local") | F.coalesce("_read", F.lit(False)), "shape": F.xxhash64("shape")})
+    everything = T.repository_pool(t, s).join(t.select("task_id", "namespace"), "task_id").join(s.select("namespace", F.col("path").alias("mpath"), "name", F.sha2("text", 256).alias("rendering_hash")), ["namespace", "mpath", "name"])
+    repository = everything.join(sites, "task_id", "left").withColumn("bindable", allowed(F.col("params"), F.col("shapes")))
+    out = N.task_census(keyed(protocol(t, s)), scope, repository)
+    return t.select("task_id", "namespace", "path").join(out, "task_id").drop("task_id")
+
+
+# What is reached by names read elsewhere is never more than what all imports reach.
+@register("set7_strict_within_primary", f"SELECT count(*) AS tasks, 0 AS beyond FROM {GOOD} g WHERE linked")
+def _(spark, d):
+    t, i, x = tasks(spark, d)
+    strict, primary = [T.neighbourhood_files(t, S.imports(x), S.symbols(x), i, S.name_reads(x), v) for v in ("independent", "alias")]
+    over = T.beyond(strict, primary).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.select("task_id").join(over, "task_id", "left").agg(F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum("n"), F.lit(0)).alias("beyond"))
+
+
 @register("join9_repository_pool", f"SELECT g.namespace, path, 4 * files - 1 AS repository, 4 * files - 1 AS listed FROM {GOOD} g JOIN {SIZES} s ON g.namespace = s.namespace WHERE linked")
 def _(spark, d):
     t, _i, x = tasks(spark, d)

@@ -108,6 +108,18 @@ def _(spark, d):
     return G.try_plans(G.rank_plans(li).withColumn("ok", F.col("plan_idx") % 4 == 0), 2)
 
 
+TRIED = "(SELECT task_id, coalesce(min(CASE WHEN plan_idx % 4 = 0 AND rank <= 2 THEN rank END), 0) > 0 AS ok, coalesce(min(CASE WHEN plan_idx % 4 = 0 AND rank <= 2 THEN rank END), least(2, count(*))) AS attempts FROM (SELECT task_id, plan_idx, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, plan_idx) AS rank FROM (SELECT l_orderkey AS task_id, l_linenumber AS plan_idx, -min(l_linenumber * {turn} % 5) AS score FROM lineitem GROUP BY 1, 2) x) r GROUP BY task_id)"
+
+
+@register("arg14_paired_plans", f"SELECT b.task_id, b.ok AS b_ok, b.attempts AS b_attempts, a.ok AS a_ok, a.attempts AS a_attempts FROM {TRIED.replace('{turn}', '7')} b JOIN {TRIED.replace('{turn}', '4')} a ON a.task_id = b.task_id")
+def _(spark, d):
+    def arm(turn):
+        li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("plan_idx"), F.lit(0).alias("cand_idx"), (-(F.col("l_linenumber") * turn % 5)).cast("double").alias("log_probability"), F.lit(1).alias("tokens"))
+        return G.rank_plans(li).withColumn("ok", F.col("plan_idx") % 4 == 0)
+
+    return G.try_paired(arm(7), arm(4), 2)
+
+
 @register("arg15_winner_histogram", "SELECT b.cand_idx, count(r.task_id) AS n FROM (SELECT unnest(range(0, 4)) AS cand_idx) b LEFT JOIN (SELECT task_id, plan_idx % 3 AS cand_idx, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, plan_idx) AS rank FROM (SELECT l_orderkey AS task_id, l_linenumber AS plan_idx, -min(l_linenumber * 7 % 5) AS score FROM lineitem GROUP BY 1, 2) x) r ON r.rank = 1 AND r.cand_idx = b.cand_idx GROUP BY b.cand_idx")
 def _(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("plan_idx"), (F.col("l_linenumber") % 3).alias("cand_idx"), (-(F.col("l_linenumber") * 7 % 5)).cast("double").alias("log_probability"), F.lit(1).alias("tokens"))

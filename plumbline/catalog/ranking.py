@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.bridges import RETRIEVAL, sql, view
 from plumbline.functions.expressions import cosine, order_key
 from plumbline.operators import ranking as R
+from plumbline.operators.tasks import stacked
 
 QUERIES, ORACLES = {}, {}
 
@@ -98,6 +99,24 @@ def _(spark, d):
     return R.batches(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("task_id"), (F.col("n_chars") % 3 + 2).alias("k")), 32, 7, 1)
 
 
+# Each batch's tasks in order, with each task's candidates in order: 1, 4, 9, ...
+@register("rnk16_stacked", """SELECT k, batch, CAST(k AS INT) AS size, string_agg(task_id, ',' ORDER BY task_id) AS ids, string_agg(vs, ';' ORDER BY task_id) AS said FROM (
+  SELECT task_id, k, batch, string_agg((i + 1) * (i + 1), ',' ORDER BY i) AS vs FROM (SELECT *, unnest(range(0, k)) AS i FROM (
+    SELECT task_id, k, CAST(floor((row_number() OVER (PARTITION BY k ORDER BY sha256(concat_ws(chr(31), '7', '1', task_id)), task_id) - 1) / 32) AS BIGINT) AS batch FROM (SELECT doc_id AS task_id, n_chars % 3 + 2 AS k FROM documents) t) b) c GROUP BY task_id, k, batch) v GROUP BY k, batch""")
+def _(spark, d):
+    tasks = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("task_id"), (F.col("n_chars") % 3 + 2).alias("k"))
+    rows = R.batches(tasks, 32, 7, 1).withColumn("cand_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)))
+    rows = rows.withColumns({"key": F.struct("k", "batch"), "value": (F.col("cand_idx") + 1) * (F.col("cand_idx") + 1)})
+    out = stacked(rows, "key")
+    strings = lambda x: F.array_join(x.cast("array<string>"), ",")
+    return out.select("key.k", "key.batch", "size", strings(F.col("task_ids")).alias("ids"), F.array_join(F.transform("values", strings), ";").alias("said"))
+
+
+@register("agg17_rank_histogram", f"SELECT namespace, CAST((rank > 1)::INT + (rank > 8)::INT + (rank > 16)::INT + (rank > 32)::INT AS INT) AS bin, count(*) AS n FROM {RANKED} r WHERE is_target GROUP BY 1, 2")
+def _(spark, d):
+    return R.rank_histogram(R.target_ranks(scored(spark, d)), [1, 8, 16, 32], "namespace")
+
+
 @register("agg17_retrieval_quality", f"SELECT namespace, count(*) AS n, round(avg(CAST(rank <= 8 AS INT)), 9) AS recall_8, round(avg(CAST(rank <= 32 AS INT)), 9) AS recall_32, round(avg(1.0 / rank), 9) AS mrr FROM {RANKED} r WHERE is_target GROUP BY namespace")
 def _(spark, d):
     q = R.retrieval_quality(R.target_ranks(scored(spark, d)), [8, 32], "namespace")

@@ -25,6 +25,12 @@ def summarize(pairs: DataFrame, *keys: str) -> DataFrame:
     return sums.withColumn("success_rate_delta", (F.col("assisted_successes") - F.col("baseline_successes")) / F.nullif("tasks", F.lit(0)))
 
 
+def turn_deltas(pairs: DataFrame, *keys: str) -> DataFrame:
+    """How often each difference of attempts (baseline minus assisted) occurs among tasks that both arms solved."""
+    both = pairs.where("a_ok AND b_ok").withColumn("turn_delta", F.col("b_attempts") - F.col("a_attempts"))
+    return both.groupBy(*keys, "turn_delta").agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_tests(summary: DataFrame) -> DataFrame:
     """summary with the exact McNemar and sign test p-values."""
     return summary.withColumns({"mcnemar_p": two_sided_binomial(F.col("assisted_only"), F.col("baseline_only")), "sign_p": two_sided_binomial(F.col("fewer_turns"), F.col("more_turns"))})
@@ -86,6 +92,7 @@ def block_replicates(sources: DataFrame, sums: list[str], samples: int, seed: in
     its part of every replicate.  So a replicate costs a row for each block, not for each draw.
     """
     kind = sources.schema["stratum"].dataType.simpleString()
+    kinds = {s: "double" if sources.schema[s].dataType.typeName() == "double" else "long" for s in sums}
 
     def draw_block(rows):
         import zlib
@@ -102,11 +109,11 @@ def block_replicates(sources: DataFrame, sums: list[str], samples: int, seed: in
             left = np.random.default_rng([seed, name, low, high]).binomial(drawn, (mid - low) * BLOCK / (min(high * BLOCK, n) - low * BLOCK))
             low, high, drawn = (low, mid, left) if block < mid else (mid, high, drawn - left)
         counts = np.random.default_rng([seed, name, block]).multinomial(drawn, [1 / len(rows)] * len(rows))
-        out = pd.DataFrame(counts @ rows[sums].to_numpy(np.int64), columns=sums)
+        out = pd.DataFrame({s: counts @ rows[s].to_numpy(np.float64 if kinds[s] == "double" else np.int64) for s in sums})
         return out.assign(b=np.arange(1, samples + 1), stratum=stratum)[["b", "stratum", *sums]]
 
     blocks = numbered(sources).withColumn("block", F.expr(f"i DIV {BLOCK}"))
-    parts = blocks.groupBy("stratum", "block").applyInPandas(draw_block, f"b long, stratum {kind}, " + ", ".join(f"{s} long" for s in sums))
+    parts = blocks.groupBy("stratum", "block").applyInPandas(draw_block, f"b long, stratum {kind}, " + ", ".join(f"{s} {kinds[s]}" for s in sums))
     return parts.groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
 
 
@@ -202,6 +209,14 @@ def excess(rows: DataFrame, hit: str, chance: Column, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(hit).cast("int")).alias("hits"), F.sum(chance).alias("expected"), F.avg(F.col(hit).cast("int") - chance).alias("excess"))
 
 
+def excess_interval(rows: DataFrame, hit: str, chance: Column, samples: int = 5000, confidence: float = 0.95, seed: int = 0, law: str = "blocks") -> DataFrame:
+    """Mean excess over uniform choice and its interval, sources resampled whole."""
+    over = F.sum(F.col(hit).cast("double") - chance)
+    sources = rows.groupBy(F.lit("all").alias("stratum"), "source").agg(over.alias("e"), F.count(F.lit(1)).alias("n"))
+    values = replicates(sources, ["e", "n"], samples, seed, law).select((F.col("e") / F.col("n")).alias("v"))
+    return sources.agg((F.sum("e") / F.sum("n")).alias("estimate")).join(F.broadcast(interval(values, confidence)))  # one row with one row
+
+
 def gate(result: DataFrame) -> DataFrame:
     """Three conditions at once: better count, significant, interval above zero."""
     return result.withColumns({"better": F.col("assisted_successes") > F.col("baseline_successes"), "significant": F.col("mcnemar_p") < 0.05, "above_zero": F.col("lower") > 0}).withColumn("passes", F.expr("better AND significant AND above_zero"))

@@ -5,7 +5,7 @@ members: corpus or namespace, task_id, bindable, is_target; one row for each can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ def predicate_census(members: DataFrame) -> DataFrame:
     )
 
 
-def pool_census(members: DataFrame, body_chars: int = 768) -> DataFrame:
+def pool_census(members: DataFrame) -> DataFrame:
     """For each task and level: members, distinct renderings, those that bind, whether the target is among them and unique.
 
     members: task_id, level, rendering_hash, bindable, is_target.  Renderings are deduplicated by grouping first.
@@ -34,6 +34,45 @@ def pool_census(members: DataFrame, body_chars: int = 768) -> DataFrame:
     return g.withColumn("unique", F.col("like_target") == 1).withColumn("uniform", F.when(F.col("bindable") > 0, 1 / F.col("bindable")).otherwise(F.lit(0.0)))
 
 
+def _level(pool: DataFrame, wanted: DataFrame, prefix: str) -> DataFrame:
+    """Counts of one pool by distinct rendering: size, bindable, and whether the wanted one is in, binds, binds once."""
+    per = pool.groupBy("task_id", "rendering_hash").agg(F.count_if("bindable").alias("n")).join(wanted, "task_id")
+    mine = F.col("rendering_hash") == F.col("wanted")
+    g = per.groupBy("task_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("n") > 0).alias("bindable"), F.bool_or(mine).alias("target"), F.max(F.when(mine, F.col("n"))).alias("_like"))
+    like = F.coalesce("_like", F.lit(0))
+    return g.select("task_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("size", "bindable", "target")], (like >= 1).alias(f"{prefix}_target_binds"), (like == 1).alias(f"{prefix}_target_unique"))
+
+
+def task_census(protocol: DataFrame, scope: DataFrame, repository: DataFrame) -> DataFrame:
+    """A row for each task: what it shows, and what its scope and its repository hold, by distinct rendering.
+
+    protocol: task_id, rendering_hash, is_target, the candidates shown; scope: task_id, ord, rendering_hash, shape,
+    bindable, source ('local' or 'imported') and elsewhere, true for local members and for imported ones whose alias is
+    read outside the caller; repository: task_id, rendering_hash, bindable.  A task without members counts 0 and false.
+    shape is any orderable value that is equal for equal call shapes.  scope_solved: bindability leaves the target alone;
+    filter_resolves: no wrong candidate shown is in scope, but the target; independently: without its own import line.
+    """
+    wanted = protocol.where("is_target").select("task_id", F.col("rendering_hash").alias("wanted")).distinct()
+    shown = protocol.groupBy("task_id").agg(F.count(F.lit(1)).alias("protocol_candidates"))
+    inside = scope.select("task_id", "rendering_hash").distinct()
+    negatives = protocol.where("NOT is_target").join(inside, ["task_id", "rendering_hash"], "left_semi").groupBy("task_id").agg(F.count(F.lit(1)).alias("protocol_negatives_in_scope"))
+    kinds = scope.groupBy("task_id").agg(F.count_if(F.col("source") == "local").alias("scope_local"), F.count_if(F.col("source") == "imported").alias("scope_imported"))
+    # a rendering's shape is that of its first member
+    per = scope.groupBy("task_id", "rendering_hash").agg(F.min_by("shape", "ord").alias("shape"), F.bool_or("elsewhere").alias("elsewhere")).join(wanted, "task_id")
+    mine = F.col("rendering_hash") == F.col("wanted")
+    per = per.withColumn("_shape", F.max(F.when(mine, F.col("shape"))).over(Window.partitionBy("task_id")))
+    shapes = per.groupBy("task_id").agg(F.count_if(F.col("shape") == F.col("_shape")).alias("scope_shape_matched"), F.coalesce(F.bool_or(mine & F.col("elsewhere")), F.lit(False)).alias("target_independent"))
+    out = shown.join(wanted, "task_id")
+    for part in (negatives, kinds, shapes, _level(scope, wanted, "scope"), _level(repository, wanted, "repository")):
+        out = out.join(part, "task_id", "left")
+    flags = ["target_independent", *[f"{level}_{c}" for level in ("scope", "repository") for c in ("target", "target_binds", "target_unique")]]
+    numbers = ["protocol_negatives_in_scope", "scope_local", "scope_imported", "scope_shape_matched", *[f"{level}_{c}" for level in ("scope", "repository") for c in ("size", "bindable")]]
+    out = out.select("task_id", "protocol_candidates", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+    solved: Column = F.col("scope_target_binds") & (F.col("scope_bindable") == 1)
+    resolves = F.col("scope_target") & (F.col("protocol_negatives_in_scope") == 0)
+    return out.withColumns({"scope_solved": solved, "filter_resolves": resolves, "filter_resolves_independently": resolves & F.col("target_independent")})
+
+
 def repose(members: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """Tasks posed anew over their complete bindable pool, or the target and k - 1 others, in seeded order.
 

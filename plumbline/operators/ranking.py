@@ -181,6 +181,12 @@ def retrieval_quality(ranks: DataFrame, cuts: list[int], *keys: str) -> DataFram
     return ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"recall_{k}") for k in cuts], F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
+def rank_histogram(ranks: DataFrame, edges: list[int], *keys: str) -> DataFrame:
+    """How many targets have a rank above each number of edges (bin 0: at most the first); null bin: not in the pool."""
+    b = sum(((F.col("rank") > e).cast("int") for e in sorted(edges)), F.lit(0))
+    return ranks.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def pool_bins(ranks: DataFrame, edges: list[int]) -> DataFrame:
     """Hits and their expectation in bins of pool size fixed beforehand."""
     b = sum(((F.col("pool") > e).cast("int") for e in edges), F.lit(0))
@@ -233,3 +239,16 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     """Jaccard overlap of two texts' token sets."""
     x, y = F.array_distinct(tokens(F.lower(a))), F.array_distinct(tokens(F.lower(b)))
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+def structural_baseline(candidates: DataFrame, *keys: str) -> DataFrame:
+    """Expected hits of choosing by file and arity alone: (n, hits, accuracy) for each key or in total.
+
+    candidates: task_id, is_target, same_file, same_arity.  Those that agree in most of the two are the choice; where
+    they are several, each is as likely, so a tie counts its share and no order of candidates matters.
+    """
+    score = F.col("same_file").cast("int") + F.col("same_arity").cast("int")
+    x = candidates.select(*keys, "task_id", "is_target", score.alias("score"))
+    per = x.groupBy(*keys, "task_id", "score").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_target").alias("hit"))
+    best = per.groupBy(*keys, "task_id").agg(F.max_by(F.when(F.col("hit"), 1 / F.col("n")).otherwise(F.lit(0.0)), "score").alias("hit"))
+    return best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("accuracy"))

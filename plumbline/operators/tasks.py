@@ -57,9 +57,12 @@ def symbol_id(*prefix: str):
 def call_decisions(symbols: DataFrame, edges: DataFrame, most: int = 16, seed: int = 0) -> DataFrame:
     """Candidates of direct-call decisions: the target, local functions first, then others of the repository, up to `most`."""
     tasks = with_task(edges, "namespace", "path", "caller", "target")
-    pool = tasks.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal"), "namespace")
     target = by_name(symbols).select(*FILE, F.col("name").alias("target"), F.col("ordinal").alias("tord"))
-    pool = pool.join(target, [*FILE, "target"]).withColumn("is_target", F.expr("cpath = path AND name = target AND ordinal = tord"))
+    # another definition that is the target's twin is no wrong candidate
+    twin = F.max("ordinal").over(Window.partitionBy(*FILE, "name", F.xxhash64("signature", "body"))).alias("_twin")
+    pool = tasks.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal", twin), "namespace").join(target, [*FILE, "target"])
+    pool = pool.withColumn("is_target", F.expr("cpath = path AND name = target AND ordinal = tord"))
+    pool = pool.where("is_target OR NOT (cpath = path AND name = target AND _twin = tord)").drop("_twin")
     pool = pool.withColumn("sym", symbol_id("cpath"))
     return with_text(choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc()), symbols)
 

@@ -264,6 +264,12 @@ def try_plans(ranked: DataFrame, max_attempts: int) -> DataFrame:
     return g.select("task_id", F.col("hit").isNotNull().alias("success"), F.coalesce(F.col("hit").cast("long"), F.col("n")).alias("attempts"))
 
 
+def try_paired(baseline: DataFrame, assisted: DataFrame, max_attempts: int) -> DataFrame:
+    """(task_id, b_ok, b_attempts, a_ok, a_attempts): try_plans() of both arms' rankings of the same tasks, side by side."""
+    arm = lambda ranked, p: try_plans(ranked, max_attempts).select("task_id", F.col("success").alias(f"{p}_ok"), F.col("attempts").alias(f"{p}_attempts"))
+    return arm(baseline, "b").join(arm(assisted, "a"), "task_id")
+
+
 def winner_histogram(ranked: DataFrame, count: int) -> DataFrame:
     """How often each candidate holds the first plan; empty bins are 0."""
     bins = ranked.sparkSession.range(count).select(F.col("id").alias("cand_idx"))

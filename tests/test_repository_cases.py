@@ -8,6 +8,7 @@ from plumbline.functions import pysource
 from plumbline.functions import texts as X
 from plumbline.functions.selection import stripped
 from plumbline.operators import paired as P
+from plumbline.operators import pools as N
 from plumbline.operators import ranking as R
 from plumbline.operators import repairs
 from plumbline.operators import splits
@@ -108,6 +109,76 @@ def test_targets_by_rendering(spark, parts):
     assert {r.task_id: r.n for r in T.negatives_in_scope(wrong, pool.select("task_id", "text")).collect()} == {1: 1, 2: 0}
 
 
+def test_task_census(spark):
+    # 1: two members share the target's rendering; 2: the target alone binds; 3: not in scope; 4: nothing in any pool
+    protocol = spark.createDataFrame([(t, h, h == "t") for t in (1, 2, 3, 4) for h in ("t", "w")] + [(1, "w", False)], "task_id int, rendering_hash string, is_target boolean")
+    scope = [(1, 1, "t", 7, True, "local", True), (1, 2, "t", 8, True, "imported", False), (1, 3, "w", 7, False, "local", True), (2, 1, "t", 7, True, "imported", False), (2, 2, "o", 7, False, "local", True), (3, 1, "o", 7, True, "local", True)]
+    scope = spark.createDataFrame(scope, "task_id int, ord int, rendering_hash string, shape int, bindable boolean, source string, elsewhere boolean")
+    repository = spark.createDataFrame([(1, "t", True), (1, "t", False), (2, "t", False), (3, "t", True), (3, "w", True)], "task_id int, rendering_hash string, bindable boolean")
+    got = {r.task_id: r.asDict() for r in N.task_census(protocol, scope, repository).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    pick = lambda t, *names: tuple(got[t][n] for n in names)
+    counts = ("protocol_candidates", "protocol_negatives_in_scope", "scope_local", "scope_imported", "scope_size", "scope_bindable", "scope_shape_matched", "repository_size", "repository_bindable")
+    assert [pick(t, *counts) for t in (1, 2, 3, 4)] == [(3, 2, 2, 1, 2, 1, 2, 1, 1), (2, 0, 1, 1, 2, 1, 2, 1, 0), (2, 0, 1, 0, 1, 1, 0, 2, 2), (2, 0, 0, 0, 0, 0, 0, 0, 0)]
+    flags = ("scope_target", "scope_target_binds", "scope_target_unique", "target_independent", "repository_target", "repository_target_unique", "scope_solved", "filter_resolves", "filter_resolves_independently")
+    assert [pick(t, *flags) for t in (1, 2, 3, 4)] == [
+        (True, True, False, True, True, True, True, False, False), (True, True, True, False, True, False, True, True, False),
+        (False, False, False, False, True, True, False, False, False), (False,) * 9,
+    ]
+
+
+def test_twin_of_the_target_is_no_candidate(spark):
+    text = "def f(a):\n    return a\n\ndef f(a):\n    return a\n\ndef h(a):\n    return a\n\ndef h(a):\n    return a\n\ndef g(a):\n    return f(a)\n"
+    x = S.readable(S.extract(spark.createDataFrame([("n", "m.py", text)], "namespace string, path string, content string"))).cache()
+    symbols = S.symbols(x)
+    got = T.call_decisions(symbols, T.single_target_callers(symbols, S.calls(x))).where("caller = 'g'").collect()
+    assert sorted((r.name, r.ordinal, r.is_target) for r in got) == [("f", 1, True), ("g", 4, False), ("h", 2, False), ("h", 3, False)]
+
+
+def test_histograms_and_baselines(spark):
+    ranks = spark.createDataFrame([(1,), (8,), (9,), (None,)], "rank int")
+    assert {r.bin: r.n for r in R.rank_histogram(ranks, [8, 1]).collect()} == {0: 1, 1: 1, 2: 1, None: 1}
+    shown = [(1, True, True, True), (1, False, True, True), (1, False, False, False), (2, True, False, False), (2, False, True, False)]
+    r = R.structural_baseline(spark.createDataFrame(shown, "task_id int, is_target boolean, same_file boolean, same_arity boolean")).first()
+    assert (r.n, r.hits, r.accuracy) == (2, 0.5, 0.25)
+    pairs = spark.createDataFrame([(True, True, 2, 1), (True, True, 3, 2), (True, True, 1, 1), (True, False, 3, 1)], "a_ok boolean, b_ok boolean, b_attempts int, a_attempts int")
+    assert {r.turn_delta: r.n for r in P.turn_deltas(pairs).collect()} == {1: 2, 0: 1}
+
+
+def test_paired_arms_of_plans(spark):
+    arm = lambda *hits: spark.createDataFrame([(t, r, h == r) for t, h in hits for r in (1, 2, 3)], "task_id int, rank int, ok boolean")
+    got = {r.task_id: tuple(r)[1:] for r in G.try_paired(arm((1, 1), (2, 3)), arm((1, 2), (2, 0)), 2).collect()}
+    assert got == {1: (True, 1, True, 2), 2: (False, 2, False, 2)}
+
+
+def test_excess_interval(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k % 40}", bool(rng.random() < 0.5), int(rng.integers(2, 6))) for k in range(800)]
+    df = spark.createDataFrame(rows, "source string, ok boolean, pool int")
+    want = np.mean([o - 1 / p for _, o, p in rows])
+    a, b = [P.excess_interval(df, "ok", 1 / F.col("pool"), 2000, seed=1, law=law).first() for law in ("blocks", "draws")]
+    assert abs(a.estimate - want) < 1e-12 and a.samples == b.samples == 2000
+    assert abs(a.lower - b.lower) < 0.01 and abs(a.upper - b.upper) < 0.01 and a.lower < want < a.upper
+
+
+def test_mlp_scores_are_the_plain_ones(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    d, h = 3, 4
+    f = 7 * d
+    w = {"gamma": rng.normal(size=f).tolist(), "beta": rng.normal(size=f).tolist(), "w1": rng.normal(size=(h, f)).tolist(), "b1": rng.normal(size=h).tolist(), "w2": rng.normal(size=h).tolist(), "b2": 0.3}
+    rows = [(k, 0, rng.normal(size=d).tolist(), rng.normal(size=d).tolist(), rng.normal(size=d).tolist()) for k in range(6)]
+    got = {r.task_id: r.score for r in R.mlp_scores(spark.createDataFrame(rows, "task_id int, cand_idx int, context array<double>, question array<double>, candidate array<double>"), w).collect()}
+    for k, _, c, q, x in rows:
+        c, q, x = map(np.array, (c, q, x))
+        v = np.concatenate([c, q, x, c * x, q * x, abs(c - x), abs(q - x)])
+        v = (v - v.mean()) / math.sqrt(v.var() + 1e-5) * np.array(w["gamma"]) + np.array(w["beta"])
+        hidden = np.array(w["w1"]) @ v + np.array(w["b1"])
+        hidden = np.array([z * 0.5 * (1 + math.erf(z / math.sqrt(2))) for z in hidden])
+        assert abs(got[k] - (hidden @ np.array(w["w2"]) + w["b2"])) < 1e-9
+
+
 def test_stacked(spark):
     rows = [("a", 1, k, k * 10) for k in (1, 0)] + [("a", 2, k, k) for k in (0, 1)]
     df = spark.createDataFrame(rows, "batch string, task_id int, cand_idx int, value int")

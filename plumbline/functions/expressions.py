@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,23 @@ def order_key(*parts: Column | str | int) -> Column:
     return F.sha2(F.concat_ws(chr(31), *[c.cast("string") for c in cols]), 256)
 
 
+def numbered(df: DataFrame, name: str, keys: list[str], key: str, *ties: str, digits: int = 4) -> DataFrame:
+    """df with each row's place (from 0) among the rows of equal keys, in the order of a hex digest and then of ties.
+
+    The digest's first digits deal a group's rows to ranges; a place is that in the range plus the sizes of those before,
+    so that no task sorts a whole group, however large.
+    """
+    x = df.withColumn("_range", F.substring(key, 1, digits))
+    sizes = x.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_range").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = x.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(key, *ties)) - 1)
+    return own.join(starts, same).select(*df.columns, (F.col("_start") + F.col("_own")).cast("long").alias(name))
+
+
 def draw(n: Column, *parts: Column | str | int) -> Column:
     """A whole number from 0 to n - 1 drawn by a hash of the parts."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

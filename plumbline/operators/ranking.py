@@ -164,10 +164,10 @@ def cross_entropy(scores: DataFrame) -> DataFrame:
 
 def batches(tasks: DataFrame, batch: int, *seed) -> DataFrame:
     """tasks (task_id, k) with batch numbers: tasks of equal candidate count only, in seeded order."""
-    from plumbline.functions.expressions import order_key
+    from plumbline.functions.expressions import numbered, order_key
 
-    at = F.row_number().over(Window.partitionBy("k").orderBy(order_key(*seed, F.col("task_id")), "task_id")) - 1
-    return tasks.withColumn("batch", F.floor(at / batch).cast("long"))
+    at = numbered(tasks.withColumn("_h", order_key(*seed, F.col("task_id"))), "_at", ["k"], "_h", "task_id")
+    return at.withColumn("batch", F.floor(F.col("_at") / batch).cast("long")).drop("_h", "_at")
 
 
 def target_ranks(scores: DataFrame, *order: Column) -> DataFrame:

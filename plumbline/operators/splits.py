@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from fractions import Fraction
+from functools import lru_cache
+from itertools import permutations
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import order_key
+from plumbline.functions.expressions import numbered, order_key
 
 SPLITS = ("train", "validation", "test")
 
@@ -35,60 +39,128 @@ def hash_split(examples: DataFrame, seed: int = 0, train: float = 0.7, validatio
     return examples.withColumn("split", F.when(h < hex_threshold(train), "train").when(h < hex_threshold(train + validation), "validation").otherwise("test"))
 
 
-def assign_balanced(groups: list[tuple[str, int, str]], targets: dict[str, float]) -> dict[str, str]:
-    """Split of each (source, size, hash): the largest seed every active split, the rest go where the squared relative error grows least.
+def progressions(size: int, filled: tuple, targets: tuple) -> list[tuple[str, int, int]]:
+    """(split, first, step) of each split with a target: how the cost grows by its first source of this size and, from
+    one such source to the next, by how much more.
+
+    The cost is the sum of squared errors relative to the targets; the numbers are exact, on a common scale.
+    """
+    terms = []
+    for s, f, t in zip(SPLITS, filled, targets, strict=True):
+        if t > 0:
+            d = Fraction(max(t, 1.0)) ** 2
+            terms.append((s, (2 * size * (f - Fraction(t)) + size * size) / d, 2 * size * size / d))
+    scale = lcm(*[x.denominator for _, a, b in terms for x in (a, b)])
+    return [(s, int(a * scale), int(b * scale)) for s, a, b in terms]
+
+
+def turn(lists: list[tuple[str, int, int]], k: int, j: int) -> int:
+    """The turn (from 0) at which the k-th split gets its j-th source of a run, when the cheapest always comes next.
 
-    Costs are compared as exact fractions of the targets, so ties are ties.
+    Costs of a split rise steadily, so turns are places in a merge of rising lists; of equal costs the first split's is next.
     """
-    from itertools import permutations
+    v = lists[k][1] + j * lists[k][2]
+    return j + sum(max(0, (v - a) // b + 1 if i < k else -((a - v) // b)) for i, (_, a, b) in enumerate(lists) if i != k)
+
+
+def taken(lists: list[tuple[str, int, int]], k: int, turns: int) -> int:
+    """How many of the first turns are the k-th split's."""
+    lo, hi = 0, turns
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (mid + 1, hi) if turn(lists, k, mid) < turns else (lo, mid)
+    return lo
+
+
+def split_at(lists: list[tuple[str, int, int]], at: int) -> str:
+    """The split whose turn it is."""
+    return next(lists[k][0] for k in range(len(lists)) if taken(lists, k, at + 1) > taken(lists, k, at))
 
-    active = [s for s in SPLITS if targets[s] > 0]
-    if len(groups) < len(active):
+
+def walk(runs: list[tuple[int, int]], targets: tuple) -> list[tuple[int, list[str], tuple]]:
+    """(size, splits of the run's sources that seed one, rows of each split before the others) of each (size, sources).
+
+    The largest sources seed every split, at the least cost; a source counts by its size alone, so a run is one step.
+    """
+    active = [k for k, t in enumerate(targets) if t > 0]
+    runs = sorted(runs, reverse=True)
+    if sum(n for _, n in runs) < len(active):
         raise ValueError("fewer sources than splits")
-    ordered = sorted(groups, key=lambda g: (-g[1], g[2], g[0]))
-    scale = {s: Fraction(max(targets[s], 1.0)) for s in SPLITS}
-
-    def cost(filled: dict[str, int]) -> Fraction:
-        return sum(((filled[s] - Fraction(targets[s])) / scale[s]) ** 2 for s in active)
-
-    def started(order) -> dict[str, int]:
-        return {s: next((g[1] for g, o in zip(ordered, order, strict=False) if o == s), 0) for s in SPLITS}
-
-    best = min(permutations(active), key=lambda order: cost(started(order)))
-    filled = started(best)
-    out = {g[0]: s for g, s in zip(ordered, best, strict=False)}
-    for name, size, _ in ordered[len(active) :]:
-        pick = min(active, key=lambda s: cost(filled | {s: filled[s] + size}))
-        filled[pick] += size
-        out[name] = pick
+    largest = [size for size, n in runs for _ in range(min(n, len(active)))][: len(active)]
+    scale = [Fraction(max(t, 1.0)) for t in targets]
+    cost = lambda order: sum(((n - Fraction(targets[k])) / scale[k]) ** 2 for k, n in zip(order, largest, strict=True))
+    seeds = list(min(permutations(active), key=cost))
+    filled = [0, 0, 0]
+    for k, n in zip(seeds, largest, strict=True):
+        filled[k] = n
+    out = []
+    for size, n in runs:
+        mine, seeds = seeds[:n], seeds[n:]
+        out.append((size, [SPLITS[k] for k in mine], tuple(filled)))
+        if rest := n - len(mine):
+            lists = progressions(size, tuple(filled), targets)
+            for i, k in enumerate(active):
+                filled[k] += size * taken(lists, i, rest)
+    return out
+
+
+def assign_balanced(groups: list[tuple[str, int, str]], targets: dict[str, float]) -> dict[str, str]:
+    """Split of each of a few (source, size, hash): the largest seed every split with a target, the rest go where the
+    squared relative error grows least."""
+    goal = tuple(targets[s] for s in SPLITS)
+    sizes = Counter(g[1] for g in groups)
+    steps = {size: (seeds, progressions(size, filled, goal)) for size, seeds, filled in walk(list(sizes.items()), goal)}
+    out, seen = {}, Counter()
+    for name, size, _ in sorted(groups, key=lambda g: (-g[1], g[2], g[0])):
+        seeds, lists = steps[size]
+        at, seen[size] = seen[size], seen[size] + 1
+        out[name] = seeds[at] if at < len(seeds) else split_at(lists, at - len(seeds))
     return out
 
 
 def balanced_split(examples: DataFrame, seed: int = 0, train: float = 0.7, validation: float = 0.15, within: str | None = None, small: str = "train") -> DataFrame:
     """examples with a split column that balances row counts, sources whole; within: in each namespace by itself.
 
-    Only counts for each source are looked at one by one; they join back to the rows.  A namespace with fewer sources
-    than splits goes to train, or is an error.
+    Sources of one size are a run, and the runs alone (how many sources have each size) are walked in one task, largest
+    first; a source then finds its split by its place in its run.  A namespace with fewer sources than splits goes to
+    train, or is an error.  Rows without a source are one source.
     """
-    key = F.col(within) if within else F.lit("all")
-    counts = examples.groupBy(key.alias("_part"), "source").agg(F.count(F.lit(1)).alias("n")).withColumn("h", source_hash(seed))
-    shares = {"train": train, "validation": validation, "test": 1 - train - validation}
+    part = F.col(within) if within else F.lit("all")
+    counts = examples.groupBy(part.alias("_part"), "source").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.coalesce(source_hash(seed), F.lit("0" * 16)))
+    kind = counts.schema["_part"].dataType.simpleString()
+    shares = (train, validation, 1 - train - validation)
 
-    def assign(rows):
+    def follow(rows):
         import pandas as pd
 
-        groups = list(zip(rows["source"], rows["n"].astype(int), rows["h"], strict=True))
-        total = sum(g[1] for g in groups)
-        targets = {s: total * shares[s] for s in SPLITS}
-        if len(groups) < sum(t > 0 for t in targets.values()):
-            if small != "train":
-                raise ValueError(f"too few sources in {rows['_part'].iloc[0]}")
-            split = {g[0]: "train" for g in groups}
+        runs = list(zip(rows["_n"].astype(int).tolist(), rows["sources"].astype(int).tolist(), strict=True))
+        total, sources = sum(n * k for n, k in runs), sum(k for _, k in runs)
+        targets = tuple(total * s for s in shares)
+        if sources >= sum(t > 0 for t in targets):
+            steps = walk(runs, targets)
+        elif small == "train":
+            steps = [(n, ["train"] * k, (0, 0, 0)) for n, k in runs]
         else:
-            split = assign_balanced(groups, targets)
-        return pd.DataFrame({"source": rows["source"], "split": [split[s] for s in rows["source"]]})
-
-    return examples.join(counts.groupBy("_part").applyInPandas(assign, "source string, split string"), "source")
+            raise ValueError(f"too few sources in {rows['_part'].iloc[0]}")
+        part = rows["_part"].iloc[0]
+        return pd.DataFrame({"_p": [part] * len(steps), "_size": [s[0] for s in steps], "seeds": [s[1] for s in steps], "filled": [list(s[2]) for s in steps], "total": [total] * len(steps)})
+
+    def place(frames):
+        known = lru_cache(4096)(progressions)
+        for rows in frames:
+            split = []
+            for at, n, seeds, filled, total in zip(*[rows[c].tolist() for c in ("_at", "_n", "seeds", "filled", "total")], strict=True):
+                lists = None if at < len(seeds) else known(n, tuple(int(f) for f in filled), tuple(total * s for s in shares))
+                split.append(split_at(lists, at - len(seeds)) if lists else seeds[at])
+            yield rows[["_part", "source"]].assign(split=split)
+
+    runs = counts.groupBy("_part", "_n").agg(F.count(F.lit(1)).alias("sources"))
+    steps = runs.groupBy("_part").applyInPandas(follow, f"_p {kind}, _size long, seeds array<string>, filled array<long>, total long")
+    placed = numbered(counts, "_at", ["_part", "_n"], "_h", "source")
+    placed = placed.join(steps, F.col("_part").eqNullSafe(F.col("_p")) & (F.col("_n") == F.col("_size"))).select("_part", "source", "_at", "_n", "seeds", "filled", "total")
+    found = placed.mapInPandas(place, f"_part {kind}, source string, split string").withColumnRenamed("source", "_source")
+    on = F.col("source").eqNullSafe(F.col("_source")) & part.eqNullSafe(F.col("_part"))
+    return examples.join(found, on).drop("_part", "_source")
 
 
 def holdout(examples: DataFrame, held_out: list[str], seed: int = 0, validation: float = 0.0) -> DataFrame:
@@ -113,6 +185,7 @@ def stratified_sample(examples: DataFrame, quota: int, size: int, *strata: str,
     """Up to quota rows of each stratum in stable hash order, then the next rows of all until size is reached."""
     h = order_key(seed, "sample", F.col("task_id"))
     rows = examples.withColumn("_h", h).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", "task_id")))
+    rows = rows.where(F.col("_n") <= quota + size)  # a stratum can give no more, and Spark cuts it before it shuffles
     first = rows.where(F.col("_n") <= quota)
     have = first.count()
     rest = rows.where(F.col("_n") > quota).orderBy("_h", "task_id").limit(max(0, size - have))

@@ -16,8 +16,8 @@ FILE = ["namespace", "path"]
 
 def by_name(symbols: DataFrame) -> DataFrame:
     """One symbol for each name of a file: the last definition."""
-    g = symbols.groupBy(*FILE, "name").agg(F.max_by(F.struct("ordinal", "signature", "body", "shape", "params"), "ordinal").alias("s"))
-    return g.select(*FILE, "name", "s.*")
+    # columns by themselves, so that those nobody reads are pruned
+    return symbols.groupBy(*FILE, "name").agg(*[F.max_by(c, "ordinal").alias(c) for c in ("ordinal", "signature", "body", "shape", "params")])
 
 
 def single_target_callers(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -67,9 +67,10 @@ def call_decisions(symbols: DataFrame, edges: DataFrame, most: int = 16, seed: i
     return with_text(choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc()), symbols)
 
 
-def with_text(chosen: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The chosen candidates (namespace, cpath, name, ordinal) with signature and body, which no pool carries."""
-    return chosen.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal", "signature", "body"), ["namespace", "cpath", "name", "ordinal"])
+def with_text(chosen: DataFrame, symbols: DataFrame, path: str = "cpath", *more: str) -> DataFrame:
+    """The chosen candidates (namespace, path, more keys, name, ordinal) with signature and body, which no pool carries."""
+    keys = ["namespace", path, *more, "name", "ordinal"]
+    return chosen.join(symbols.withColumn(path, F.col("path")).select(*keys, "signature", "body"), keys)
 
 
 def masked_call_decisions(symbols: DataFrame, edges: DataFrame, contexts: DataFrame, most: int = 16, chars: int = 768, seed: int = 0) -> DataFrame:
@@ -130,9 +131,9 @@ def hard_decisions(symbols: DataFrame, edges: DataFrame, k: int = 4, seed: int =
     tasks = with_task(edges, "namespace", "path", "caller", "target")
     tasks = tasks.join(last.select(*FILE, F.col("name").alias("target"), "shape", F.col("ordinal").alias("tord")), [*FILE, "target"])
     tasks = tasks.join(last.select(*FILE, F.col("name").alias("caller"), F.col("ordinal").alias("cord")), [*FILE, "caller"])
-    pool = tasks.join(symbols.select(*FILE, "shape", "name", "ordinal", "signature", "body"), [*FILE, "shape"]).where("ordinal <> cord")
+    pool = tasks.join(symbols.select(*FILE, "shape", "name", "ordinal"), [*FILE, "shape"]).where("ordinal <> cord")
     pool = pool.withColumns({"is_target": F.expr("ordinal = tord"), "sym": symbol_id(), "_n": F.count(F.lit(1)).over(Window.partitionBy("task_id"))})
-    return choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed)
+    return with_text(choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed), symbols, "path")
 
 
 def method_decisions(methods: DataFrame, method_calls: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
@@ -144,9 +145,9 @@ def method_decisions(methods: DataFrame, method_calls: DataFrame, k: int = 4, se
     one = method_calls.where("caller <> callee").join(names, [*cls, "callee"], "left_semi").groupBy(*cls, "caller").agg(F.collect_set("callee").alias("c")).where("size(c) = 1")
     tasks = with_task(one.select(*cls, "caller", F.get("c", F.lit(0)).alias("target")), *cls, "caller")
     tasks = tasks.join(usable.select(*cls, F.col("name").alias("target"), "binding", "shape"), [*cls, "target"])
-    pool = tasks.join(usable.select(*cls, "binding", "shape", "name", "ordinal", "signature", "body"), [*cls, "binding", "shape"]).where("name <> caller")
+    pool = tasks.join(usable.select(*cls, "binding", "shape", "name", "ordinal"), [*cls, "binding", "shape"]).where("name <> caller")
     pool = pool.withColumns({"is_target": F.col("name") == F.col("target"), "sym": symbol_id(), "_n": F.count(F.lit(1)).over(Window.partitionBy("task_id"))})
-    return choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed)
+    return with_text(choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed), methods, "path", "class_name")
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, roots: tuple = ("", "src")) -> DataFrame:

@@ -3,9 +3,10 @@
 Tokenizing is one pass over Arrow batches: each document's ids, closed by the end id, are cut into pieces of the
 sequence length and a rest, and only a piece's place, length and checksum go on.  Whole pieces are sequences by
 themselves.  Rests are dealt at random (by a hash of the row's number, which is written down first, so a lost task is
-redone alike) to groups of about `group_tokens` tokens; the number of groups follows from the tokens of all rests.
+redone alike) to groups of about `group_tokens` tokens or, where most are short, of about `group_rows` rests; the
+number of groups follows from the tokens and the rows of all rests.
 Within a group rests go, longest first, into the first sequence with room, which a tournament tree over the free
-room of the sequences finds in logarithmic time.  A group is bounded by its token count, whatever the documents.
+room of the sequences finds in logarithmic time.  Both bounds hold whatever the documents are, so a group fits one task.
 
 Cases: a null or blank text is the end id alone; null ids and rows that repeat are documents of their own; ties in
 length go by row number; an empty table gives an empty result; columns beyond doc_id and text are ignored.
@@ -30,6 +31,7 @@ class PackParams:
     end_id: int = 2
     length: int = 4096
     group_tokens: int = 8_000_000
+    group_rows: int = 500_000
     cached: int = 1_000_000  # strings between blanks, and pieces of them, whose ids a worker remembers
     seed: int = 11
 
@@ -188,8 +190,8 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     pieces = cut(tokenize(docs, p).withColumn("row", F.monotonically_increasing_id()))
     rests = pieces.where(F.col("length") < p.length)
-    tokens = rests.agg(F.sum("length")).first()[0] or 0
-    groups = 1 + tokens // p.group_tokens
+    tokens, count = rests.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = 1 + max(tokens // p.group_tokens, count // p.group_rows)
 
     def fill(rows):
         rows = rows.sort_values("row")

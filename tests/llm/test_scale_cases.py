@@ -299,3 +299,12 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert run("no_labels", rows, []) == []
     out = run("odd", rows, marks)
     assert {r.doc_id for r in out} <= {r[0] for r in rows} and len({(r.doc_id, r.start) for r in out}) == len(out)
+
+
+def test_packing_of_many_short_documents(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    got = packing.pack(docs, packing.PackParams(WORDS, group_rows=100)).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 1000 and len(groups) == 11 and max(groups.values()) < 200
+    for s in {r.sequence_id for r in got}:
+        assert sorted(r.offset for r in got if r.sequence_id == s) == list(range(sum(r.sequence_id == s for r in got)))

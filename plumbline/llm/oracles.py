@@ -59,4 +59,31 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a,
 SELECT vec_id, (SELECT count(*) FROM two WHERE two.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON vec_id = c.a
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_quality_rules": OP4, "op6_near_dedup": OP6, "op8_vector_dedup": OP8}
+OP11 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, form, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+OP12 = f"""
+WITH RECURSIVE bit AS (SELECT k, 0 AS step, k AS c FROM range(256) r(k) UNION ALL SELECT k, step + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE step < 8),
+tab AS (SELECT list(c ORDER BY k) AS tab FROM bit WHERE step = 8),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents) x WHERE length(run) >= 7 GROUP BY 1, 2),
+b AS (SELECT run, n, list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)) AS bytes FROM (SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM r) y),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda a, c: xor(a >> 8, tab[1 + xor(a & 255, c)])), 4294967295) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v) x),
+s AS (SELECT word, n, substr(word, 1, i - 1) || chr(0) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v) x),
+one AS (SELECT a.word AS a, b.word AS b, b.n FROM s a JOIN s b ON a.rest = b.rest AND a.word <> b.word UNION ALL SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION ALL SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+m AS (SELECT a, count(*) AS n_near, min({{'n': -n, 'word': b}}) AS best FROM one GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * n THEN best.word END AS form, CASE WHEN -best.n >= 10 * n THEN -best.n END AS form_n FROM v LEFT JOIN m ON a = word),
+go AS (SELECT word, word AS at, form AS onward FROM f UNION ALL SELECT go.word, f.word, f.form FROM go JOIN f ON f.word = go.onward)
+SELECT f.word, f.form, go.at AS root, f.n, f.n_near, f.form_n FROM f JOIN go ON go.word = f.word AND go.onward IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_quality_rules": OP4, "op6_near_dedup": OP6, "op8_vector_dedup": OP8, "op11_fill_in_middle": OP11, "op12_spelling_variants": OP12}

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators; each applies one with production parameters to its whole table."""
+"""The registered queries of the thirteen operators; each applies one with production parameters to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter, vector_dedup
+from plumbline.llm import bpe, chat, fill_middle, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_ids, url_filter, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -60,4 +60,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op7_license_scan, op8_vector_dedup, op9_url_filter, op10_sharding)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_ids.write_tokens(table(spark, sf_dir, "documents"), token_ids.TokenParams(tokenizer("byte_bpe_50k.json")))
+    return token_ids.digests(token_ids.read_tokens(spark, folder))
+
+
+OPERATORS = (
+    op1_quality_classifier, op2_chat_format, op3_bpe, op4_quality_rules, op5_packing, op6_near_dedup, op7_license_scan, op8_vector_dedup, op9_url_filter, op10_sharding,
+    op11_fill_in_middle, op12_spelling_variants, op13_token_ids,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}

@@ -42,6 +42,7 @@ from plumbline.llm.common import cut, ensure_checkpoint_dir
 
 MAGIC = b"RANKIDS1"
 SLICE = 1_000_000  # characters of a text that are looked up at once
+SIGNS = frozenset(".,;:!?)-\"'")  # of those that are neither letters nor digits, the common ones
 #: Fixed value: white space of the library's patterns beside blank and line feed.
 RARE = "\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -51,7 +52,7 @@ class TokenParams:
     path: str
     end_id: int = 0
     file_ids: int = 2_000_000
-    cached: int = 600_000  # words whose ids a worker remembers
+    cached: int = 1_000_000  # words whose ids a worker remembers
 
 
 def id_type(p: TokenParams) -> str:
@@ -97,16 +98,27 @@ class Tokens:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """The ids of words behind a blank: the first of each, and no other, begins with a blank."""
-        new = list(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids)
-        at = np.flatnonzero(self.opening[ids]).tolist()
-        if len(at) != len(new):
-            self.spaced.update((w, self.alone(" " + w)) for w in new)
-            return
-        data, size = ids.astype(self.kind).tobytes(), int(self.kind[-1])
-        for w, a, b in zip(new, at, [*at[1:], len(ids)], strict=True):
-            self.spaced[w] = data[a * size : b * size]
+        """The ids of words behind a blank, or behind a line feed that is still before them.
+
+        Plain Latin letters with one sign behind them are two pieces, so the letters are looked up by themselves.  The rest
+        goes to the library in one call: the first id of each word, and no other, begins with a blank.
+        """
+        ends = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[:-1].isalpha() and max(w) < "\u0250"]
+        lines = [w for w in words if w[:1] == "\n"]
+        new = list({w[:-1] for w in ends}.union(words.difference(ends, lines)).difference(self.spaced))
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.opening[ids]).tolist()
+            if len(at) == len(new):
+                data, size = ids.tobytes(), ids.itemsize
+                at = [size * k for k in at]
+                self.spaced.update(zip(new, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
+            else:
+                self.spaced.update((w, self.alone(" " + w)) for w in new)
+        for w in ends:
+            self.spaced[w] = self.spaced[w[:-1]] + self.known(w[-1])
+        for w in lines:
+            self.spaced[w] = self.line + self.known(w[1:])
 
     def known(self, piece: str) -> bytes:
         found = self.first.get(piece)
@@ -118,23 +130,23 @@ class Tokens:
                 self.first[piece] = found
         return found
 
-    def simple(self, part: str) -> Iterator[bytes]:
+    def simple(self, part: str) -> bytes:
         """Words between single blanks and line feeds: a split always falls before a blank, and around a line feed, here."""
         if len(self.spaced) > self.most:
             self.spaced.clear()
-        lines = [line.split(" ") for line in part.split("\n")]
-        new = {w for words in lines for w in words[1:]}.difference(self.spaced)
-        if new:
+        get = self.spaced.get
+        words = part.replace("\n", " \n").split(" ")
+        found = list(map(get, words))
+        found[0] = self.known(words[0])
+        if None in found:
+            new = {w for w, ids in zip(words, found, strict=True) if ids is None}
             self.learn(new)
-        get = self.spaced.__getitem__
-        for k, words in enumerate(lines):
-            if k:
-                yield self.line
-            yield self.known(words[0])
-            yield b"".join(map(get, words[1:]))
-        for w in new:
-            if len(w) > 64:
-                del self.spaced[w]
+            found = [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            for w in new:
+                if len(w) > 64:
+                    self.spaced.pop(w, None)
+                    self.spaced.pop(w[:-1], None)
+        return b"".join(found)
 
     def blocks(self, text: str) -> Iterator[bytes]:
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
@@ -142,7 +154,7 @@ class Tokens:
                 yield self.special[part]
             elif not part:
                 continue
-            elif part[0] in " \n" or part[-1] in " \n" or any(x in part for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")) or self.rare.search(part):
+            elif part[0] in " \n" or part[-1] in " \n" or "  " in part or "\n\n" in part or " \n" in part or "\n " in part or self.rare.search(part):
                 found = (m.group() for m in self.pieces.finditer(part))
                 while some := list(islice(found, 65_536)):
                     yield b"".join(map(self.known, some))
@@ -151,7 +163,7 @@ class Tokens:
                 while at < len(part):
                     end = part.find(" ", at + SLICE) if len(part) - at > SLICE else -1
                     end = len(part) if end < 0 else end
-                    yield from self.simple(part[at:end] if at or end < len(part) else part)
+                    yield self.simple(part[at:end])
                     at = end
 
     def ids(self, text: str) -> bytes:
@@ -171,7 +183,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = more
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    most = 1 + int(more.max(initial=0))
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
+    data = data[np.arange(most, dtype=np.uint8) <= more[:, None]]
     return control.tobytes(), data.tobytes()
 
 

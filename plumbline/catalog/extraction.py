@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.binding import allowed
 from plumbline.operators import pools as N
 from plumbline.operators import tasks as T
+from plumbline.operators.classes import repository_counts
 from plumbline.operators.ranking import structural_baseline
 from plumbline.sources import files as S
 from plumbline.sources.stored import stored
@@ -310,9 +311,9 @@ def _(spark, d):
     read = read.join(i, ["namespace", "path", "alias"]).select("task_id", F.col("target_path").alias("mpath"), "name", F.lit(True).alias("_read")).distinct()
     scope = keyed(pool).join(sites, "task_id", "left").join(read, ["task_id", "mpath", "name"], "left")
     scope = scope.withColumns({"bindable": allowed(F.col("params"), F.col("shapes")), "elsewhere": (F.col("source") == "local") | F.coalesce("_read", F.lit(False)), "shape": F.xxhash64("shape")})
-    everything = T.repository_pool(t, s).join(t.select("task_id", "namespace"), "task_id").join(s.select("namespace", F.col("path").alias("mpath"), "name", F.sha2("text", 256).alias("rendering_hash")), ["namespace", "mpath", "name"])
-    repository = everything.join(sites, "task_id", "left").withColumn("bindable", allowed(F.col("params"), F.col("shapes")))
-    out = N.task_census(keyed(protocol(t, s)), scope, repository)
+    shown = keyed(protocol(t, s))
+    asked = t.join(shown.where("is_target").select("task_id", F.col("rendering_hash").alias("wanted")), "task_id").join(sites, "task_id", "left")
+    out = N.task_census(shown, scope, repository_counts(asked.select("task_id", "namespace", "path", "caller", "wanted", "shapes"), keyed(s)), counted=True)
     return t.select("task_id", "namespace", "path").join(out, "task_id").drop("task_id")
 
 

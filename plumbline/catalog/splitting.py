@@ -136,29 +136,47 @@ def _binds(only: str, either: str) -> str:
 BINDS = f"(SELECT p_partkey, mask, {_binds('po', 'pk')} OR (rc AND {_binds('CASE WHEN len(po) > 0 THEN po[2:] ELSE po END', 'CASE WHEN len(po) > 0 THEN pk ELSE pk[2:] END')}) AS binds FROM {PARAMS} p, {SHAPES} s)"
 
 
-def pairs(spark, d):
-    """Every part against every call shape, a declared set of at most 256."""
-    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", parameters().alias("p"))
+def call_shapes(spark, d):
+    """The declared call shapes: at most 256 by their masks, which is looked at again before they are broadcast."""
     masks = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_quantity").cast("int") * 7 % 256).alias("mask")).distinct().select("mask", shape().alias("s"))
-    return parts.join(F.broadcast(masks), F.lit(True))
+    if masks.limit(257).count() > 256:
+        raise ValueError("more call shapes than declared")
+    return masks
+
+
+def part_classes(spark, d):
+    """Parts with their parameters, which repeat: what they bind is decided for each distinct struct."""
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("corpus"), parameters().alias("p"))
+
+
+def class_pairs(spark, d):
+    """Every distinct parameter struct against every call shape."""
+    return part_classes(spark, d).select("p").distinct().join(F.broadcast(call_shapes(spark, d)), F.lit(True))
+
+
+def with_class(rows, judged):
+    """Rows (p, more) with what was decided for their class."""
+    return rows.alias("r").join(judged.alias("j"), F.col("r.p").eqNullSafe(F.col("j.p"))).drop(F.col("j.p"))
 
 
 @register("flt1_bindable", f"SELECT p_partkey, count(*) FILTER (WHERE binds) AS bindable, count(*) AS shapes FROM {BINDS} b GROUP BY p_partkey")
 def _(spark, d):
     ok = B.bindable(F.col("p"), F.array("s"))
-    return pairs(spark, d).groupBy("p_partkey").agg(F.count_if(ok).alias("bindable"), F.count(F.lit(1)).alias("shapes"))
+    counts = class_pairs(spark, d).groupBy("p").agg(F.count_if(ok).alias("bindable"), F.count(F.lit(1)).alias("shapes"))
+    return with_class(part_classes(spark, d).select("p_partkey", "p"), counts).select("p_partkey", "bindable", "shapes")
 
 
 @register("flt2_all_sites", f"SELECT p_partkey, bool_and(binds) AS bindable FROM {BINDS} b GROUP BY p_partkey")
 def _(spark, d):
-    all_sites = pairs(spark, d).groupBy("p_partkey").agg(F.first("p").alias("p"), F.collect_list("s").alias("sites"))
-    return all_sites.select("p_partkey", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
+    sites = class_pairs(spark, d).groupBy("p").agg(F.collect_list("s").alias("sites")).select("p", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
+    return with_class(part_classes(spark, d).select("p_partkey", "p"), sites).select("p_partkey", "bindable")
 
 
 @register("flt2_all_sites_by_group", f"SELECT p_partkey, CAST(mask % 8 AS INT) AS site_group, bool_and(binds) AS bindable FROM {BINDS} b GROUP BY 1, 2")
 def _(spark, d):
-    groups = pairs(spark, d).groupBy("p_partkey", (F.col("mask") % 8).cast("int").alias("site_group")).agg(F.first("p").alias("p"), F.collect_list("s").alias("sites"))
-    return groups.select("p_partkey", "site_group", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
+    groups = class_pairs(spark, d).groupBy("p", (F.col("mask") % 8).cast("int").alias("site_group")).agg(F.collect_list("s").alias("sites"))
+    judged = groups.select("p", "site_group", B.allowed(F.col("p"), F.col("sites")).alias("bindable"))
+    return with_class(part_classes(spark, d).select("p_partkey", "p"), judged).select("p_partkey", "site_group", "bindable")
 
 
 @register("flt4_literals", "SELECT item_id, contains(lower(text), 'the an') AS has, NOT contains(text, 'Then') AS hasnot FROM benchmark")
@@ -179,10 +197,14 @@ CORPUS = f"(SELECT p_brand AS corpus, mask AS task, p_partkey, binds, p_partkey
 @register("cen4_predicate_census", f"""SELECT corpus, count(*) AS tasks, count(*) FILTER (WHERE survivors < pool) AS any_veto, round(avg(survivors), 9) AS mean_survivors, round(sum(1.0 / pool), 6) AS uniform, round(sum(CASE WHEN survivors > 0 THEN 1.0 / survivors ELSE 0 END), 6) AS predicate_uniform, CAST(sum(vetoed) AS BIGINT) AS vetoed_truths
   FROM (SELECT corpus, task, count(*) AS pool, count(*) FILTER (WHERE binds) AS survivors, count(*) FILTER (WHERE truth AND NOT binds) AS vetoed FROM {CORPUS} c GROUP BY corpus, task) t GROUP BY corpus""")
 def _(spark, d):
-    from plumbline.operators.pools import predicate_census
+    from plumbline.operators.pools import census_of_counts
 
-    brand = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("corpus"))
-    rows = pairs(spark, d).select("p_partkey", F.col("mask").alias("task_id"), B.bindable(F.col("p"), F.array("s")).alias("bindable")).join(brand, "p_partkey")
-    truth = brand.groupBy("corpus").agg(F.min("p_partkey").alias("t"))
-    out = predicate_census(rows.join(truth, "corpus").withColumn("is_target", F.col("p_partkey") == F.col("t")))
+    parts = part_classes(spark, d)
+    truth = parts.groupBy("corpus").agg(F.min("p_partkey").alias("t"))
+    classes = parts.join(truth, "corpus").groupBy("corpus", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_partkey") == F.col("t")).alias("targets"))
+    judged = class_pairs(spark, d).select("p", F.col("mask").alias("task_id"), B.bindable(F.col("p"), F.array("s")).alias("binds"))
+    task = with_class(classes, judged).groupBy("corpus", "task_id").agg(
+        F.sum("n").alias("pool"), F.coalesce(F.sum(F.when(F.col("binds"), F.col("n"))), F.lit(0)).alias("survivors"), F.coalesce(F.sum(F.when(~F.col("binds"), F.col("targets"))), F.lit(0)).alias("vetoed")
+    )
+    out = census_of_counts(task)
     return out.withColumns({"mean_survivors": F.round("mean_survivors", 9), "uniform": F.round("uniform", 6), "predicate_uniform": F.round("predicate_uniform", 6)})

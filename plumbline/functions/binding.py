@@ -56,9 +56,10 @@ def allowed(p: Column, shapes: Column) -> Column:
 
 
 def allowed_reason(p: Column, shapes: Column) -> tuple[Column, Column]:
-    """(allowed, reason): as allowed(), and why a candidate is refused ('' if it is not)."""
+    """(allowed, reason): as allowed(), and why: what could not be looked at, or what refused ('' if all sites bind)."""
     ok = allowed(p, shapes)
-    return ok, F.when(ok, F.lit("")).otherwise(F.lit("call site does not bind"))
+    blind = F.when(shapes.isNull() | (F.size(shapes) == 0), F.lit("no call site")).when(p.isNull(), F.lit("unreadable signature"))
+    return ok, F.coalesce(blind, F.when(ok, F.lit("")).otherwise(F.lit("call site does not bind")))
 
 
 def requires(text: Column, literal: str, fold: bool = False) -> Column:

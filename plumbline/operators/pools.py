@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 def predicate_census(members: DataFrame) -> DataFrame:
     """For each corpus: tasks with a veto, mean survivors, expected uniform successes before and after, vetoed truths (should be 0)."""
-    task = members.groupBy("corpus", "task_id").agg(
-        F.count(F.lit(1)).alias("pool"), F.count_if("bindable").alias("survivors"), F.count_if(F.col("is_target") & ~F.col("bindable")).alias("vetoed")
+    return census_of_counts(
+        members.groupBy("corpus", "task_id").agg(F.count(F.lit(1)).alias("pool"), F.count_if("bindable").alias("survivors"), F.count_if(F.col("is_target") & ~F.col("bindable")).alias("vetoed"))
     )
+
+
+def census_of_counts(task: DataFrame) -> DataFrame:
+    """predicate_census from a row for each task: corpus, task_id, pool, survivors, vetoed."""
     after = F.when(F.col("survivors") > 0, 1 / F.col("survivors")).otherwise(F.lit(0.0))
     return task.groupBy("corpus").agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("survivors") < F.col("pool")).alias("any_veto"), F.avg("survivors").alias("mean_survivors"),
@@ -43,12 +47,13 @@ def _level(pool: DataFrame, wanted: DataFrame, prefix: str) -> DataFrame:
     return g.select("task_id", *[F.col(c).alias(f"{prefix}_{c}") for c in ("size", "bindable", "target")], (like >= 1).alias(f"{prefix}_target_binds"), (like == 1).alias(f"{prefix}_target_unique"))
 
 
-def task_census(protocol: DataFrame, scope: DataFrame, repository: DataFrame) -> DataFrame:
+def task_census(protocol: DataFrame, scope: DataFrame, repository: DataFrame, counted: bool = False) -> DataFrame:
     """A row for each task: what it shows, and what its scope and its repository hold, by distinct rendering.
 
     protocol: task_id, rendering_hash, is_target, the candidates shown; scope: task_id, ord, rendering_hash, shape,
     bindable, source ('local' or 'imported') and elsewhere, true for local members and for imported ones whose alias is
-    read outside the caller; repository: task_id, rendering_hash, bindable.  A task without members counts 0 and false.
+    read outside the caller; repository: task_id, rendering_hash, bindable; or, counted, what
+    classes.repository_counts gives, which lists no member.  A task without members counts 0 and false.
     shape is any orderable value that is equal for equal call shapes.  scope_solved: bindability leaves the target alone;
     filter_resolves: no wrong candidate shown is in scope, but the target; independently: without its own import line.
     """
@@ -63,7 +68,7 @@ def task_census(protocol: DataFrame, scope: DataFrame, repository: DataFrame) ->
     per = per.withColumn("_shape", F.max(F.when(mine, F.col("shape"))).over(Window.partitionBy("task_id")))
     shapes = per.groupBy("task_id").agg(F.count_if(F.col("shape") == F.col("_shape")).alias("scope_shape_matched"), F.coalesce(F.bool_or(mine & F.col("elsewhere")), F.lit(False)).alias("target_independent"))
     out = shown.join(wanted, "task_id")
-    for part in (negatives, kinds, shapes, _level(scope, wanted, "scope"), _level(repository, wanted, "repository")):
+    for part in (negatives, kinds, shapes, _level(scope, wanted, "scope"), repository if counted else _level(repository, wanted, "repository")):
         out = out.join(part, "task_id", "left")
     flags = ["target_independent", *[f"{level}_{c}" for level in ("scope", "repository") for c in ("target", "target_binds", "target_unique")]]
     numbers = ["protocol_negatives_in_scope", "scope_local", "scope_imported", "scope_shape_matched", *[f"{level}_{c}" for level in ("scope", "repository") for c in ("size", "bindable")]]

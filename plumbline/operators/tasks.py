@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import order_key
+from plumbline.operators.rings import bucket_sizes, successors
 
 FILE = ["namespace", "path"]
 
@@ -55,16 +56,28 @@ def symbol_id(*prefix: str):
 
 
 def call_decisions(symbols: DataFrame, edges: DataFrame, most: int = 16, seed: int = 0) -> DataFrame:
-    """Candidates of direct-call decisions: the target, local functions first, then others of the repository, up to `most`."""
+    """Candidates of direct-call decisions: the target, local functions first, then others of the repository, up to `most`.
+
+    Both kinds come from rings (plumbline.operators.rings): the file's, and the repository's only where a file is too
+    small, so no task meets all functions of its repository.
+    """
     tasks = with_task(edges, "namespace", "path", "caller", "target")
     target = by_name(symbols).select(*FILE, F.col("name").alias("target"), F.col("ordinal").alias("tord"))
     # another definition that is the target's twin is no wrong candidate
-    twin = F.max("ordinal").over(Window.partitionBy(*FILE, "name", F.xxhash64("signature", "body"))).alias("_twin")
-    pool = tasks.join(symbols.select("namespace", F.col("path").alias("cpath"), "name", "ordinal", twin), "namespace").join(target, [*FILE, "target"])
-    pool = pool.withColumn("is_target", F.expr("cpath = path AND name = target AND ordinal = tord"))
-    pool = pool.where("is_target OR NOT (cpath = path AND name = target AND _twin = tord)").drop("_twin")
-    pool = pool.withColumn("sym", symbol_id("cpath"))
-    return with_text(choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc()), symbols)
+    alike = Window.partitionBy(*FILE, "name", F.xxhash64("signature", "body"))
+    known = symbols.select(*FILE, "name", "ordinal", F.max("ordinal").over(alike).alias("_twin"), F.count(F.lit(1)).over(alike).alias("_twins"))
+    local = known.select(*FILE, F.col("path").alias("cpath"), "name", "ordinal", "_twin").withColumn("sym", symbol_id("cpath"))
+    everywhere = local.drop("path")
+    twins = known.select(*FILE, F.col("name").alias("target"), F.col("ordinal").alias("tord"), "_twins")
+    size = symbols.groupBy(*FILE).agg(F.count(F.lit(1)).alias("_file"))
+    tasks = tasks.join(target, [*FILE, "target"]).join(twins, [*FILE, "target", "tord"]).join(size, FILE)
+    wrong = F.lit(most - 1)
+    own = tasks.select("*", F.col("path").alias("cpath"), F.col("target").alias("name"), F.col("tord").alias("ordinal"), F.lit(True).alias("is_target"), F.lit(0).cast("long").alias("step")).withColumn("sym", symbol_id("cpath"))
+    near = successors(tasks, local, FILE, wrong + F.col("_twins"), "sym", seed).where("NOT (name = target AND _twin = tord)")
+    few = tasks.where(F.col("_file") - F.col("_twins") < wrong)
+    far = successors(few, everywhere, ["namespace"], wrong + F.col("_file"), "sym", seed).where("cpath <> path")
+    pool = own.unionByName(near.unionByName(far).drop("_twin").withColumn("is_target", F.lit(False))).drop("_twins", "_file")
+    return with_text(choose(pool, most, seed, (F.col("cpath") == F.col("path")).desc(), "step"), symbols).drop("step")
 
 
 def with_text(chosen: DataFrame, symbols: DataFrame, path: str = "cpath", *more: str) -> DataFrame:
@@ -188,13 +201,23 @@ def cross_file_edges(calls: DataFrame, imported: DataFrame, symbols: DataFrame)
 
 
 def cross_file_decisions(symbols: DataFrame, edges: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
-    """Candidates of cross-file decisions: the whole repository's functions of the target's shape, without the caller."""
+    """Candidates of cross-file decisions: the repository's functions of the target's shape, without the caller.
+
+    They come from the shape's ring; tasks with fewer than k candidates, which counts tell, have no rows.
+    """
     tasks = with_task(edges, "namespace", "path", "caller", "alias")
     last = by_name(symbols)
     tasks = tasks.join(last.select("namespace", F.col("path").alias("target_path"), F.col("name").alias("target"), "shape", F.col("ordinal").alias("tord")), ["namespace", "target_path", "target"])
-    pool = tasks.join(symbols.select("namespace", "shape", F.col("path").alias("cpath"), "name", "ordinal"), ["namespace", "shape"]).where("NOT (cpath = path AND name = caller)")
-    pool = pool.withColumns({"is_target": F.expr("cpath = target_path AND ordinal = tord"), "sym": symbol_id("cpath"), "_n": F.count(F.lit(1)).over(Window.partitionBy("task_id"))})
-    return with_text(choose(pool.where(F.col("_n") >= k).drop("_n"), k, seed), symbols)
+    bucket = ["namespace", "shape"]
+    members = symbols.select(*bucket, F.col("path").alias("cpath"), "name", "ordinal").withColumn("sym", symbol_id("cpath"))
+    callers = symbols.groupBy("namespace", "shape", "path", F.col("name").alias("caller")).agg(F.count(F.lit(1)).alias("_self"))
+    tasks = tasks.join(callers, [*bucket, "path", "caller"], "left").join(bucket_sizes(members, bucket).withColumnRenamed("bucket_size", "_size"), bucket)
+    tasks = tasks.withColumn("_self", F.coalesce("_self", F.lit(0))).where(F.col("_size") - F.col("_self") >= k)
+    found = successors(tasks, members, bucket, F.col("_self") + k, "sym", seed).where("NOT (cpath = path AND name = caller) AND NOT (cpath = target_path AND name = target AND ordinal = tord)")
+    own = tasks.select("*", F.col("target_path").alias("cpath"), F.col("target").alias("name"), F.col("tord").alias("ordinal"), F.lit(True).alias("is_target"), F.lit(0).cast("long").alias("step")).withColumn("sym", symbol_id("cpath"))
+    own = own.where("NOT (cpath = path AND name = caller)")
+    pool = own.unionByName(found.withColumn("is_target", F.lit(False))).drop("_self", "_size")
+    return with_text(choose(pool, k, seed, "step"), symbols).drop("step")
 
 
 def read_outside(imported: DataFrame, name_reads: DataFrame, callers: DataFrame) -> DataFrame:
@@ -224,6 +247,15 @@ def repository_pool(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
     return pool.where("NOT (mpath = path AND name = caller)").select("task_id", "mpath", "name", "params")
 
 
+def level_pool(level: str, tasks: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """(task_id, mpath, name): the pool at a named level, `scope` or `repository`; any other level is an error."""
+    if level == "scope":
+        return scope_pool(tasks, symbols, imported).select("task_id", "mpath", "name")
+    if level == "repository":
+        return repository_pool(tasks, symbols).select("task_id", "mpath", "name")
+    raise ValueError(f"unknown pool level {level!r}")
+
+
 def neighbourhood_files(tasks: DataFrame, imports: DataFrame, symbols: DataFrame, imported: DataFrame, name_reads: DataFrame, variant: str = "alias", roots: tuple = ("", "src"), hide_target: bool = True) -> DataFrame:
     """(task_id, npath): files that the caller's file imports, without what names the target.
 

@@ -8,6 +8,7 @@ from plumbline.catalog.bridges import RETRIEVAL, sql, view
 from plumbline.functions.expressions import cosine, order_key
 from plumbline.operators import ranking as R
 from plumbline.operators.tasks import stacked
+from plumbline.operators.topk import blocked_shortlist
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,6 +77,14 @@ def _(spark, d):
     return R.shortlist(scored(spark, d), 16).select("task_id", "cand_id", "rank")
 
 
+# The same shortlist by matrix products of blocks; a candidate's order is that of its id.
+@register("rnk11_blocked_shortlist", f"SELECT task_id, cand_id, score, rank FROM {RANKED} r WHERE rank <= 16")
+def _(spark, d):
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("namespace"), "vec_id", F.col("embedding").alias("vec")).where("namespace IS NOT NULL")
+    asked = x.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "task_id")
+    return blocked_shortlist(asked, x.withColumnRenamed("vec_id", "cand_id"), 16, ["namespace"], itself=False, digits=6).select("task_id", "cand_id", "score", "rank")
+
+
 @register("rnk12_hybrid_order", f"SELECT task_id, cand_id, row_number() OVER (PARTITION BY task_id ORDER BY cand_id % 5 = 0 DESC, score DESC, cand_idx) AS rank FROM {SCORED} s")
 def _(spark, d):
     near = F.col("cand_id") % 5 == 0

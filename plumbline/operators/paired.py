@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import draw, two_sided_binomial
+from plumbline.functions.expressions import draw, let, two_sided_binomial
+from plumbline.operators.quantiles import exact_quantiles
 
 
 def summarize(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -65,6 +66,8 @@ def macro_accuracy(examples: DataFrame, key: str = "namespace") -> DataFrame:
     return accuracy(examples, key).agg(F.avg("accuracy").alias("macro_accuracy"), F.count(F.lit(1)).alias("groups"))
 
 
+FEW = 50_000  # sources for which every draw may be a hash
+
 BLOCK = 1024  # sources whose draws are counted in one matrix product
 
 
@@ -121,19 +124,26 @@ def replicates(sources: DataFrame, sums: list[str], samples: int, seed: int, law
     """Sums of `samples` resamples of the sources within each stratum: (b, stratum, sums).
 
     sources has one row for each (stratum, source), already summed, so that tasks don't count.  law: "blocks" counts
-    draws block by block; "draws" makes each draw a row, a hash of (seed, b, stratum, j) that any engine can repeat,
-    which is for few sources.
+    draws block by block; "draws" draws each source by a hash of (seed, b, stratum, j) that any engine can repeat, which
+    is for few sources: a replicate is one row that looks its draws up in the strata's lists.
     """
     if law == "blocks":
         return block_replicates(sources, sums, samples, seed)
     if law != "draws":
         raise ValueError(f"unknown law {law!r}")
-    w = Window.partitionBy("stratum").orderBy("source")
-    indexed = sources.withColumn("i", F.row_number().over(w).cast("long") - 1)
-    sizes = sources.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
-    grid = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    drawn = grid.select("b", "stratum", draw(F.col("size"), seed, F.col("b"), F.col("stratum"), F.col("j")).alias("i"))
-    return drawn.join(indexed, ["stratum", "i"]).groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
+    if not samples or sources.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"law 'draws' is for at most {FEW} sources")
+    row = F.struct("source", *sums)
+    lists = sources.groupBy("stratum").agg(F.array_sort(F.collect_list(row)).alias("all"))  # few, as has been counted
+    spark = sources.sparkSession
+    numbers = spark.range(1, samples + 1, 1, spark.sparkContext.defaultParallelism).withColumnRenamed("id", "b")
+    zero = F.struct(*[F.lit(0).cast(sources.schema[s].dataType).alias(s) for s in sums])
+
+    def add(total: Column, j: Column) -> Column:
+        return let(F.get("all", draw(F.size("all"), seed, F.col("b"), F.col("stratum"), j).cast("int")), lambda x: F.struct(*[(total[s] + x[s]).alias(s) for s in sums]))
+
+    drawn = numbers.join(F.broadcast(lists), F.lit(True)).select("b", "stratum", F.aggregate(F.sequence(F.lit(0).cast("long"), F.size("all").cast("long") - 1), zero, add).alias("x"))
+    return drawn.select("b", "stratum", *[F.col(f"x.{s}").alias(s) for s in sums])
 
 
 def interval(values: DataFrame, confidence: float, *keys: str) -> DataFrame:
@@ -191,9 +201,11 @@ def bootstrap_by(pairs: DataFrame, key: str, statistic: str = "success_rate_delt
 
 
 def confidence_distribution(rows: DataFrame, correct: str, confidence: str = "confidence", at: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
-    """n and quantiles of the confidence for right and wrong answers; equal confidences are counted first."""
-    by = rows.groupBy(F.col(correct).alias("correct"), F.col(confidence).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    return by.groupBy("correct").agg(F.sum("_n").alias("n"), *[F.percentile("_c", F.lit(q), F.col("_n")).alias(f"q{k}") for k, q in enumerate(at, 1)])
+    """n and exact quantiles of the confidence for right and wrong answers; no task holds all confidences of a group."""
+    x = rows.select(F.col(correct).alias("correct"), F.col(confidence).alias("_c"))
+    n = x.groupBy("correct").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("n.correct").eqNullSafe(F.col("q.correct"))
+    return n.alias("n").join(exact_quantiles(x, "_c", list(at), "correct").alias("q"), same, "left").select("n.correct", "n.n", *[f"q.q{k}" for k in range(1, len(at) + 1)])
 
 
 def bootstrap_paired(pairs: DataFrame, statistic: str = "success_rate_delta", samples: int = 5000, confidence: float = 0.95, seed: int = 0, strata: Column | None = None, law: str = "blocks") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.quantiles import exact_quantiles
+
 
 def predicate_census(members: DataFrame) -> DataFrame:
     """For each corpus: tasks with a veto, mean survivors, expected uniform successes before and after, vetoed truths (should be 0)."""
@@ -93,8 +95,13 @@ def repose(members: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame
 
 
 def distribution(census: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Mean, median and largest value of a census column, and the share of tasks with none."""
-    return census.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("most"), F.avg((F.col(column) == 0).cast("int")).alias("none"))
+    """Mean, exact median and largest value of a census column, and the share of tasks with none."""
+    out = census.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"), F.avg(column).alias("mean"), F.max(column).alias("most"), F.avg((F.col(column) == 0).cast("int")).alias("none"))
+    median = exact_quantiles(census, column, [0.5], *keys).withColumnRenamed("q1", "median")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}"))
+    return out.alias("o").join(median.alias("m"), same, "left").select(*[f"o.{k}" for k in keys], "tasks", "mean", "median", "most", "none")
 
 
 def neighbourhood_report(census: DataFrame, budget: int = 32) -> DataFrame:

@@ -26,9 +26,11 @@ special tokens, as the library has it; an empty table gives an empty result; col
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -37,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import BYTE_LEVEL, SPLIT
+from plumbline.llm.bpe import BYTE_LEVEL, SPLIT, byte_symbols
 from plumbline.llm.common import cut, ensure_checkpoint_dir
 
 MAGIC = b"RANKIDS1"
@@ -66,6 +68,11 @@ def vocabulary_size(p: TokenParams) -> int:
     return 1 + max([p.end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
 
 
+def latin(word: str) -> bool:
+    """Letters of the Latin blocks only, whose kind no version of Unicode disputes."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, with a memory for words."""
 
@@ -80,6 +87,7 @@ class Tokens:
             raise ValueError(f"{p.path} is no byte-level BPE")
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{p.path} has added tokens that are not plain strings")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
         self.tokenizer, self.most, self.kind = Tokenizer.from_file(p.path), p.cached, id_type(p)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -88,6 +96,8 @@ class Tokens:
             self.opening[i] = t.startswith("Ġ")
         self.special = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.model, self.code = self.tokenizer.model, "HI"[self.kind == "<u4"]
+        self.characters = {k: c for k, c in enumerate(byte_symbols())}
         self.pieces, self.rare = regex.compile(SPLIT), re.compile(f"[{RARE}]")
         self.first: dict[str, bytes] = {"": b""}  # words at the start of a line, and pieces
         self.spaced: dict[str, bytes] = {}  # words behind a blank
@@ -97,28 +107,39 @@ class Tokens:
     def alone(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """The ids of Latin letters behind a blank: they are one piece, which goes to the library's model at once."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes()
+
     def learn(self, words: set[str]) -> None:
         """The ids of words behind a blank, or behind a line feed that is still before them.
 
-        Plain Latin letters with one sign behind them are two pieces, so the letters are looked up by themselves.  The rest
-        goes to the library in one call: the first id of each word, and no other, begins with a blank.
+        Latin letters are looked up apart from a sign behind them, which is a piece of its own.  The rest goes to the
+        library in one call: the first id of each word, and no other, begins with a blank.
         """
-        ends = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[:-1].isalpha() and max(w) < "\u0250"]
-        lines = [w for w in words if w[:1] == "\n"]
-        new = list({w[:-1] for w in ends}.union(words.difference(ends, lines)).difference(self.spaced))
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        spaced, rest = self.spaced, []
+        for w in words:
+            if w.isascii() and w.isalpha() or latin(w):
+                spaced[w] = self.letters(w)
+            elif w[:1] == "\n":
+                spaced[w] = self.line + self.known(w[1:])
+            elif w[-1:] in SIGNS and ((core := w[:-1]).isascii() and core.isalpha() or latin(core)):
+                found = spaced.get(core)
+                if found is None:
+                    found = spaced[core] = self.letters(core)
+                spaced[w] = found + self.known(w[-1])
+            else:
+                rest.append(w)
+        if rest:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, self.kind)
             at = np.flatnonzero(self.opening[ids]).tolist()
-            if len(at) == len(new):
+            if len(at) == len(rest):
                 data, size = ids.tobytes(), ids.itemsize
                 at = [size * k for k in at]
-                self.spaced.update(zip(new, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
+                spaced.update(zip(rest, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
             else:
-                self.spaced.update((w, self.alone(" " + w)) for w in new)
-        for w in ends:
-            self.spaced[w] = self.spaced[w[:-1]] + self.known(w[-1])
-        for w in lines:
-            self.spaced[w] = self.line + self.known(w[1:])
+                spaced.update((w, self.alone(" " + w)) for w in rest)
 
     def known(self, piece: str) -> bytes:
         found = self.first.get(piece)
@@ -174,27 +195,30 @@ class Tokens:
 _loaded: dict[TokenParams, Tokens] = {}
 
 #: Fixed by the format: lengths of the four ranks of each control byte.
-LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
+LENGTHS = (1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)).astype(np.uint8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit ranks."""
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = more
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    most = 1 + int(more.max(initial=0))
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
-    data = data[np.arange(most, dtype=np.uint8) <= more[:, None]]
-    return control.tobytes(), data.tobytes()
+    """(control bytes, data bytes) of unsigned ranks."""
+    n, size = len(ranks), ranks.itemsize
+    more = (ranks > 0xFF).astype(np.uint8)
+    if size > 2:
+        more += ranks > 0xFFFF
+        more += ranks > 0xFFFFFF
+    four = np.zeros((-(-n // 4), 4), np.uint8)
+    four.reshape(-1)[:n] = more
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    taken = np.arange(size, dtype=np.uint8) <= more[:, None]
+    return control.tobytes(), ranks.astype(f"<u{size}", copy=False).view(np.uint8).reshape(n, size)[taken].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """n ranks from control and data bytes."""
     lengths = LENGTHS[control].reshape(-1)[:n]
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64)
+    starts -= lengths
     ranks = data[starts].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(lengths.max(initial=1))):
         longer = np.flatnonzero(lengths > k)
         ranks[longer] |= data[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
@@ -277,8 +301,8 @@ def by_frequency(counts: DataFrame, p: TokenParams) -> np.ndarray:
 def write_files(rows: DataFrame, order: np.ndarray, folder: str, p: TokenParams) -> DataFrame:
     """Write files of the documents (seq, doc_id, ids); gives the manifest: seq of a file's first document, file, ids in it."""
     kind = id_type(p)
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    rank = np.empty(len(order), kind)
+    rank[order] = np.arange(len(order))
 
     def of(batches):
         import pyarrow as pa

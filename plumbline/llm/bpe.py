@@ -1,9 +1,19 @@
 """BPE encoding and decoding (operator 3): a streaming transducer with bounded lookahead.
 
-A merge can wait for another of higher priority that takes its right symbol, that one for a third, and so on.  The
-longest such chain of merges (rank falls, each begins with the symbol that ends the one before) times the longest
-token bounds how far to the right a token can depend on the text: the merge list's sufficient lookahead.  A stretch
-of text that the splitting pattern leaves whole is merged in a buffer of that lookahead plus one block; tokens that
+Whether a merge is applied at a place depends on text to its right in three ways: its left symbol must have been formed
+there, its right symbol must have been formed behind it, and that right symbol must not have been taken first by an
+earlier merge that begins with it.  Each of the three is again such a decision, about a merge of higher priority, and it
+begins at the same place or one symbol further right.  So a merge looks at most chain * longest token to the right, where
+
+    chain(m) = 1 + max(chain of the merge that forms m's left symbol, of the one that forms its right symbol,
+                       of each earlier merge that begins with m's right symbol)
+
+by induction over the priorities: what m waits for reaches at most (chain(m) - 1) * longest from a place that lies at
+most one symbol, so at most one longest token, behind m's own.  What lies to the left is settled already.  The largest chain times
+the longest token is the merge list's sufficient lookahead.  That holds where each symbol is formed by one merge, before
+any merge that takes it, as trained lists have it; for any other list pieces are merged whole.
+
+A stretch of text that the splitting pattern leaves whole is merged in a buffer of that lookahead plus one block; tokens that
 end a full lookahead before the buffer's end can no longer change, are emitted, and leave the buffer, so memory beside
 the text itself does not grow with the stretch.  Decoding turns ids to bytes block by block and bytes to text by an incremental UTF-8
 state machine.
@@ -52,13 +62,23 @@ def byte_symbols() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
-def sufficient_lookahead(merges: list[tuple[int, int]], longest: int) -> int:
-    """Symbols right of a token that can decide it: longest chain of merges that wait for one another, times the longest token."""
-    from_left: dict[int, int] = {}  # the longest chain that begins with a merge whose left symbol is the key
+def sufficient_lookahead(merges: list[tuple[int, int, int]], longest: int) -> int | None:
+    """Symbols right of a token that can decide it: the longest chain of decisions that wait for one another, times the longest token.
+
+    merges: left, right and formed symbol, highest priority first.  None if a symbol is formed twice, or only after a
+    merge that takes it: then no such bound is known.
+    """
+    formed: dict[int, int] = {}  # chain of the merge that forms a symbol
+    begins: dict[int, int] = {}  # longest chain of the merges so far that begin with a symbol
+    taken: set[int] = set()
     most = 1
-    for left, right in merges:  # highest priority first
-        chained = 1 + from_left.get(right, 0)
-        from_left[left] = max(from_left.get(left, 0), chained)
+    for left, right, result in merges:
+        if result in formed or result in taken:
+            return None
+        chained = 1 + max(formed.get(left, 0), formed.get(right, 0), begins.get(right, 0))
+        begins[left] = max(begins.get(left, 0), chained)
+        formed[result] = chained
+        taken |= {left, right}
         most = max(most, chained)
     return most * longest
 
@@ -90,7 +110,7 @@ class Transducer:
             self.bytes[i] = s.encode()
         self.names = [str(i) for i in range(len(self.bytes))]
         longest = max(map(len, self.bytes))
-        self.lookahead = sufficient_lookahead([(vocab[a], vocab[b]) for a, b in pairs], longest)
+        self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], longest)
         self.block = max(p.block, longest)  # so that a full buffer always has a token to emit
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cut = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -134,7 +154,10 @@ class Transducer:
         return [x for x, live in zip(ids, alive) if live]
 
     def stream(self, data: Iterator[int]) -> Iterator[int]:
-        """Tokens of one piece, given byte by byte; memory is the lookahead and a block."""
+        """Tokens of one piece, given byte by byte; memory is the lookahead and a block (the piece, if no lookahead is known)."""
+        if self.lookahead is None:
+            yield from self.merge([self.byte_id[b] for b in data])
+            return
         held: list[int] = []
         size = self.lookahead + self.block
         while True:

@@ -3,10 +3,13 @@
 Rules are a short declared list; each URL is held against it in one projection, no join.  The URLs that a rule decides
 are the labelled ones: from a bounded sample of them (`train_rows`, by hash of the URL) Spark ML's boosted trees learn
 from lexical features: length, depth, digit ratio, character entropy, parameter counts, hyphens, and statistics of the
-host's suffix (how many labelled URLs have it, and their smoothed share of blocks; counted over all labelled URLs, for
-a row that trains over all others, so that no row's own label is among its features).  What the rules name (their very
-hosts and paths) is no feature.  Labels that are no rules don't exist in these tables: the trees carry the rules'
-verdicts over to URLs that look alike.  If the labelled URLs are all of one verdict, or none
+host's suffix: how many URLs and how many hosts of the whole table carry it, as whole powers of two.  Neither what the
+rules name (their very hosts and paths) nor any statistic of labels is a feature: a suffix's share of blocks would only
+restate the rules where they decide, and say nothing of a suffix that no rule names.  For the same reason the counts are
+used only where at least `least_suffixes` suffixes have labels: what is alike for all URLs of a suffix tells, of a few, which one it is.  A URL is blocked if the trees find it likelier
+to be than the labelled URLs are on the whole.  Labels that are no rules don't exist in these tables: the trees carry the
+rules' verdicts over to URLs that look alike, and `held_out_auc` tells, on hosts that were not learnt from, how far that
+goes.  If the labelled URLs are all of one verdict, or none
 exists, URLs without a rule are allowed.
 
 Cases: a null URL, or one without `://`, has an empty host and path and fits no rule; rows that repeat are judged
@@ -31,12 +34,12 @@ class UrlParams:
     trees: int = 10
     depth: int = 4
     learning_rate: float = 0.3
-    prior: float = 20.0  # labelled URLs that a suffix is assumed to have at the mean share
-    block_at: float = 0.5
+    least_suffixes: int = 20  # with fewer labelled suffixes their statistics are left out
+    block_at: float | None = None  # score from which a URL is blocked; none: the labelled URLs' share of blocks
     seed: int = 5
 
 
-FEATURES = ("url_len", "host_len", "path_len", "depth", "host_parts", "digit_ratio", "entropy", "n_params", "n_hyphens", "has_fragment", "has_extension", "suffix_n", "suffix_block")
+FEATURES = ("url_len", "host_len", "path_len", "depth", "host_parts", "digit_ratio", "entropy", "n_params", "n_hyphens", "has_fragment", "has_extension", "suffix_n", "suffix_hosts")
 
 
 def ascii_lower(x: Column) -> Column:
@@ -61,37 +64,38 @@ def rule_of(host: Column, path: Column, rules: tuple) -> Column:
 
 
 def lexical(judged: DataFrame) -> DataFrame:
-    """judged with the features that come from the URL alone, and its host's suffix."""
+    """judged with its host's suffix and the features that come from the URL alone.
+
+    Lengths, digits and entropy are those of the URL without scheme and suffix, so that they don't spell the suffix out.
+    """
     url = F.coalesce(F.col("url"), F.lit(""))
-    n = F.length(url)
-    share = lambda c: let(F.regexp_count(url, F.concat(F.lit("\\Q"), c, F.lit("\\E"))) / n, lambda q: -q * F.log2(q))
-    entropy = F.aggregate(F.array_distinct(F.split(url, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(share(c)))
+    suffix = F.regexp_extract("host", "([^.]*)$", 1)
+    at = F.locate("://", url)
+    name = F.substring(F.col("host"), F.lit(1), F.length("host") - F.length(suffix))
+    body = F.when(at > 0, F.concat(name, F.substring(url, at + 3 + F.length("host"), F.length(url)))).otherwise(url)
+    n = F.length("_body")
+    share = lambda c: let(F.regexp_count(F.col("_body"), F.concat(F.lit("\\Q"), c, F.lit("\\E"))) / n, lambda q: -q * F.log2(q))
+    entropy = F.aggregate(F.array_distinct(F.split("_body", "")), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(share(c)))
     query = F.regexp_extract(url, "(?s)\\?([^#]*)", 1)
-    return judged.withColumns({
-        "url_len": n.cast("double"), "host_len": F.length("host").cast("double"), "path_len": F.length("path").cast("double"),
+    return judged.withColumns({"suffix": suffix, "_body": body}).withColumns({
+        "url_len": n.cast("double"), "host_len": (F.length("host") - F.length("suffix")).cast("double"), "path_len": F.length("path").cast("double"),
         "depth": F.regexp_count("path", F.lit("/[^/]")).cast("double"), "host_parts": F.regexp_count("host", F.lit("[^.]+")).cast("double"),
-        "digit_ratio": F.when(n > 0, F.regexp_count(url, F.lit("[0-9]")) / n).otherwise(F.lit(0.0)), "entropy": F.when(n > 0, entropy).otherwise(F.lit(0.0)),
+        "digit_ratio": F.when(n > 0, F.regexp_count("_body", F.lit("[0-9]")) / n).otherwise(F.lit(0.0)), "entropy": F.when(n > 0, entropy).otherwise(F.lit(0.0)),
         "n_params": F.regexp_count(query, F.lit("[^&]+")).cast("double"), "n_hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
         "has_fragment": url.contains("#").cast("double"), "has_extension": F.col("path").rlike("\\.[a-z]{2,5}$").cast("double"),
-        "suffix": F.regexp_extract("host", "([^.]*)$", 1),
-    })
-
+    }).drop("_body")
 
-def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """For each suffix: how many labelled URLs, and how many of them are blocked."""
-    return labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
 
+def suffix_counts(rows: DataFrame) -> DataFrame:
+    """For each suffix: how many URLs, and how many different hosts, carry it."""
+    hosts = rows.groupBy("suffix", "host").agg(F.count(F.lit(1)).alias("n"))
+    return hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"))
 
-def with_suffix(df: DataFrame, counts: DataFrame, mean: float, p: UrlParams, own: Column | None = None) -> DataFrame:
-    """df with how many other labelled URLs its suffix has (log) and their share of blocks, smoothed towards the mean.
 
-    own is the label that a row has in the counts itself and that is taken out, null where it has none.
-    """
-    n, blocked = F.coalesce("n", F.lit(0)), F.coalesce("blocked", F.lit(0.0))
-    if own is not None:
-        n, blocked = n - F.when(own.isNotNull(), 1).otherwise(0), blocked - F.coalesce(own, F.lit(0.0))
-    stats = {"suffix_n": F.log1p(n), "suffix_block": (blocked + p.prior * mean) / (n + p.prior)}
-    return join_small(df, counts, "suffix", "left").withColumns(stats).drop("n", "blocked")
+def with_suffix(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """df with its suffix's numbers of URLs and of hosts, as whole powers of two; 0 for an unknown suffix."""
+    power = lambda c: F.floor(F.log2(1 + F.coalesce(F.col(c), F.lit(0)))).cast("double")
+    return join_small(df, counts, "suffix", "left").withColumns({"suffix_n": power("n"), "suffix_hosts": power("hosts")}).drop("n", "hosts")
 
 
 def sampled(labelled: DataFrame, n: int, p: UrlParams) -> DataFrame:
@@ -102,14 +106,24 @@ def sampled(labelled: DataFrame, n: int, p: UrlParams) -> DataFrame:
 
 def judge_urls(pages: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of block) for each page."""
-    judged = split_url(pages.select("page_id", "url")).withColumn("_r", rule_of(F.col("host"), F.col("path"), p.rules))
-    rows = cut(lexical(judged).select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("said"), "suffix", *FEATURES[:-2]))
-    labelled = rows.where(F.col("rule").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
+    rows = featured(pages, p)
+    labelled = labelled_by_rules(rows)
     scored = score(rows, labelled, p)
-    verdict = F.coalesce("said", F.when(F.col("score") >= p.block_at, "block").otherwise("allow"))
+    share = labelled.agg(F.avg("label")).first()[0] if p.block_at is None else p.block_at
+    verdict = F.coalesce("said", F.when(F.col("score") >= F.lit(share), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
+def featured(pages: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
+    """The pages' URLs with rule, the rule's verdict and the features of the URL alone, written once."""
+    judged = split_url(pages.select("page_id", "url")).withColumn("_r", rule_of(F.col("host"), F.col("path"), p.rules))
+    return cut(lexical(judged).select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("said"), "suffix", *FEATURES[:-2]))
+
+
+def labelled_by_rules(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("rule").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
+
+
 def score(rows: DataFrame, labelled: DataFrame, p: UrlParams = UrlParams()) -> DataFrame:
     """rows with score, the probability of block by trees learnt from labelled rows; null unless both labels are there."""
     from pyspark.ml.classification import GBTClassifier
@@ -119,11 +133,33 @@ def score(rows: DataFrame, labelled: DataFrame, p: UrlParams = UrlParams()) -> D
     found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(found) < 2:
         return rows.withColumn("score", F.lit(None).cast("double"))
-    n = sum(found.values())
-    mean, counts = found[1.0] / n, cut(suffix_counts(labelled))
+    counts = suffix_counts(rows)
+    if labelled.select("suffix").distinct().limit(p.least_suffixes).count() < p.least_suffixes:
+        counts = counts.limit(0)
+    counts = cut(counts)
     known = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = known.transform(with_suffix(sampled(labelled, n, p), counts, mean, p, F.col("label")))
+    train = known.transform(with_suffix(sampled(labelled, sum(found.values()), p), counts))
     train = train.select("features", "label").orderBy(F.xxhash64("features", "label")).limit(2 * p.train_rows)
     model = GBTClassifier(maxIter=p.trees, maxDepth=p.depth, stepSize=p.learning_rate, seed=p.seed, cacheNodeIds=True).fit(cut(train))
-    scored = model.transform(known.transform(with_suffix(rows, counts, mean, p)))
+    scored = model.transform(known.transform(with_suffix(rows, counts)))
     return scored.select(*[scored[c] for c in rows.columns], F.element_at(vector_to_array("probability"), 2).alias("score"))
+
+
+def held_out_auc(labelled: DataFrame, p: UrlParams = UrlParams(), folds: int = 5) -> float:
+    """Area under the ROC curve of labelled rows, each scored by trees that saw none of its host's; one half is chance.
+
+    Hosts go to folds by hash.  The areas of the folds that hold both labels are averaged, weighed by their rows; without such a fold it
+    is one half.
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    area, weight = 0.0, 0
+    dealt = cut(labelled.withColumn("_fold", F.pmod(F.xxhash64("host", F.lit(p.seed)), F.lit(folds))))
+    for k in range(folds):
+        held = dealt.where(F.col("_fold") == k)
+        scored = score(held.drop("_fold"), dealt.where(F.col("_fold") != k).drop("_fold"), p).where("score IS NOT NULL")
+        kinds = scored.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels")).first()
+        if kinds.labels == 2:
+            area += kinds.n * BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(scored)
+            weight += kinds.n
+    return area / weight if weight else 0.5

@@ -101,7 +101,7 @@ def _(spark, d):
 @register("join9_counted_by_class", f"SELECT g.namespace, path, 4 * files - 1 AS repository, 2 * files AS bindable FROM {E.GOOD} g JOIN {E.SIZES} s ON g.namespace = s.namespace WHERE linked")
 def _(spark, d):
     t, _i, x = E.tasks(spark, d)
-    hidden = S.masked(t.join(E.files(spark, d), ["namespace", "path"]).withColumn("target", F.col("alias"))).withColumn("context_hash", F.sha2("context", 256))
+    hidden = S.masked_callers(t.withColumn("target", F.col("alias")), E.files(spark, d)).withColumn("context_hash", F.sha2("context", 256))
     sites = hidden.join(S.call_sites(hidden.select("context")), "context_hash").select("namespace", "path", "caller", "shapes")
     asked = t.join(sites, ["namespace", "path", "caller"], "left").select("task_id", "namespace", "path", "caller", "shapes")
     return t.select("task_id", "namespace", "path").join(pool_counts(asked, S.symbols(x)), "task_id").drop("task_id")

@@ -73,7 +73,7 @@ def files(spark, d):
 
 def facts(spark, d):
     """All facts, written once: each file is parsed once for a query, however much is derived from it."""
-    return S.readable(stored(S.extract(files(spark, d))))
+    return S.fact_table(files(spark, d))
 
 
 # The oracles' suppliers: readable files, and whether the import's file exists and is readable.
@@ -132,8 +132,8 @@ def _(spark, d):
 @register("ext8_call_sites", f"SELECT namespace, path, 'g' || k AS caller, 1 AS positional, ['b'] AS keywords, false AS receiver FROM {GOOD} g")
 def _(spark, d):
     x = facts(spark, d)
-    edges = T.single_target_callers(S.symbols(x), S.calls(x)).join(files(spark, d), ["namespace", "path"])
-    m = S.masked(edges).withColumn("context_hash", F.sha2("context", 256))
+    edges = T.single_target_callers(S.symbols(x), S.calls(x))
+    m = S.masked_callers(edges, files(spark, d)).withColumn("context_hash", F.sha2("context", 256))
     sites = S.call_sites(m.select("context"))
     return m.join(sites, "context_hash").select("namespace", "path", "caller", F.explode("shapes").alias("s")).select("namespace", "path", "caller", "s.positional", "s.keywords", "s.receiver")
 
@@ -148,8 +148,8 @@ def _(spark, d):
 @register("txt1_masked", f"SELECT namespace, path, 'g' || k AS caller, 'def g' || k || '(a, b=2):' || chr(10) || '    return __CALL_TARGET__(a, b=3)' AS context FROM {GOOD} g")
 def _(spark, d):
     x = facts(spark, d)
-    edges = T.single_target_callers(S.symbols(x), S.calls(x)).join(files(spark, d), ["namespace", "path"])
-    return S.masked(edges).select("namespace", "path", "caller", "context")
+    edges = T.single_target_callers(S.symbols(x), S.calls(x))
+    return S.masked_callers(edges, files(spark, d)).select("namespace", "path", "caller", "context")
 
 
 def edges(spark, d):
@@ -184,7 +184,7 @@ TARGET = rendering("'pkg/m' || n || '.py'", "'f' || n", "(a, b)", "(a, b=1):|ret
 @register("join2_masked_decisions", f"SELECT g.namespace, path, 'g' || k AS caller, least(16, 4 * files) AS candidates, 1 AS targets, {rendering('path', "'f' || k", '(a, b)', '(a, b=1):|return a')} AS target FROM {GOOD} g JOIN {SIZES} s ON g.namespace = s.namespace")
 def _(spark, d):
     e, s, _x = edges(spark, d)
-    shown = S.masked(e.join(files(spark, d), ["namespace", "path"]))
+    shown = S.masked_callers(e, files(spark, d))
     out = T.masked_call_decisions(s, e, shown)
     return out.groupBy("namespace", "path", "caller").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_target").alias("targets"), F.max(F.when(F.col("cand_idx") == F.col("answer_index"), F.col("candidate"))).alias("target"))
 
@@ -305,7 +305,7 @@ def protocol(t, s):
 def _(spark, d):
     t, i, x, s, pool = scoped(spark, d)
     keyed = lambda df: df.withColumn("rendering_hash", F.sha2("text", 256))
-    masked = S.masked(t.join(files(spark, d), ["namespace", "path"]).withColumn("target", F.col("alias"))).withColumn("context_hash", F.sha2("context", 256))
+    masked = S.masked_callers(t.withColumn("target", F.col("alias")), files(spark, d)).withColumn("context_hash", F.sha2("context", 256))
     sites = masked.join(S.call_sites(masked.select("context")), "context_hash").join(t.select("task_id", "namespace", "path", "caller"), ["namespace", "path", "caller"]).select("task_id", "shapes")
     read = T.read_outside(i, S.name_reads(x), t).join(t.select("task_id", "namespace", "path", "caller", F.col("alias").alias("_a")), ["namespace", "path", "caller"])
     read = read.join(i, ["namespace", "path", "alias"]).select("task_id", F.col("target_path").alias("mpath"), "name", F.lit(True).alias("_read")).distinct()
@@ -386,8 +386,8 @@ def _(spark, d):
 
 def contexts(spark, d):
     x = facts(spark, d)
-    e = T.single_target_callers(S.symbols(x), S.calls(x)).join(files(spark, d), ["namespace", "path"])
-    return S.masked(e).withColumn("task", F.when(F.length("path") % 2 == 0, "python.hard_masked_direct_call").otherwise("other"))
+    e = T.single_target_callers(S.symbols(x), S.calls(x))
+    return S.masked_callers(e, files(spark, d)).withColumn("task", F.when(F.length("path") % 2 == 0, "python.hard_masked_direct_call").otherwise("other"))
 
 
 @register("ext12_single_site", f"SELECT namespace, path, 2 AS n_args FROM {GOOD} g WHERE length(path) % 2 = 0")

@@ -58,7 +58,7 @@ def facts(spark, d):
     k = F.col("s_suppkey").cast("string")
     sup = spark.read.parquet(f"{d}/supplier.parquet")
     beside = sup.select(F.concat(F.lit("ns"), (F.col("s_suppkey") % 5).cast("string")).alias("namespace"), F.concat(F.lit("pkg/n"), k, F.lit(".py")).alias("path"), F.replace(F.lit(CODE), F.lit("{K}"), k).alias("content"))
-    return S.readable(stored(S.extract(extraction.files(spark, d).unionByName(beside))))
+    return S.fact_table(extraction.files(spark, d).unionByName(beside))
 
 
 # The files beside; linked if the supplier's own file is readable.

@@ -146,12 +146,40 @@ def paired_report(summary: DataFrame, *keys: str) -> DataFrame:
 
 
 def tests_report(summary: DataFrame, *keys: str) -> DataFrame:
-    """Long rows (keys, metric, value) of a paired summary's deltas and exact tests."""
+    """Long rows (keys, metric, value) of a paired summary's deltas and exact tests; a delta that is not defined is null."""
     names = ["success_rate_delta", "mean_attempts_delta", "mean_turn_delta", "mcnemar_p", "sign_p"]
     return summary.selectExpr(*keys, f"stack({len(names)}, " + ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in names) + ") as (metric, value)")
 
 
+def standard_report(summary: DataFrame, *keys: str) -> DataFrame:
+    """Long rows (keys, part, metric, baseline, assisted) of a tested paired summary: the standard report, as text.
+
+    Rates say how many of how many, mean attempts and deltas have two digits, p-values three; halves go to the even digit.  Where both arms never
+    solved a task, the turn delta is `not defined`.
+    """
+    rate = lambda n: f"format_string('%d/%d (%.1f%%)', {n}, tasks, bround(100D * {n} / tasks, 1))"
+    both = lambda text: (text, "CAST(NULL AS STRING)")
+    rows = [
+        ("arms", "first-pass success", rate("baseline_first_pass"), rate("assisted_first_pass")), ("arms", "success within budget", rate("baseline_successes"), rate("assisted_successes")),
+        ("arms", "terminal failures", "format_string('%d/%d', tasks - baseline_successes, tasks)", "format_string('%d/%d', tasks - assisted_successes, tasks)"),
+        ("arms", "mean attempts", "format_string('%.2f', bround(b_mean_attempts, 2))", "format_string('%.2f', bround(a_mean_attempts, 2))"),
+        *[("pairs", n, *both(f"CAST({c} AS STRING)")) for n, c in (("both succeed", "`both`"), ("assisted only", "assisted_only"), ("baseline only", "baseline_only"), ("neither succeeds", "neither"))],
+        ("turns", "mean correction turns saved", *both("coalesce(format_string('%.2f', bround(mean_turn_delta, 2)), 'not defined')")),
+        ("turns", "fewer, same, more", *both("format_string('%d, %d, %d of %d', fewer_turns, `both` - fewer_turns - more_turns, more_turns, `both`)")),
+        ("tests", "McNemar", *both("format_string('%d discordant: %d to %d, p = %.3f', assisted_only + baseline_only, assisted_only, baseline_only, mcnemar_p)")),
+        ("tests", "sign test", *both("format_string('%d unequal: %d to %d, %d ties, p = %.3f', fewer_turns + more_turns, fewer_turns, more_turns, `both` - fewer_turns - more_turns, sign_p)")),
+    ]
+    listed = ", ".join(f"'{part}', '{metric}', {b}, {a}" for part, metric, b, a in rows)
+    return summary.withColumn("mean_turn_delta", F.when(F.col("both") > 0, F.col("mean_turn_delta"))).selectExpr(*keys, f"stack({len(rows)}, {listed}) as (part, metric, baseline, assisted)")
+
+
 def failure_report(summary: DataFrame, *keys: str) -> DataFrame:
     """Long rows (keys, metric, n) of a failure summary."""
     names = ["tasks", "assisted_failures", "wrong_recommendations", "correct_ignored", "wrong_followed", "recovery_failures", "unparseable_first", "terminal_unparseable"]
     return summary.selectExpr(*keys, f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (metric, n)")
+
+
+def failure_rates(summary: DataFrame, *keys: str) -> DataFrame:
+    """Long rows (keys, metric, rate) of a failure summary: what share of the tasks, or of the failures, each count is."""
+    of = {"failure_rate": "assisted_failures / tasks", "wrong_recommendation_rate": "wrong_recommendations / tasks", "ignored_share_of_failures": "try_divide(correct_ignored, assisted_failures)", "followed_share_of_failures": "try_divide(wrong_followed, assisted_failures)"}
+    return summary.selectExpr(*keys, f"stack({len(of)}, " + ", ".join(f"'{n}', CAST({x} AS DOUBLE)" for n, x in of.items()) + ") as (metric, rate)")

@@ -76,18 +76,27 @@ def pair(outs: DataFrame, *carry: str, baseline: str = "baseline", assisted: str
 
 
 def funnel(attempts: DataFrame, gates: list[str], *keys: str) -> DataFrame:
-    """How many rows pass each gate and all before it, by each key alone and in total."""
-    passed = F.lit(True)
-    counts = []
-    for g in gates:
-        passed = passed & F.coalesce(F.col(g), F.lit(False))
-        counts.append(F.count_if(passed).alias(g))
-    sets = [F.count(F.lit(1)).alias("n"), *counts]
-    total = attempts.agg(*sets).select(F.lit("total").alias("level"), F.lit("").alias("value"), "n", *gates)
-    parts = [attempts.groupBy(k).agg(*sets).select(F.lit(k).alias("level"), F.col(k).cast("string").alias("value"), "n", *gates) for k in keys]
-    for p in parts:
-        total = total.unionByName(p)
-    return total
+    """(level, value, n, gates): how many rows pass each gate and all before it, by each key alone and in total.
+
+    A row's depth is the number of gates that it passes before the first that stops it.  Rows are counted once by keys
+    and depth; grouping sets over those counts give every level, so the table is read once however many keys there are.
+    """
+    depth = F.lit(len(gates))
+    for i, g in reversed(list(enumerate(gates))):
+        depth = F.when(F.coalesce(F.col(g), F.lit(False)), depth).otherwise(F.lit(i))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = attempts.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)], depth.alias("_depth"))
+    rows = rows.groupBy(*names, "_depth").agg(F.count(F.lit(1)).alias("_n"))
+    sums = [F.sum("_n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("_depth") > i, F.col("_n"))), F.lit(0)).alias(g) for i, g in enumerate(gates)]]
+    total = rows.agg(*sums).select(F.lit("total").alias("level"), F.lit("").alias("value"), F.coalesce("n", F.lit(0)).alias("n"), *gates)
+    if not keys:
+        return total
+    parts = rows.groupingSets([[], *[[n] for n in names]], *names).agg(F.grouping_id(*names).alias("_id"), *sums)
+    level, value = F.lit("total"), F.lit("")
+    for i, (k, n) in enumerate(zip(keys, names, strict=True)):
+        mine = F.col("_id") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
+        level, value = F.when(mine, k).otherwise(level), F.when(mine, F.col(n)).otherwise(value)
+    return parts.select(level.alias("level"), value.alias("value"), F.coalesce("n", F.lit(0)).alias("n"), *gates)
 
 
 def conditional_entry(verified: DataFrame, recommendations: DataFrame) -> DataFrame:

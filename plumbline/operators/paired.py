@@ -9,8 +9,8 @@ from plumbline.functions.expressions import draw, let, two_sided_binomial
 from plumbline.operators.quantiles import exact_quantiles
 
 
-def summarize(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Four-way contingency, arm totals and deltas of paired rows, for each key or in total.
+def summarize(pairs: DataFrame, *keys: str, means: bool = False) -> DataFrame:
+    """Four-way contingency, arm totals and deltas of paired rows, for each key or in total; means: both arms' mean attempts, too.
 
     A rate delta is assisted minus baseline, an attempts delta baseline minus assisted; the turn delta counts only
     tasks that both arms solved.
@@ -20,6 +20,7 @@ def summarize(pairs: DataFrame, *keys: str) -> DataFrame:
     sums = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("tasks"), n(b).alias("baseline_successes"), n(a).alias("assisted_successes"), n("b_first").alias("baseline_first_pass"), n("a_first").alias("assisted_first_pass"),
         n(a & b).alias("both"), n(a & ~b).alias("assisted_only"), n(b & ~a).alias("baseline_only"), n(~a & ~b).alias("neither"),
+        *([F.avg("b_attempts").alias("b_mean_attempts"), F.avg("a_attempts").alias("a_mean_attempts")] if means else []),
         (F.avg("b_attempts") - F.avg("a_attempts")).alias("mean_attempts_delta"), F.avg(F.when(a & b, F.col("b_attempts") - F.col("a_attempts"))).alias("mean_turn_delta"),
         n(a & b & (F.col("b_attempts") > F.col("a_attempts"))).alias("fewer_turns"), n(a & b & (F.col("b_attempts") < F.col("a_attempts"))).alias("more_turns"),
     )
@@ -254,6 +255,26 @@ def threshold_sweep(rows: DataFrame, grid: list[float]) -> DataFrame:
     return out.select("threshold", "successes", best.alias("best"))
 
 
+def routed(rows: DataFrame, sweep: DataFrame) -> DataFrame:
+    """rows of another set with the arm that the best threshold of a sweep chooses: routed_ok, took_assisted, threshold.
+
+    The sweep is one row for each cell of its grid.  A row without a confidence takes the baseline.
+    """
+    best = sweep.where("best").select("threshold")
+    took = F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False))
+    return rows.join(F.broadcast(best), F.lit(True)).withColumn("took_assisted", took).withColumn("routed_ok", F.when(F.col("took_assisted"), F.col("a_ok")).otherwise(F.col("b_ok")))
+
+
+def routing_result(rows: DataFrame, *keys: str) -> DataFrame:
+    """Routed rows against always assisting: n, both counts, the discordant tasks and their exact test, for each key or in total."""
+    r, a = F.col("routed_ok"), F.col("a_ok")
+    g = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("took_assisted").alias("took_assisted"), F.count_if(a).alias("assisted_successes"), F.count_if(r).alias("routed_successes"),
+        F.count_if(r & ~a).alias("routed_only"), F.count_if(a & ~r).alias("assisted_only"), F.max("threshold").alias("threshold"),
+    )
+    return g.withColumns({"delta": (F.col("routed_successes") - F.col("assisted_successes")) / F.nullif("n", F.lit(0)), "p": two_sided_binomial(F.col("routed_only"), F.col("assisted_only"))})
+
+
 def failure_signatures(outs: DataFrame, recommendations: DataFrame) -> DataFrame:
     """How the assisted arm behaved toward its recommendation, a row for each task."""
     x = outs.where("arm = 'assisted'").join(recommendations, "task_id")

@@ -224,6 +224,21 @@ def residual_rank(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("n"), wrong.alias("first_wrong"), second.alias("second_right"), F.try_divide(second, wrong).alias("residual"), F.avg((F.col("rank") <= 2).cast("int")).alias("two_turn_ceiling"))
 
 
+def residual_ranks(scores: DataFrame) -> DataFrame:
+    """residual_rank before and after the predicate, a row each (stage): all candidates, and those that bind.
+
+    scores: task_id, cand_idx, score, is_target, bindable.  A task whose target does not bind, or that nothing binds, has
+    no rank after the predicate: its first pick is wrong.
+    """
+    out = None
+    tasks = scores.select("task_id").distinct()
+    for stage, rows in (("before", scores), ("after", scores.where("bindable"))):
+        rank = ranked(rows).where("is_target").select("task_id", "rank")
+        part = residual_rank(tasks.join(rank, "task_id", "left").select(F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"))).withColumn("stage", F.lit(stage))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def distinct_by_rendering(members: DataFrame) -> DataFrame:
     """The first member of each rendering in a task and how many share it."""
     return members.groupBy("task_id", "rendering_hash").agg(F.min_by("sym_id", "ord").alias("sym_id"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("members"))

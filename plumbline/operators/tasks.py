@@ -318,6 +318,16 @@ def single_site(contexts: DataFrame, sites: DataFrame, tasks: tuple) -> DataFram
     return x.withColumn("n_args", s["positional"] + F.size(s["keywords"]))
 
 
+def duplicated_answers(decisions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, duplicated): decisions, and those of which another candidate has the answer's name, so that no name can win them.
+
+    decisions: symbols (the candidates' names), answer_index.
+    """
+    mine = F.get("symbols", F.col("answer_index"))
+    twice = F.size(F.filter("symbols", lambda s: s == mine)) > 1
+    return decisions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(twice).alias("duplicated"))
+
+
 def counts(decisions: DataFrame, *keys: str) -> DataFrame:
     """Decisions of each key, largest first."""
     return decisions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys)

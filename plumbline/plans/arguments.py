@@ -138,22 +138,57 @@ def chance_baselines(census: DataFrame) -> DataFrame:
     return census.select("task_id", (1 / F.col("plan_space_size")).alias("uniform"), F.when(F.col("restoring_plan_binds"), 1 / F.col("binding_plans")).otherwise(F.lit(0.0)).alias("feasible_uniform"))
 
 
+def recommended_baselines(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(task_id, recommended_feasible_uniform, position_prior): chance among the recommended candidate's binding plans, and of the first plan.
+
+    tasks: as plan_space has them, with restoring and recommendation (an index, or null: then the chance is null).  The
+    first plan is the first candidate with nothing changed.
+    """
+    plans = binding_plans(tasks, candidates).join(tasks.select("task_id", "recommendation", "restoring"), "task_id").where("cand_idx = recommendation")
+    hit = (F.col("cand_idx") == F.col("restoring.cand")) & (F.col("op") == F.col("restoring.op"))
+    g = plans.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(hit).alias("hit"))
+    first = (F.col("restoring.cand") == 0) & (F.col("restoring.op") == F.array(F.lit("keep")))
+    chance = F.when(F.col("recommendation").isNotNull(), F.when(F.col("hit"), 1 / F.col("n")).otherwise(F.lit(0.0)))
+    return tasks.select("task_id", "recommendation", "restoring").join(g, "task_id", "left").select("task_id", chance.alias("recommended_feasible_uniform"), first.cast("double").alias("position_prior"))
+
+
+#: Gates of a plan, in the order in which a reader's answer meets them.
+GATES = ["syntax", "in_vocabulary", "applicable", "bindable", "candidate", "operation", "exact"]
+
+
+def plan_gates(answers: DataFrame) -> DataFrame:
+    """answers with a flag for each of GATES: what parses, knows its operands, applies, binds, names the target, restores the call, and all of it.
+
+    answers: output, n_candidates, vocabulary, call, receiver, params array, symbols array, answer_index, expected call.
+    A candidate of the target's name is the target, whatever its index; a flag that cannot be told is null.
+    """
+    x = answers.withColumn("_plan", parse_plan(F.col("output"), F.col("n_candidates")))
+    x = x.withColumn("_call", F.when(F.col("_plan").isNotNull(), apply_op(F.col("call"), F.col("_plan.op"))))
+    cand, made = F.col("_plan.cand"), F.col("_call")
+    fits = B.allowed(F.get("params", cand), F.array(call_shape(made, F.col("receiver"))))
+    flags = {
+        "syntax": F.col("_plan").isNotNull(), "in_vocabulary": operands_known(F.col("_plan.op"), F.col("vocabulary")), "applicable": made.isNotNull(), "bindable": F.when(made.isNotNull(), fits),
+        "candidate": F.get("symbols", cand) == F.get("symbols", F.col("answer_index")), "operation": F.when(made.isNotNull(), made.eqNullSafe(F.col("expected"))),
+    }
+    out = x.withColumns(flags | {"_cand": cand}).drop("_plan", "_call")
+    every = F.lit(True)
+    for g in GATES[:-1]:
+        every = every & F.coalesce(F.col(g), F.lit(False))
+    return out.withColumn("exact", every)
+
+
 def verify_plans(answers: DataFrame) -> DataFrame:
-    """answers (output, n_candidates, vocabulary, call, receiver, params array, symbols array, answer_index, expected call) with reason.
+    """answers (as plan_gates has them) with reason.
 
     Gates in order: invalid plan, inapplicable, unbindable, ok, wrong target, wrong operations.  Equality of the call
     and of the symbol's name is looked at before the index, so a like-named candidate is right.
     """
-    x = answers.withColumn("_plan", parse_plan(F.col("output"), F.col("n_candidates")))
-    x = x.withColumn("_call", F.when(F.col("_plan").isNotNull(), apply_op(F.col("call"), F.col("_plan.op"))))
-    cand = F.col("_plan.cand")
-    fits = B.allowed(F.get("params", cand), F.array(call_shape(F.col("_call"), F.col("receiver"))))
-    same = F.col("_call").eqNullSafe(F.col("expected")) & (F.get("symbols", cand) == F.get("symbols", F.col("answer_index")))
+    x = plan_gates(answers)
     reason = (
-        F.when(F.col("_plan").isNull() | ~operands_known(F.col("_plan.op"), F.col("vocabulary")), "invalid_plan").when(F.col("_call").isNull(), "inapplicable_operation")
-        .when(~fits, "unbindable_call").when(same, "ok").when(cand != F.col("answer_index"), "wrong_target").otherwise("wrong_operations")
+        F.when(~F.col("syntax") | ~F.col("in_vocabulary"), "invalid_plan").when(~F.col("applicable"), "inapplicable_operation").when(~F.col("bindable"), "unbindable_call")
+        .when(F.col("candidate") & F.col("operation"), "ok").when(F.col("_cand") != F.col("answer_index"), "wrong_target").otherwise("wrong_operations")
     )
-    return x.withColumn("reason", reason).drop("_plan", "_call")
+    return x.withColumn("reason", reason).drop("_cand", *GATES)
 
 
 #: Perturbations by name; those that depend on nothing but what a reader sees, and the one that uses the target.
@@ -251,6 +286,23 @@ def rotations(tasks: DataFrame, shifts: int) -> DataFrame:
     return s.select("task_id", "shift", F.transform(F.sequence(F.lit(0), F.col("n_candidates") - 1), lambda i: (i + F.col("shift")) % F.col("n_candidates")).alias("order"))
 
 
+def reordered(tasks: DataFrame, shifts: int) -> DataFrame:
+    """tasks (n_candidates, answer_index, restoring, candidates, more) shown in each of their first `shifts` cyclic orders.
+
+    Candidates are turned, and the answer's and the restoring plan's index go with them, so that a turned task still
+    verifies its own restoring plan.
+    """
+    turned = rotations(tasks, shifts).join(tasks, "task_id")
+    at = lambda i: shown_position(i, F.col("shift"), F.col("n_candidates"))
+    plan = F.struct(at(F.col("restoring.cand")).alias("cand"), F.col("restoring.op").alias("op"))
+    return turned.withColumns({"candidates": F.transform("order", lambda i: F.get("candidates", i)), "answer_index": at(F.col("answer_index")), "restoring": plan})
+
+
+def map_plans(scores: DataFrame, counts: DataFrame) -> DataFrame:
+    """scores (task_id, shift, cand_idx as shown, more) with cand_idx as it was before the turn; counts: task_id, n_candidates."""
+    return scores.join(counts, "task_id").withColumn("cand_idx", F.pmod(F.col("cand_idx") + F.col("shift"), F.col("n_candidates")).cast("int")).drop("n_candidates")
+
+
 def rank_plans(scores: DataFrame, normalize: bool = False) -> DataFrame:
     """(task_id, plan_idx, cand_idx, score, rank): mean over shifts, per token if normalised; ties go by plan order."""
     v = F.col("log_probability") / F.greatest(F.col("tokens"), F.lit(1)) if normalize else F.col("log_probability")

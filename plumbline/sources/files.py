@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from plumbline.functions.binding import PARAMETERS, SHAPE
+from plumbline.sources.stored import stored, written
 
 ARITY = "struct<pos:int,req_pos:int,kwonly:int,req_kwonly:int,vararg:boolean,kwarg:boolean,is_async:boolean>"
 FACTS = f"namespace string, path string, kind string, ordinal int, name string, signature string, body string, shape {ARITY}, params {PARAMETERS}, class_name string, binding string, callee string, position int, module string, level int, nested boolean, error string"
@@ -52,6 +53,34 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("namespace", "path", "content").mapInArrow(of, FACTS)
 
 
+def dealt_by_size(files: DataFrame, task_bytes: int = 8_000_000) -> DataFrame:
+    """files, dealt to tasks of about task_bytes of content each; a file of that size or more has a task to itself.
+
+    The others are put in an order by hash and cut by the running sum of their bytes, which is added up within ranges of
+    the order and over one row for each range.  Only sizes are sorted; contents move once where the sizes are few enough
+    to be sent along, else twice.
+    """
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + 1
+    order = ["at", "namespace", "path"]
+    sizes = files.select("namespace", "path", F.least(size, F.lit(task_bytes)).alias("weight"), (size >= task_bytes).alias("alone"), F.xxhash64("namespace", "path").alias("at")).dropDuplicates(["namespace", "path"])
+    ranges = stored(sizes.repartitionByRange("alone", *order).withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy("alone", "part").agg(F.sum("weight").alias("sum"))
+    before = sums.select("alone", "part", (F.sum("sum").over(Window.partitionBy("alone").orderBy("part")) - F.col("sum")).alias("before"))
+    upto = F.sum("weight").over(Window.partitionBy("alone", "part").orderBy(*order)) - F.col("weight")
+    placed = ranges.withColumn("upto", upto).join(F.broadcast(before), ["alone", "part"]).withColumn("task", F.floor((F.col("before") + F.col("upto")) / task_bytes).cast("int"))
+    placed = stored(placed.select("namespace", "path", "alone", "task"))
+    tasks = {r["alone"]: r["n"] for r in placed.groupBy("alone").agg((F.max("task") + 1).alias("n")).collect()}
+    shared = tasks.get(False, 0)
+    task = F.when(F.col("alone"), F.col("task") + shared).otherwise(F.col("task"))
+    dealt = files.join(placed.select("namespace", "path", task.alias("task")), ["namespace", "path"])
+    return dealt.repartitionById(max(1, shared + tasks.get(True, 0)), "task").drop("task")
+
+
+def fact_table(files: DataFrame) -> DataFrame:
+    """The readable files' facts, each file parsed once, as Parquet by kind: symbols(), calls() and the rest read their own part and columns."""
+    return readable(written(extract(files), "kind"))
+
+
 def readable(facts: DataFrame, strict: bool = False) -> DataFrame:
     """Facts of readable files; strict: the first unreadable file is an error."""
     if not strict:
@@ -118,17 +147,38 @@ def candidate_parameters(candidates: DataFrame) -> DataFrame:
     return distinct.mapInPandas(of, f"text_hash string, params {PARAMETERS}")
 
 
-def masked(edges: DataFrame) -> DataFrame:
-    """edges (namespace, path, content, caller, target) with context, rows that still show the target's name left out."""
+def asked_of_files(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(namespace, path, content, asked): each file once, with all callers (caller, target) that are asked of it."""
+    asked = edges.groupBy("namespace", "path").agg(F.collect_list(F.struct("caller", "target")).alias("asked"))
+    return files.select("namespace", "path", "content").join(asked, ["namespace", "path"])
+
+
+def masked_callers(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """edges (namespace, path, caller, target) with context, rows that still show the target's name left out.
+
+    A file's text travels once and is parsed once, however many of its callers are asked for.
+    """
+
+    def of(batches):
+        import pyarrow as pa
 
-    def of(frames):
         from plumbline.functions import pysource
 
-        for f in frames:
-            said = [pysource.masked(t, c, n) for t, c, n in zip(f["content"], f["caller"], f["target"], strict=True)]
-            yield f[["namespace", "path", "caller", "target"]].assign(context=said).dropna(subset=["context"])
+        names = ["namespace", "path", "caller", "target", "context"]
+        for batch in batches:
+            out = []
+            for ns, path, text, asked in zip(*(batch.column(c).to_pylist() for c in ("namespace", "path", "content", "asked")), strict=True):
+                said = pysource.masked_all(text, [(x["caller"], x["target"]) for x in asked])
+                out += [(ns, path, x["caller"], x["target"], c) for x, c in zip(asked, said, strict=True) if c is not None]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=names)
+
+    return asked_of_files(edges, files).mapInArrow(of, "namespace string, path string, caller string, target string, context string")
 
-    return edges.select("namespace", "path", "content", "caller", "target").mapInPandas(of, "namespace string, path string, caller string, target string, context string")
+
+def masked(edges: DataFrame) -> DataFrame:
+    """masked_callers for edges that carry their file's content."""
+    return masked_callers(edges, edges.select("namespace", "path", "content").dropDuplicates(["namespace", "path"]))
 
 
 def write_decisions(decisions: DataFrame, folder: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog.bridges import RETRIEVAL, sql, view
@@ -9,6 +11,7 @@ from plumbline.functions.expressions import cosine, order_key
 from plumbline.operators import ranking as R
 from plumbline.operators.tasks import stacked
 from plumbline.operators.topk import blocked_shortlist
+from plumbline.sources.stored import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -186,6 +189,14 @@ def _(spark, d):
     return R.missing_texts(items(spark, d), cached(spark, d)).select("role", "text_hash")
 
 
+# The same against a cache that is stored by prefixes of the hash.
+@register("rnk2_missing_from_stored", ORACLES["rnk2_missing_texts"])
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    R.write_cache(cached(spark, d).select("role", "text_hash", F.array(F.lit(0.0)).alias("vec")).distinct(), folder)
+    return R.missing_from_cache(items(spark, d), folder).select("role", "text_hash")
+
+
 def length_encoder():
     return lambda texts, role: [[float(len(t)), float(t.count(" ")), float(role == "context")] for t in texts]
 

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog import splitting
+from plumbline.catalog import extraction, splitting
 from plumbline.catalog.bridges import PAIRS, view
 from plumbline.catalog.evaluation import FAILS, FSUM, GRID, PR, SUMMARY, _outcomes, _recs, tail
 from plumbline.catalog.plans import SIZES, candidates, tasks
 from plumbline.catalog.ranking import SCORED, scored
-from plumbline.catalog.repairs import TAKES
+from plumbline.catalog.repairs import EDITED, TAKES
 from plumbline.functions import binding as B
 from plumbline.functions import texts as X
 from plumbline.operators import attempts as A
+from plumbline.operators import pools as N
 from plumbline.operators import paired as P
 from plumbline.operators import ranking as R
+from plumbline.operators import splits as L
 from plumbline.operators import tasks as T
 from plumbline.plans import arguments as G
+from plumbline.sources import files as S
 
 QUERIES, ORACLES = {}, {}
 
@@ -161,3 +164,76 @@ def _(spark, d):
     ok, why = B.allowed_reason(F.col("p"), F.col("sites"))
     judged = parts.select("p").distinct().join(F.broadcast(groups.unionByName(none)), F.lit(True)).select("p", "site_group", ok.alias("allowed"), why.alias("reason"))
     return splitting.with_class(parts, judged).select("p_partkey", "site_group", "allowed", "reason")
+
+
+# Whole tables where other queries of the operator take a part.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+@register("set3_all_languages", "SELECT lang AS namespace, lang || '::' || source AS source, count(*) AS n FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang, source")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "lang")
+    return L.pool_namespaces({k: docs.where(F.col("lang") == k) for k in LANGUAGES}).groupBy("namespace", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("set6_all_namespaces", "WITH c AS (SELECT lang || '/' || source AS namespace, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS m FROM documents GROUP BY 1) SELECT namespace, n, 'now' AS side FROM c WHERE n <> m UNION ALL SELECT namespace, m, 'frozen' FROM c WHERE n <> m AND m > 0")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat_ws("/", "lang", "source").alias("namespace"))
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id").distinct()
+    count = lambda x: x.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    return L.drift(count(docs), count(docs.join(labels, "doc_id", "left_semi")))
+
+
+@register("spl8_all_splits", f"SELECT s.split, count(task_id) AS n FROM (SELECT unnest(['train', 'validation', 'test']) AS split) s LEFT JOIN {splitting.SPLIT} x ON s.split = x.split GROUP BY s.split")
+def _(spark, d):
+    return L.split_sizes(L.hash_split(splitting.ex(spark, d), 5))
+
+
+NTH = "row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth"
+
+
+@register("join19_documents_and_labels", f"SELECT coalesce(a.source, b.source) AS source, coalesce(a.nth, b.nth) AS nth, a.doc_id AS l_doc_id, b.doc_id AS r_doc_id FROM (SELECT source, doc_id, {NTH} FROM documents) a FULL JOIN (SELECT source, doc_id, {NTH} FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) b ON a.source = b.source AND a.nth = b.nth")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id")
+    labelled = docs.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id").distinct(), "doc_id", "left_semi")
+    return T.ordered_join(docs, labelled, ["source"], "doc_id")
+
+
+# A call's arguments: two where a function calls its neighbour, two where one calls what it imports.
+@register("cen6_arguments_by_family", f"SELECT task, n_args, count(*) AS n FROM (SELECT 'python.hard_masked_direct_call' AS task, 2 AS n_args FROM {extraction.GOOD} g UNION ALL SELECT 'python.hard_masked_cross_file_call', 2 FROM {extraction.GOOD} g WHERE linked) x GROUP BY ALL")
+def _(spark, d):
+    e, _s, _x = extraction.edges(spark, d)
+    t, _i, _y = extraction.tasks(spark, d)
+    near = S.masked_callers(e, extraction.files(spark, d)).withColumn("task", F.lit("python.hard_masked_direct_call"))
+    far = S.masked_callers(t.withColumn("target", F.col("alias")), extraction.files(spark, d)).withColumn("task", F.lit("python.hard_masked_cross_file_call"))
+    c = near.unionByName(far)
+    return T.counts(T.single_site(c, S.call_sites(c.select("context")), ("python.hard_masked_direct_call", "python.hard_masked_cross_file_call")), "task", "n_args")
+
+
+# The census of the import neighbourhood, reported: every pool has four functions or none.
+@register("cen8_of_census", f"""WITH c AS (SELECT g.namespace, variant, variant = 'alias' AS recalled, CASE WHEN variant = 'alias' THEN least(4, 4 * files - 1) / (4 * files - 1) ELSE 0 END AS uniform FROM {extraction.GOOD} g JOIN {extraction.SIZES} s ON g.namespace = s.namespace, (SELECT unnest(['alias', 'independent']) AS variant) v WHERE linked)
+SELECT namespace, variant, count(*) AS tasks, count(*) FILTER (WHERE recalled) AS recalled, round(sum(uniform), 6) AS uniform, count(*) AS within FROM c GROUP BY GROUPING SETS ((namespace, variant), (variant))""")
+def _(spark, d):
+    return N.neighbourhood_report(extraction.QUERIES["cen3_neighbourhood_census"](spark, d)).withColumn("uniform", F.round("uniform", 6))
+
+
+# What each operation leaves of its call: positional arguments and keyword names.
+@register("arg2_edited_calls", f"SELECT task_id, p AS positional, array_to_string(list_sort(nm), ',') AS keywords, 3 * count(*) AS plans FROM {EDITED} e GROUP BY ALL")
+def _(spark, d):
+    x = G.plan_space(tasks(spark, d)).join(tasks(spark, d).select("task_id", "call"), "task_id").withColumn("made", G.apply_op(F.col("call"), F.col("op")))
+    names = F.array_join(F.array_sort(F.transform("made.keywords", lambda k: k["name"])), ",")
+    return x.where("made IS NOT NULL").groupBy("task_id", F.size("made.args").alias("positional"), names.alias("keywords")).agg(F.count(F.lit(1)).alias("plans"))
+
+
+# Texts of documents: each is a caller, names come from its columns.
+@register("txt8_edited_documents", "SELECT doc_id, md5('x = ' || CASE WHEN n_chars % 2 = 0 THEN lang ELSE source END || '(1)' || chr(10) || coalesce(text, '')) AS digest FROM documents")
+def _(spark, d):
+    context = F.concat(F.lit("x = __CALL_TARGET__(1)\n"), F.coalesce("text", F.lit("")))
+    made = X.edited(context, F.array(F.concat("lang", F.lit("(a)")), F.concat("source", F.lit("(b)\nbody"))), (F.col("n_chars") % 2).cast("int"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(made).alias("digest"))
+
+
+@register("txt10_caller_of_documents", "SELECT doc_id, lang || '_' || source AS caller FROM documents")
+def _(spark, d):
+    text = F.concat(F.lit("@wrapped\ndef "), "lang", F.lit("_"), "source", F.lit("(a, *, b=1):\n    "), F.coalesce("text", F.lit("")))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.caller_name(text).alias("caller"))

@@ -164,13 +164,13 @@ def standard_report(summary: DataFrame, *keys: str) -> DataFrame:
         ("arms", "terminal failures", "format_string('%d/%d', tasks - baseline_successes, tasks)", "format_string('%d/%d', tasks - assisted_successes, tasks)"),
         ("arms", "mean attempts", "format_string('%.2f', bround(b_mean_attempts, 2))", "format_string('%.2f', bround(a_mean_attempts, 2))"),
         *[("pairs", n, *both(f"CAST({c} AS STRING)")) for n, c in (("both succeed", "`both`"), ("assisted only", "assisted_only"), ("baseline only", "baseline_only"), ("neither succeeds", "neither"))],
-        ("turns", "mean correction turns saved", *both("coalesce(format_string('%.2f', bround(mean_turn_delta, 2)), 'not defined')")),
+        ("turns", "mean correction turns saved", *both("if(mean_turn_delta IS NULL, 'not defined', format_string('%.2f', bround(mean_turn_delta, 2)))")),
         ("turns", "fewer, same, more", *both("format_string('%d, %d, %d of %d', fewer_turns, `both` - fewer_turns - more_turns, more_turns, `both`)")),
         ("tests", "McNemar", *both("format_string('%d discordant: %d to %d, p = %.3f', assisted_only + baseline_only, assisted_only, baseline_only, mcnemar_p)")),
         ("tests", "sign test", *both("format_string('%d unequal: %d to %d, %d ties, p = %.3f', fewer_turns + more_turns, fewer_turns, more_turns, `both` - fewer_turns - more_turns, sign_p)")),
     ]
     listed = ", ".join(f"'{part}', '{metric}', {b}, {a}" for part, metric, b, a in rows)
-    return summary.withColumn("mean_turn_delta", F.when(F.col("both") > 0, F.col("mean_turn_delta"))).selectExpr(*keys, f"stack({len(rows)}, {listed}) as (part, metric, baseline, assisted)")
+    return summary.selectExpr(*keys, f"stack({len(rows)}, {listed}) as (part, metric, baseline, assisted)")
 
 
 def failure_report(summary: DataFrame, *keys: str) -> DataFrame:

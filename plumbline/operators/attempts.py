@@ -91,12 +91,14 @@ def funnel(attempts: DataFrame, gates: list[str], *keys: str) -> DataFrame:
     total = rows.agg(*sums).select(F.lit("total").alias("level"), F.lit("").alias("value"), F.coalesce("n", F.lit(0)).alias("n"), *gates)
     if not keys:
         return total
-    parts = rows.groupingSets([[], *[[n] for n in names]], *names).agg(F.grouping_id(*names).alias("_id"), *sums)
+    # an empty table has a total, too
+    nothing = attempts.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(n) for n in names], F.lit(0).alias("_depth"), F.lit(0).cast("long").alias("_n"))
+    parts = rows.unionByName(nothing).groupingSets([[], *[[n] for n in names]], *names).agg(F.grouping_id(*names).alias("_id"), *sums)
     level, value = F.lit("total"), F.lit("")
     for i, (k, n) in enumerate(zip(keys, names, strict=True)):
         mine = F.col("_id") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
         level, value = F.when(mine, k).otherwise(level), F.when(mine, F.col(n)).otherwise(value)
-    return parts.select(level.alias("level"), value.alias("value"), F.coalesce("n", F.lit(0)).alias("n"), *gates)
+    return parts.select(level.alias("level"), value.alias("value"), "n", *gates).where((F.col("level") == "total") | (F.col("n") > 0))
 
 
 def conditional_entry(verified: DataFrame, recommendations: DataFrame) -> DataFrame:

@@ -29,6 +29,36 @@ def missing_texts(items: DataFrame, cache: DataFrame) -> DataFrame:
     return distinct.join(cache.select("role", "text_hash"), ["role", "text_hash"], "left_anti").select("role", "text_hash", "text")
 
 
+def write_cache(rows: DataFrame, folder: str, digits: int = 2) -> None:
+    """Add embeddings (role, text_hash, vec) to a stored cache: a folder for each prefix of the hash, so many hex digits long.
+
+    Within a file rows are in order of the hash, so that a reader's row groups know their range.  A row is added once:
+    give what missing_from_cache found missing.
+    """
+    rows = rows.withColumn("prefix", F.substring("text_hash", 1, digits))
+    rows.repartition("prefix").sortWithinPartitions("prefix", "text_hash", "role").write.mode("append").partitionBy("prefix").parquet(folder)
+
+
+def touched_cache(keys: DataFrame, folder: str, digits: int = 2, few: int = 100_000) -> DataFrame:
+    """(role, text_hash) of a stored cache that may meet the keys (role, text_hash): the prefixes that they touch, nothing else is read.
+
+    At most 16 ** digits prefixes are looked up.  Up to `few` keys, which are counted, are sent along, and only rows of the cache
+    that they name leave the scan.
+    """
+    prefixes = sorted(r.p for r in keys.select(F.substring("text_hash", 1, digits).alias("p")).distinct().collect())
+    cache = keys.sparkSession.read.schema("role string, text_hash string, vec array<double>, prefix string").parquet(folder).where(F.col("prefix").isin(prefixes))
+    cache = cache.select("role", "text_hash")
+    if keys.limit(few + 1).count() <= few:
+        cache = cache.join(F.broadcast(keys.select("role", "text_hash")), ["role", "text_hash"], "left_semi")
+    return cache
+
+
+def missing_from_cache(items: DataFrame, folder: str, digits: int = 2) -> DataFrame:
+    """missing_texts() against a stored cache, of which only what the texts may meet is read."""
+    distinct = stored(text_keys(items).dropDuplicates(["role", "text_hash"]).select("role", "text_hash", "text"))
+    return distinct.join(touched_cache(distinct.select("role", "text_hash"), folder, digits), ["role", "text_hash"], "left_anti")
+
+
 def encode_texts(texts: DataFrame, encoder: Callable[[], Callable[[list[str], str], list]], batch: int = 64) -> DataFrame:
     """(role, text_hash, vec): the encoder factory runs once in a worker; batches hold texts of one role."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog import extraction as E
+from plumbline.operators import pools as N
 from plumbline.operators import tasks as T
 from plumbline.operators.classes import pool_counts
 from plumbline.sources import files as S
@@ -105,3 +106,38 @@ def _(spark, d):
     sites = hidden.join(S.call_sites(hidden.select("context")), "context_hash").select("namespace", "path", "caller", "shapes")
     asked = t.join(sites, ["namespace", "path", "caller"], "left").select("task_id", "namespace", "path", "caller", "shapes")
     return t.select("task_id", "namespace", "path").join(pool_counts(asked, S.symbols(x)), "task_id").drop("task_id")
+
+
+@register("join3_hard_candidates", f"""WITH pool AS (SELECT namespace, path, 'g' || k AS caller, {sha('namespace', 'path', "'g' || k", "'f' || k")} AS task_id, fn || k || '::' || o AS sym, fn = 'f' AS is_target FROM {E.GOOD} g, (SELECT unnest(['f', 'h']) AS fn, unnest([0, 2]) AS o) x),
+{chosen(2, '')}
+SELECT namespace, path, caller, cand_idx, sym, max(CASE WHEN is_target THEN cand_idx END) OVER (PARTITION BY task_id) AS answer_index FROM shown""")
+def _(spark, d):
+    e, s, _x = E.edges(spark, d)
+    return T.hard_decisions(s, e, 2).select("namespace", "path", "caller", "cand_idx", "sym", "answer_index")
+
+
+@register("join4_method_candidates", f"""WITH pool AS (SELECT namespace, path, 'C' || k AS class_name, {sha('namespace', 'path', "'C' || k", "'one'")} AS task_id, fn || '::' || o AS sym, fn = 'two' AS is_target FROM {E.GOOD} g, (SELECT unnest(['two', 'three']) AS fn, unnest([1, 2]) AS o) x),
+{chosen(2, '')}
+SELECT namespace, path, class_name, 'one' AS caller, cand_idx, sym, max(CASE WHEN is_target THEN cand_idx END) OVER (PARTITION BY task_id) AS answer_index FROM shown""")
+def _(spark, d):
+    x = E.facts(spark, d)
+    return T.method_decisions(S.methods(x), S.method_calls(x), 2).select("namespace", "path", "class_name", "caller", "cand_idx", "sym", "answer_index")
+
+
+@register("join2_masked_candidates", f"""WITH {MEMBERS}, {ring('near', 'namespace, cpath')}, {ring('far', 'namespace')}, {tasks("'g' || k", "'f' || k")},
+pool AS (SELECT t.*, cpath, sym, name, true AS local, {STEP} AS step, false AS is_target FROM t JOIN near ON near.namespace = t.namespace AND cpath = path WHERE {STEP} < 16 AND name <> 'f' || k
+  UNION ALL SELECT t.*, cpath, sym, name, false, {STEP}, false FROM t JOIN far ON far.namespace = t.namespace AND cpath <> path WHERE {STEP} < 19
+  UNION ALL SELECT t.*, path, path || '::f' || k || '::0', 'f' || k, true, 0, true FROM t),
+{chosen(16, 'local DESC, step,')}
+SELECT namespace, path, caller, cand_idx, cpath || '::' || name || CASE name[1] WHEN 'h' THEN '(x, y)' WHEN 'u' THEN '(x, /, *, k)' ELSE '(a, b)' END || chr(10) || 'def ' || name ||
+  CASE name[1] WHEN 'f' THEN '(a, b=1):' || chr(10) || '    return a' WHEN 'g' THEN '(a, b=2):' || chr(10) || '    return f' || name[2:] || '(a, b=3)' WHEN 'h' THEN '(x, y=4):' || chr(10) || '    if x:' || chr(10) || '        return [y for y in x]' || chr(10) || '    return y'
+  ELSE '(x, /, *, k):' || chr(10) || '    return other(x, b=k)' END AS candidate FROM shown""")
+def _(spark, d):
+    e, s, _x = E.edges(spark, d)
+    return T.masked_call_decisions(s, e, S.masked_callers(e, E.files(spark, d))).select("namespace", "path", "caller", "cand_idx", "candidate")
+
+
+@register("cen1_reposed_candidates", f"""WITH pool AS (SELECT task_id, h AS sym, target AS is_target FROM {E.PER} p WHERE binds AND task_id IN (SELECT task_id FROM {E.CENSUS} c WHERE target_binds AND uniq AND bindable >= 5)), {chosen(5, '')}
+SELECT task_id, cand_idx, sym, is_target FROM shown""")
+def _(spark, d):
+    return N.repose(E.members(spark, d), 5).select("task_id", "cand_idx", "sym", "is_target")

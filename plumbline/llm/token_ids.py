@@ -14,8 +14,8 @@ writes under a name of its own, and only the rows of the attempt that succeeded
 or a second attempt leaves at most a file that nobody reads.  A file closes at `file_ids` ids; a document is never
 divided, so a longer one has a file to itself, which takes less memory than its text.
 
-Tokenizing is the tokenizers library's; words between single blanks are looked up among those seen lately, the new
-ones of a text go to the library in one call.  Files are written and read through Arrow's file systems (local paths,
+Tokenizing is the tokenizers library's; words between single blanks are looked up among those seen lately, and only new
+ones go to the library.  Files are written and read through Arrow's file systems (local paths,
 hdfs://, s3:// and so on); the folder lies beside the checkpoints unless one is named.
 
 Cases: a null or blank text is what the library makes of it (null: the end id alone); null ids come first; rows that
@@ -91,9 +91,6 @@ class Tokens:
         self.tokenizer, self.most, self.kind = Tokenizer.from_file(p.path), p.cached, id_type(p)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.opening = np.zeros(vocabulary_size(p), bool)  # ids that begin with a blank
-        for t, i in spec["model"]["vocab"].items():
-            self.opening[i] = t.startswith("Ġ")
         self.special = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.model, self.code = self.tokenizer.model, "HI"[self.kind == "<u4"]
@@ -112,34 +109,27 @@ class Tokens:
         piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
         return array(self.code, [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """The ids of words behind a blank, or behind a line feed that is still before them.
+    def learn(self, w: str) -> bytes:
+        """The ids of a word behind a blank, or behind a line feed that is still before it.
 
-        Latin letters are looked up apart from a sign behind them, which is a piece of its own.  The rest goes to the
-        library in one call: the first id of each word, and no other, begins with a blank.
+        Latin letters are looked up apart from a sign behind them, which is a piece of its own.
         """
-        spaced, rest = self.spaced, []
-        for w in words:
-            if w.isascii() and w.isalpha() or latin(w):
-                spaced[w] = self.letters(w)
-            elif w[:1] == "\n":
-                spaced[w] = self.line + self.known(w[1:])
-            elif w[-1:] in SIGNS and ((core := w[:-1]).isascii() and core.isalpha() or latin(core)):
-                found = spaced.get(core)
-                if found is None:
-                    found = spaced[core] = self.letters(core)
-                spaced[w] = found + self.known(w[-1])
-            else:
-                rest.append(w)
-        if rest:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(self.opening[ids]).tolist()
-            if len(at) == len(rest):
-                data, size = ids.tobytes(), ids.itemsize
-                at = [size * k for k in at]
-                spaced.update(zip(rest, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
-            else:
-                spaced.update((w, self.alone(" " + w)) for w in rest)
+        if w.isascii() and w.isalpha() or latin(w):
+            found = self.letters(w)
+        elif w[:1] == "\n":
+            found = self.line + self.known(w[1:])
+        elif w[-1:] in SIGNS and ((core := w[:-1]).isascii() and core.isalpha() or latin(core)):
+            known = self.spaced.get(core)
+            if known is None:
+                known = self.letters(core)
+                if len(core) <= 64:
+                    self.spaced[core] = known
+            found = known + self.known(w[-1])
+        else:
+            found = self.alone(" " + w)
+        if len(w) <= 64:
+            self.spaced[w] = found
+        return found
 
     def known(self, piece: str) -> bytes:
         found = self.first.get(piece)
@@ -159,14 +149,10 @@ class Tokens:
         words = part.replace("\n", " \n").split(" ")
         found = list(map(get, words))
         found[0] = self.known(words[0])
-        if None in found:
-            new = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            self.learn(new)
-            found = [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            for w in new:
-                if len(w) > 64:
-                    self.spaced.pop(w, None)
-                    self.spaced.pop(w[:-1], None)
+        at = 0
+        for _ in range(found.count(None)):
+            at = found.index(None, at)
+            found[at] = get(words[at]) or self.learn(words[at])
         return b"".join(found)
 
     def blocks(self, text: str) -> Iterator[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog import extraction, splitting
@@ -20,6 +22,7 @@ from plumbline.operators import splits as L
 from plumbline.operators import tasks as T
 from plumbline.plans import arguments as G
 from plumbline.sources import files as S
+from plumbline.sources.stored import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -237,3 +240,20 @@ def _(spark, d):
 def _(spark, d):
     text = F.concat(F.lit("@wrapped\ndef "), "lang", F.lit("_"), "source", F.lit("(a, *, b=1):\n    "), F.coalesce("text", F.lit("")))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.caller_name(text).alias("caller"))
+
+
+# A split that loses some rows and repeats others.
+@register("set5_rows_unlike", f"SELECT task_id, source, 1 AS n, CASE WHEN task_id % 10 = 3 THEN 0 ELSE 2 END AS split_n FROM {splitting.EX} e WHERE task_id % 10 IN (3, 4)")
+def _(spark, d):
+    x = splitting.ex(spark, d)
+    split = L.hash_split(x, 5)
+    return L.unlike(x, split.where("task_id % 10 <> 3").unionByName(split.where("task_id % 10 = 4")), "task_id", "source")
+
+
+@register("snk1_written_decisions", f"SELECT task_id, namespace, source, split FROM {splitting.SPLIT} s")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
+    split = L.hash_split(splitting.ex(spark, d), 5).select("task_id", "namespace", "source", "split")
+    S.write_decisions(split, folder)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in split.schema)
+    return S.read_decisions(spark, folder, kinds).select(*split.columns)

@@ -223,6 +223,22 @@ def shared_sources(split: DataFrame) -> DataFrame:
     return split.groupBy("source").agg(F.countDistinct("split").alias("splits")).where("splits > 1").select("source")
 
 
+def unlike(examples: DataFrame, split: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n, split_n): rows of the examples that the split does not hold as often, or holds without cause; must be empty.
+
+    Empty here and in shared_sources(), the splits are disjoint and jointly complete.
+    """
+    count = lambda df, name: df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+    a, b = count(examples, "n").alias("a"), count(split, "split_n").alias("b")
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    # the side that has the row has its values: nulls of the other side say nothing
+    value = lambda c: F.when(F.col("n").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    return a.join(b, same, "full_outer").where("NOT n <=> split_n").select(*[value(c) for c in columns], z("n"), z("split_n"))
+
+
 def drift(counts: DataFrame, frozen: DataFrame) -> DataFrame:
     """Rows of two count tables that differ, with the side they come from."""
     return counts.exceptAll(frozen).withColumn("side", F.lit("now")).unionByName(frozen.exceptAll(counts).withColumn("side", F.lit("frozen")))

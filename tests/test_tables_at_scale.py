@@ -12,6 +12,7 @@ from plumbline.functions import texts as X
 from plumbline.operators import attempts as A
 from plumbline.operators import paired as P
 from plumbline.operators import ranking as R
+from plumbline.operators import splits as L
 from plumbline.operators import tasks as T
 from plumbline.plans import arguments as G
 from plumbline.sources import files as S
@@ -182,3 +183,11 @@ def test_duplicated_answer_names(spark):
     rows = [("s", ["f", "g", "f"], 0), ("s", ["f", "g", "f"], 1), ("t", ["f"], 0), ("t", [None, None], 0)]
     got = {r.k: (r.n, r.duplicated) for r in T.duplicated_answers(spark.createDataFrame(rows, "k string, symbols array<string>, answer_index int"), "k").collect()}
     assert got == {"s": (2, 1), "t": (2, 0)}
+
+
+def test_splits_are_jointly_complete(spark):
+    rows = [(1, "a"), (2, "a"), (2, "a"), (3, None), (None, "b"), (4, "c")]
+    x = spark.createDataFrame(rows, "id int, source string")
+    assert L.unlike(x, x.repartition(3), "id", "source").collect() == []
+    split = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, None), (4, "c"), (9, None)], "id int, source string")
+    assert {tuple(r) for r in L.unlike(x, split, "id", "source").collect()} == {(2, "a", 2, 1), (3, None, 1, 2), (None, "b", 1, 0), (9, None, 0, 1)}

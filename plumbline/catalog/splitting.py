@@ -154,6 +154,11 @@ def class_pairs(spark, d):
     return part_classes(spark, d).select("p").distinct().join(F.broadcast(call_shapes(spark, d)), F.lit(True))
 
 
+def pairs(spark, d):
+    """Every part against every call shape, a row each; the queries work on class_pairs()."""
+    return part_classes(spark, d).select("p_partkey", "p").join(F.broadcast(call_shapes(spark, d)), F.lit(True))
+
+
 def with_class(rows, judged):
     """Rows (p, more) with what was decided for their class."""
     return rows.alias("r").join(judged.alias("j"), F.col("r.p").eqNullSafe(F.col("j.p"))).drop(F.col("j.p"))

@@ -66,7 +66,7 @@ def _(spark, d):
 
 @register("arg2_applicable", f"SELECT task_id, {SPACE} AS applicable FROM {SIZES} s")
 def _(spark, d):
-    x = G.plan_space(tasks(spark, d)).join(tasks(spark, d).select("task_id", "call"), "task_id")
+    x = G.plan_space(tasks(spark, d), "call")
     return x.groupBy("task_id").agg(F.count_if(G.apply_op(F.col("call"), F.col("op")).isNotNull()).alias("applicable"))
 
 

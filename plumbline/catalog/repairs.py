@@ -98,7 +98,7 @@ KINDS = "list_filter(['bogus_keyword', 'keywordize', 'rename_keyword', 'swap'],
 
 def perturbable(spark, d):
     right = candidates(spark, d).where("cand_idx = 1").select("task_id", F.col("params").alias("target"))
-    return tasks(spark, d).join(right, "task_id").withColumns({"seen": F.col("task_id").cast("string"), "answer_index": F.lit(1)})
+    return G.spread(tasks(spark, d)).hint("merge").join(right, "task_id").withColumns({"seen": F.col("task_id").cast("string"), "answer_index": F.lit(1)})
 
 
 @register("arg3_perturbations", f"SELECT task_id, unnest({KINDS}) AS kind, true AS restores, true AS differs FROM {SIZES} s")

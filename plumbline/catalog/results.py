@@ -223,7 +223,7 @@ def _(spark, d):
 # What each operation leaves of its call: positional arguments and keyword names.
 @register("arg2_edited_calls", f"SELECT task_id, p AS positional, array_to_string(list_sort(nm), ',') AS keywords, 3 * count(*) AS plans FROM {EDITED} e GROUP BY ALL")
 def _(spark, d):
-    x = G.plan_space(tasks(spark, d)).join(tasks(spark, d).select("task_id", "call"), "task_id").withColumn("made", G.apply_op(F.col("call"), F.col("op")))
+    x = G.plan_space(tasks(spark, d), "call").withColumn("made", G.apply_op(F.col("call"), F.col("op")))
     names = F.array_join(F.array_sort(F.transform("made.keywords", lambda k: k["name"])), ",")
     return x.where("made IS NOT NULL").groupBy("task_id", F.size("made.args").alias("positional"), names.alias("keywords")).agg(F.count(F.lit(1)).alias("plans"))
 

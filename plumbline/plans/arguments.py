@@ -103,28 +103,55 @@ def operations(call: Column, vocabulary: Column) -> Column:
     return let(F.struct(names.alias("names"), unused.alias("unused")), all_of)
 
 
-def plan_space(tasks: DataFrame) -> DataFrame:
-    """(task_id, plan_idx, cand_idx, op): candidates times operations, ids and names only."""
-    ops = tasks.select("task_id", "n_candidates", operations(F.col("call"), F.col("vocabulary")).alias("ops"))
+def spread(tasks: DataFrame, key: str = "task_id") -> DataFrame:
+    """tasks dealt by their key to as many parts as the session shuffles to.
+
+    Tasks are short and their plans are many: a file of a few megabytes is read by one task, which must not work out all
+    plans.  What is grouped or joined by the key later on needs no shuffle of the plans.
+    """
+    return tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def plan_space(tasks: DataFrame, *more: str) -> DataFrame:
+    """(task_id, plan_idx, cand_idx, op): candidates times operations, ids and names only, and columns of tasks that are named."""
+    ops = spread(tasks).select("task_id", *more, "n_candidates", operations(F.col("call"), F.col("vocabulary")).alias("ops"))
     cand = ops.withColumn("cand_idx", F.explode(F.sequence(F.lit(0), F.col("n_candidates") - 1)))
-    return cand.select("task_id", "cand_idx", F.size("ops").alias("n"), F.posexplode("ops").alias("k", "op")).select("task_id", (F.col("cand_idx") * F.col("n") + F.col("k")).alias("plan_idx"), "cand_idx", "op")
+    plans = cand.select("task_id", *more, "cand_idx", F.size("ops").alias("n"), F.posexplode("ops").alias("k", "op"))
+    return plans.select("task_id", (F.col("cand_idx") * F.col("n") + F.col("k")).alias("plan_idx"), "cand_idx", "op", *more)
+
+
+def _bound(tasks: DataFrame, candidates: DataFrame, *more: str) -> DataFrame:
+    """(task_id, cand_idx, n, bound, more): how many operations there are, and array<struct<k, op>> of those that bind the candidate.
+
+    What an operation makes of a call is looked at once for all candidates.  Tasks and candidates meet by a shuffle: their
+    size is not told by that of the file, so neither may be sent whole.
+    """
+    made = lambda op: let(apply_op(F.col("call"), op), lambda c: call_shape(c, F.col("receiver")))
+    ops = spread(tasks).withColumn("_ops", operations(F.col("call"), F.col("vocabulary")))
+    ops = ops.withColumn("_made", F.transform("_ops", lambda op, k: F.struct(k.alias("k"), op.alias("op"), made(op).alias("shape"))))
+    met = ops.select("task_id", "n_candidates", "_made", *more).hint("merge").join(candidates.select("task_id", "cand_idx", "params"), "task_id").where("cand_idx >= 0 AND cand_idx < n_candidates")
+    fits = F.filter("_made", lambda m: B.allowed(F.col("params"), F.array(m["shape"])))
+    return met.select("task_id", "cand_idx", F.size("_made").alias("n"), F.transform(fits, lambda m: F.struct(m["k"].alias("k"), m["op"].alias("op"))).alias("bound"), *more)
 
 
 def binding_plans(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Plans of the space that bind their candidate (task_id, cand_idx, params)."""
-    plans = plan_space(tasks).join(tasks.select("task_id", "call", "receiver"), "task_id").join(candidates, ["task_id", "cand_idx"])
-    shape = call_shape(apply_op(F.col("call"), F.col("op")), F.col("receiver"))
-    return plans.where(B.allowed(F.col("params"), F.array(shape))).select("task_id", "plan_idx", "cand_idx", "op")
+    plans = _bound(tasks, candidates).select("task_id", "cand_idx", "n", F.inline("bound"))
+    return plans.select("task_id", (F.col("cand_idx") * F.col("n") + F.col("k")).alias("plan_idx"), "cand_idx", "op")
+
+
+def _binding_counts(tasks: DataFrame, candidates: DataFrame, *more: str) -> DataFrame:
+    """(task_id, cand_idx, n, r, more): how many plans bind each candidate, and whether the restoring one is among them; none without any."""
+    hit = F.exists("bound", lambda m: (F.col("cand_idx") == F.col("restoring.cand")) & (m["op"] == F.col("restoring.op")))
+    per = _bound(tasks, candidates, "restoring", *more).where(F.size("bound") > 0)
+    return per.groupBy("task_id", "cand_idx", *more).agg(F.sum(F.size("bound")).alias("n"), F.bool_or(hit).alias("r"))
 
 
 def predicate_census(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     """What bindability leaves of each task's plans; restoring: tasks' struct<cand, op>."""
-    per = binding_plans(tasks, candidates).join(tasks.select("task_id", "restoring"), "task_id").groupBy("task_id", "cand_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or((F.col("cand_idx") == F.col("restoring.cand")) & (F.col("op") == F.col("restoring.op"))).alias("r")
-    )
-    g = per.groupBy("task_id").agg(F.sum("n").alias("binding_plans"), F.count(F.lit(1)).alias("surviving"), F.max("n").alias("most"), F.bool_or("r").alias("r"))
+    g = _binding_counts(tasks, candidates).groupBy("task_id").agg(F.sum("n").alias("binding_plans"), F.count(F.lit(1)).alias("surviving"), F.max("n").alias("most"), F.bool_or("r").alias("r"))
     size = F.col("n_candidates") * F.size(operations(F.col("call"), F.col("vocabulary")))
-    x = tasks.select("task_id", "n_candidates", size.cast("long").alias("plan_space_size")).join(g, "task_id", "left")
+    x = spread(tasks.select("task_id", "n_candidates", "call", "vocabulary")).select("task_id", "n_candidates", size.cast("long").alias("plan_space_size")).hint("merge").join(g, "task_id", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
     return x.select(
         "task_id", "plan_space_size", z("binding_plans").alias("binding_plans"), z("surviving").alias("surviving_candidates"), F.coalesce("r", F.lit(False)).alias("restoring_plan_binds"),
@@ -144,12 +171,12 @@ def recommended_baselines(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     tasks: as plan_space has them, with restoring and recommendation (an index, or null: then the chance is null).  The
     first plan is the first candidate with nothing changed.
     """
-    plans = binding_plans(tasks, candidates).join(tasks.select("task_id", "recommendation", "restoring"), "task_id").where("cand_idx = recommendation")
-    hit = (F.col("cand_idx") == F.col("restoring.cand")) & (F.col("op") == F.col("restoring.op"))
-    g = plans.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(hit).alias("hit"))
+    x = spread(tasks)
+    wanted = candidates.select("task_id", "cand_idx", "params").join(x.select("task_id", "recommendation").hint("merge"), "task_id").where("cand_idx = recommendation").drop("recommendation")
+    g = _binding_counts(tasks, wanted).select("task_id", "n", F.col("r").alias("hit"))
     first = (F.col("restoring.cand") == 0) & (F.col("restoring.op") == F.array(F.lit("keep")))
     chance = F.when(F.col("recommendation").isNotNull(), F.when(F.col("hit"), 1 / F.col("n")).otherwise(F.lit(0.0)))
-    return tasks.select("task_id", "recommendation", "restoring").join(g, "task_id", "left").select("task_id", chance.alias("recommended_feasible_uniform"), first.cast("double").alias("position_prior"))
+    return x.select("task_id", "recommendation", "restoring").hint("merge").join(g, "task_id", "left").select("task_id", chance.alias("recommended_feasible_uniform"), first.cast("double").alias("position_prior"))
 
 
 #: Gates of a plan, in the order in which a reader's answer meets them.

@@ -40,3 +40,22 @@ def test_binding_plans_are_those_that_bind_one_by_one(spark):
     want = G.plan_space(tasks, "call", "receiver").join(cands, ["task_id", "cand_idx"]).where(B.allowed(F.col("params"), F.array(shape))).select("task_id", "plan_idx", "cand_idx", "op")
     got = G.binding_plans(tasks, cands)
     assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pair_scores_are_the_cosines_to_the_last_bit_and_carry_no_vectors(spark):
+    """Odd vectors and places as the view numbers them; the pairs hold ids and numbers alone."""
+    from plumbline.catalog.bridges import RETRIEVAL, view
+    from plumbline.catalog.ranking import order, retrieval
+    from plumbline.functions.expressions import cosine
+    from plumbline.operators.topk import pair_scores
+
+    rows = [(i, [float((i * k) % 7 - 3) / 3 for k in range(1, 6)], i % 2) for i in range(400)]
+    rows[3], rows[4], rows[5] = (3, None, 1), (4, [0.0] * 5, 0), (5, [1.0, None, 1.0, 1.0, 1.0], 1)
+    rows[6], rows[7], rows[100] = (6, [1.0, 2.0], 0), (7, [float("nan")] * 5, 1), (100, rows[100][1], None)
+    folder = __import__("tempfile").mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    want = view(spark, folder, RETRIEVAL).select("task_id", "cand_id", F.col("ord").cast("long"), cosine(F.col("qv"), F.col("cv")))
+    small = pair_scores(*retrieval(spark, folder), ["namespace"], 2, 64)
+    assert set(small.columns) == {"namespace", "task_id", "cand_id", "place", "score"}
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert want.count() and plain(small.select("task_id", "cand_id", order(), "score")) == plain(want)

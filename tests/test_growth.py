@@ -18,7 +18,7 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["arg2_applicable", "arg2_edited_calls", "arg6_plan_space", "arg7_binding_plans", "arg8_predicate_census", "arg10_chance_baselines", "arg10_recommended_baselines", "cen9_operation_census", "arg3_perturbations"])
+@pytest.mark.parametrize("name", ["arg2_applicable", "arg2_edited_calls", "arg6_plan_space", "arg7_binding_plans", "arg8_predicate_census", "arg10_chance_baselines", "arg10_recommended_baselines", "cen9_operation_census", "arg3_perturbations", "ver4_verify_repairs", "ver5_verify_calls", "txt12_prompts"])
 def test_plans_of_one_file_are_worked_out_by_many_tasks_and_sent_to_none(spark, name):
     """The tables' files are small, their plans are not: the tasks are dealt before plans are made, and no side is broadcast."""
     plan = plan_of(entry.queries()[name](spark, DATA))

@@ -151,26 +151,55 @@ def tests_report(summary: DataFrame, *keys: str) -> DataFrame:
     return summary.selectExpr(*keys, f"stack({len(names)}, " + ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in names) + ") as (metric, value)")
 
 
+def printed(x: Column, digits: int) -> Column:
+    """x as C's printf writes it with so many digits: nearest to its exact binary value, exact halves to the even digit.
+
+    Spark's format_string and bround go by the shortest decimal that reads as the number: 2.015 lies below its half, and
+    is a half to them.  The fraction is taken as a whole number of 2^-63, in decimals, which hold it exactly.
+    """
+    unit, size = 10**digits, F.abs(x)
+    big = lambda c: c.cast("decimal(20,0)")
+
+    def split(v: Column) -> Column:
+        high = F.floor(v["f"] * 2.0**31)
+        low = F.floor((v["f"] * 2.0**31 - high) * 2.0**32)
+        return F.struct(v["w"].alias("w"), ((big(high) * F.lit(2**32).cast("decimal(10,0)") + big(low)) * F.lit(unit).cast("decimal(5,0)")).cast("decimal(30,0)").alias("s"))
+
+    def rounded(v: Column) -> Column:
+        one = F.lit(str(2**63)).cast("decimal(19,0)")
+        cut = F.call_function("div", v["s"], one)
+        twice = ((v["s"] - big(cut) * one) * F.lit(2).cast("decimal(1,0)")).cast("decimal(30,0)")
+        even = v["w"] * unit + cut
+        return even + F.when((twice > one) | ((twice == one) & (even % 2 == 1)), 1).otherwise(0)
+
+    text = lambda t: F.format_string(f"%s%d.%0{digits}d", F.when(x < 0, "-").otherwise(""), F.floor(t / unit), t % unit)
+    made = let(F.struct(F.floor(size).alias("w"), (size - F.floor(size)).alias("f")), lambda v: let(split(v), lambda v: let(rounded(v), text)))
+    return F.when(x.isNotNull(), made)
+
+
 def standard_report(summary: DataFrame, *keys: str) -> DataFrame:
     """Long rows (keys, part, metric, baseline, assisted) of a tested paired summary: the standard report, as text.
 
-    Rates say how many of how many, mean attempts and deltas have two digits, p-values three; halves go to the even digit.  Where both arms never
+    Rates say how many of how many, mean attempts and deltas have two digits, p-values three, as `printed` rounds them.  Where both arms never
     solved a task, the turn delta is `not defined`.
     """
-    rate = lambda n: f"format_string('%d/%d (%.1f%%)', {n}, tasks, bround(100D * {n} / tasks, 1))"
+    of = lambda n: 100 * F.col(n).cast("double") / F.col("tasks")
+    numbers = {f"_{n}": printed(of(n), 1) for n in ("baseline_first_pass", "assisted_first_pass", "baseline_successes", "assisted_successes")}
+    numbers |= {f"_{n}": printed(F.col(n), 2) for n in ("b_mean_attempts", "a_mean_attempts", "mean_turn_delta")} | {f"_{n}": printed(F.col(n), 3) for n in ("mcnemar_p", "sign_p")}
+    rate = lambda n: f"format_string('%d/%d (%s%%)', {n}, tasks, _{n})"
     both = lambda text: (text, "CAST(NULL AS STRING)")
     rows = [
         ("arms", "first-pass success", rate("baseline_first_pass"), rate("assisted_first_pass")), ("arms", "success within budget", rate("baseline_successes"), rate("assisted_successes")),
         ("arms", "terminal failures", "format_string('%d/%d', tasks - baseline_successes, tasks)", "format_string('%d/%d', tasks - assisted_successes, tasks)"),
-        ("arms", "mean attempts", "format_string('%.2f', bround(b_mean_attempts, 2))", "format_string('%.2f', bround(a_mean_attempts, 2))"),
+        ("arms", "mean attempts", "_b_mean_attempts", "_a_mean_attempts"),
         *[("pairs", n, *both(f"CAST({c} AS STRING)")) for n, c in (("both succeed", "`both`"), ("assisted only", "assisted_only"), ("baseline only", "baseline_only"), ("neither succeeds", "neither"))],
-        ("turns", "mean correction turns saved", *both("if(mean_turn_delta IS NULL, 'not defined', format_string('%.2f', bround(mean_turn_delta, 2)))")),
+        ("turns", "mean correction turns saved", *both("if(mean_turn_delta IS NULL, 'not defined', _mean_turn_delta)")),
         ("turns", "fewer, same, more", *both("format_string('%d, %d, %d of %d', fewer_turns, `both` - fewer_turns - more_turns, more_turns, `both`)")),
-        ("tests", "McNemar", *both("format_string('%d discordant: %d to %d, p = %.3f', assisted_only + baseline_only, assisted_only, baseline_only, mcnemar_p)")),
-        ("tests", "sign test", *both("format_string('%d unequal: %d to %d, %d ties, p = %.3f', fewer_turns + more_turns, fewer_turns, more_turns, `both` - fewer_turns - more_turns, sign_p)")),
+        ("tests", "McNemar", *both("format_string('%d discordant: %d to %d, p = %s', assisted_only + baseline_only, assisted_only, baseline_only, _mcnemar_p)")),
+        ("tests", "sign test", *both("format_string('%d unequal: %d to %d, %d ties, p = %s', fewer_turns + more_turns, fewer_turns, more_turns, `both` - fewer_turns - more_turns, _sign_p)")),
     ]
     listed = ", ".join(f"'{part}', '{metric}', {b}, {a}" for part, metric, b, a in rows)
-    return summary.selectExpr(*keys, f"stack({len(rows)}, {listed}) as (part, metric, baseline, assisted)")
+    return summary.withColumns(numbers).selectExpr(*keys, f"stack({len(rows)}, {listed}) as (part, metric, baseline, assisted)")
 
 
 def failure_report(summary: DataFrame, *keys: str) -> DataFrame:

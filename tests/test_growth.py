@@ -59,3 +59,13 @@ def test_pair_scores_are_the_cosines_to_the_last_bit_and_carry_no_vectors(spark)
     assert set(small.columns) == {"namespace", "task_id", "cand_id", "place", "score"}
     plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
     assert want.count() and plain(small.select("task_id", "cand_id", order(), "score")) == plain(want)
+
+
+@pytest.mark.parametrize("digits", [1, 2, 3])
+def test_printed_rounds_the_binary_value(spark, digits):
+    from plumbline.functions.texts import printed
+
+    values = [k / 10 ** (digits + 1) for k in range(-1205, 1206)] + [(2 * k + 1) / 16 for k in range(40)] + [2.015, 1.005, 0.0005, 0.00049999, 99.95, 1e-9, 123456.785, 1 / 3, 0.9999, 0.0]
+    values = [v for v in values if v or str(v) == "0.0"]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double").select("x", printed(F.col("x"), digits).alias("t")).collect()
+    assert [(x.x, x.t) for x in rows if x.t != (None if x.x is None else f"{x.x:.{digits}f}")] == []

@@ -148,12 +148,12 @@ def ends(values: str) -> str:
 
 @register("agg4_bootstrap_accuracy", f"""SELECT (SELECT round({ACC}, 6) FROM {EX} e) AS estimate, t.* FROM {ends(f"(SELECT b, c / n AS v FROM {replicated(sources_of(chr(39) + 'all' + chr(39)), ['c', 'n'], 5000, 1)} q)")} t""")
 def _(spark, d):
-    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=1, law="draws").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=1, law="hashes").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
 
 
 @register("agg5_bootstrap_macro", f"""SELECT (SELECT round(avg(a), 6) FROM (SELECT {ACC} AS a FROM {EX} e GROUP BY namespace) m) AS estimate, t.* FROM {ends(f"(SELECT b, avg(c / n) AS v FROM {replicated(sources_of('namespace'), ['c', 'n'], 5000, 2)} q GROUP BY b)")} t""")
 def _(spark, d):
-    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=2, macro=True, law="draws").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+    return P.bootstrap_accuracy(view(spark, d, EXAMPLES), seed=2, macro=True, law="hashes").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
 
 
 PR = f"({sql(PAIRS)})"
@@ -208,7 +208,7 @@ for _name, _ratio in BOOT.items():
     @register(f"agg11_bootstrap_{_name}", f"""SELECT (SELECT round({_ratio}, 6) FROM (SELECT {TOTALS} FROM {PAIR_SOURCES} s) z) AS estimate, t.*
       FROM {ends(f"(SELECT b, {_ratio} AS v FROM (SELECT b, {TOTALS} FROM {replicated(PAIR_SOURCES, PAIR_SUMS, 5000, 3)} q GROUP BY b) w)")} t""")
     def _(spark, d, _name=_name):
-        return P.bootstrap_paired(view(spark, d, PAIRS), _name, seed=3, strata=F.col("namespace"), law="draws").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+        return P.bootstrap_paired(view(spark, d, PAIRS), _name, seed=3, strata=F.col("namespace"), law="hashes").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
 
 
 # Exact tails are looked at only where the normal score is from 1.5 to 4: below, none is significant; before 4, one is.
@@ -290,7 +290,7 @@ OVER = f"(SELECT 'all' AS stratum, source, sum(CAST(a_ok AS INT) - 1.0 / a_attem
 
 @register("agg18_excess_interval", f"""SELECT (SELECT round(sum(e) / sum(n), 6) FROM {OVER} o) AS estimate, t.* FROM {ends(f"(SELECT b, e / n AS v FROM {replicated(OVER, ['e', 'n'], 5000, 5)} q)")} t""")
 def _(spark, d):
-    return P.excess_interval(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), seed=5, law="draws").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
+    return P.excess_interval(view(spark, d, PAIRS), "a_ok", 1 / F.col("a_attempts"), seed=5, law="hashes").select(r("estimate", 6), r("lower", 6), r("upper", 6), "samples")
 
 
 @register("agg18_excess_interval_full")
@@ -321,7 +321,7 @@ def _(spark, d):
   FROM (SELECT namespace, {SUMMARY} FROM {PR} p GROUP BY namespace) s JOIN (SELECT stratum, quantile_cont((a - b0) / n, 0.025) AS lower FROM {replicated(PAIR_SOURCES, PAIR_SUMS, 5000, 4)} q GROUP BY stratum) i ON s.namespace = i.stratum) t""")
 def _(spark, d):
     pairs = view(spark, d, PAIRS)
-    ends = P.bootstrap_by(pairs, "namespace", seed=4, law="draws").select("namespace", "lower")
+    ends = P.bootstrap_by(pairs, "namespace", seed=4, law="hashes").select("namespace", "lower")
     s = P.exact_tests(P.summarize(pairs, "namespace")).join(ends, "namespace")
     return P.gate(s).select("namespace", "better", "significant", "above_zero", "passes")
 

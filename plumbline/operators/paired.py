@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import draw, let, two_sided_binomial
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.sources.stored import stored
 
 
 def summarize(pairs: DataFrame, *keys: str, means: bool = False) -> DataFrame:
@@ -121,18 +122,68 @@ def block_replicates(sources: DataFrame, sums: list[str], samples: int, seed: in
     return parts.groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
 
 
+CHUNK, SALTS = 65_536, 25  # sources in a block (and draws in a row) of hashed draws, and parts in which a block is worked on
+
+
+def hashed_replicates(sources: DataFrame, sums: list[str], samples: int, seed: int) -> DataFrame:
+    """The replicates of law "draws" for any number of sources.
+
+    A row holds one replicate's draws, at most CHUNK of them, that fall into one block of the stratum's sources in order;
+    it meets the block's sums in a task, and the blocks' parts are added up.  A draw costs a hash and four bytes
+    of the shuffle; a block of sources travels SALTS times.
+    """
+    long = {s: sources.schema[s].dataType.typeName() != "double" for s in sums}
+    stratum = sources.schema["stratum"].dataType.simpleString()
+    sources = stored(sources)
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("source")) - 1
+    block = lambda i: F.floor(i / CHUNK).cast("int")
+    values = sources.withColumn("i", place).withColumn("block", block(F.col("i"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    upto = lambda n: F.sequence(F.lit(0), block(n - 1))
+    rows = sources.groupBy("stratum").agg(F.count(F.lit(1)).alias("size")).withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long")))).withColumn("chunk", F.explode(upto(F.col("size"))))
+    spark = sources.sparkSession
+    rows = rows.repartition(4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "stratum", "b", "chunk")
+    start = F.col("chunk").cast("long") * CHUNK
+    hashed = lambda prefix: F.transform(F.sequence(start, F.least(start + CHUNK, F.col("size")) - 1), lambda j: draw(F.col("size"), prefix, j).cast("int"))
+    made = rows.withColumn("drawn", let(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("stratum")), hashed)).withColumn("block", F.explode(upto(F.col("size"))))
+    kept = F.when(F.col("size") <= CHUNK, F.col("drawn")).otherwise(F.filter("drawn", lambda i: block(i) == F.col("block")))
+    drawn = made.select("stratum", "block", (F.col("b") % SALTS).cast("int").alias("salt"), "b", kept.alias("at"))
+
+    def add(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        right = right.sort_by("i")
+        of = [right[s].to_numpy().astype(np.int64 if long[s] else np.float64) for s in sums]
+        first = right["i"][0].as_py() if len(right) else 0
+        out = [[] for _ in sums]
+        for at in left["at"]:
+            at = at.values.to_numpy() - first
+            for total, x in zip(out, of, strict=True):
+                total.append(x[at].sum())
+        kinds = [pa.int64() if long[s] else pa.float64() for s in sums]
+        return pa.Table.from_arrays([left["b"].combine_chunks(), left["stratum"].combine_chunks(), *[pa.array(t, k) for t, k in zip(out, kinds, strict=True)]], names=["b", "stratum", *sums])
+
+    keys = ["stratum", "block", "salt"]
+    values = values.select(*[F.col(c).alias(c) for c in (*keys, "i", *sums)])
+    parts = drawn.groupBy(*keys).cogroup(values.groupBy(*keys)).applyInArrow(add, f"b long, stratum {stratum}, " + ", ".join(f"{s} {'long' if long[s] else 'double'}" for s in sums))
+    return parts.groupBy("b", "stratum").agg(*[F.sum(s).alias(s) for s in sums])
+
+
 def replicates(sources: DataFrame, sums: list[str], samples: int, seed: int, law: str = "blocks") -> DataFrame:
     """Sums of `samples` resamples of the sources within each stratum: (b, stratum, sums).
 
     sources has one row for each (stratum, source), already summed, so that tasks don't count.  law: "blocks" counts
     draws block by block; "draws" draws each source by a hash of (seed, b, stratum, j) that any engine can repeat, which
-    is for few sources: a replicate is one row that looks its draws up in the strata's lists.
+    is for few sources: a replicate is one row that looks its draws up in the strata's lists; "hashes" makes the same
+    draws of any number of sources, as "draws" does where they are few.
     """
     if law == "blocks":
         return block_replicates(sources, sums, samples, seed)
-    if law != "draws":
+    if law not in ("draws", "hashes"):
         raise ValueError(f"unknown law {law!r}")
-    if not samples or sources.limit(FEW + 1).count() > FEW:
+    if law == "hashes" and samples and sources.limit(FEW + 1).count() > FEW:
+        return hashed_replicates(sources, sums, samples, seed)
+    if not samples or law == "draws" and sources.limit(FEW + 1).count() > FEW:
         raise ValueError(f"law 'draws' is for at most {FEW} sources")
     row = F.struct("source", *sums)
     lists = sources.groupBy("stratum").agg(F.array_sort(F.collect_list(row)).alias("all"))  # few, as has been counted

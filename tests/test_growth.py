@@ -69,3 +69,17 @@ def test_printed_rounds_the_binary_value(spark, digits):
     values = [v for v in values if v or str(v) == "0.0"]
     rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double").select("x", printed(F.col("x"), digits).alias("t")).collect()
     assert [(x.x, x.t) for x in rows if x.t != (None if x.x is None else f"{x.x:.{digits}f}")] == []
+
+
+def test_hashed_draws_of_many_sources_are_those_of_few(spark, monkeypatch):
+    """The same replicates by blocks as by lists, and no limit on the sources."""
+    from plumbline.operators import paired
+
+    sources = spark.range(700).select((F.col("id") % 2).cast("string").alias("stratum"), F.col("id").cast("string").alias("source"), F.col("id").alias("n"), (F.col("id") / 7).alias("e"))
+    sources = sources.where("stratum = '0' OR source < '4'")
+    want = {(x.b, x.stratum): (x.n, x.e) for x in paired.replicates(sources, ["n", "e"], 60, 3, "draws").collect()}
+    monkeypatch.setattr(paired, "FEW", 100)
+    for size in (64, 1000):
+        monkeypatch.setattr(paired, "CHUNK", size)
+        got = {(x.b, x.stratum): (x.n, x.e) for x in paired.replicates(sources, ["n", "e"], 60, 3, "hashes").collect()}
+        assert len(want) == 120 and set(got) == set(want) and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)

@@ -14,8 +14,9 @@ writes under a name of its own, and only the rows of the attempt that succeeded
 or a second attempt leaves at most a file that nobody reads.  A file closes at `file_ids` ids; a document is never
 divided, so a longer one has a file to itself, which takes less memory than its text.
 
-Tokenizing is the tokenizers library's; words between single blanks are looked up among those seen lately, and only new
-ones go to the library.  Files are written and read through Arrow's file systems (local paths,
+Tokenizing is the tokenizers library's.  A batch's texts are cut into words and Arrow finds the different ones; these are
+looked up among those seen lately, only new ones go to the library, and numpy puts their ids in the words' places.
+Files are written and read through Arrow's file systems (local paths,
 hdfs://, s3:// and so on); the folder lies beside the checkpoints unless one is named.
 
 Cases: a null or blank text is what the library makes of it (null: the end id alone); null ids come first; rows that
@@ -44,9 +45,11 @@ from plumbline.llm.common import cut, ensure_checkpoint_dir
 
 MAGIC = b"RANKIDS1"
 SLICE = 1_000_000  # characters of a text that are looked up at once
+GROUP = 8_000_000  # characters of texts that are looked up together
+LEARNT = 20_000  # new words that go to the library as one text
 SIGNS = frozenset(".,;:!?)-\"'")  # of those that are neither letters nor digits, the common ones
 #: Fixed value: white space of the library's patterns beside blank and line feed.
-RARE = "\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+RARE = ("\t", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,16 @@ def vocabulary_size(p: TokenParams) -> int:
     return 1 + max([p.end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
 
 
-def latin(word: str) -> bool:
-    """Letters of the Latin blocks only, whose kind no version of Unicode disputes."""
-    return word.isalpha() and max(word) < "\u0250"
+def of_bytes(codes) -> np.ndarray:
+    """Which of the 256 bytes are among codes."""
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+BETWEEN, SIGN = of_bytes(b" \n"), of_bytes(map(ord, SIGNS))
+#: Bytes other than blanks and letters of the Latin blocks, whose kind no version of Unicode disputes (U+00C0 to U+023F).
+OTHER = ~of_bytes(b" \n" + bytes(c for c in range(128) if chr(c).isalpha()) + bytes((*range(0x80, 0xC0), *range(0xC3, 0xC9))))
 
 
 class Tokens:
@@ -89,15 +99,20 @@ class Tokens:
             raise ValueError(f"{p.path} has added tokens that are not plain strings")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
         self.tokenizer, self.most, self.kind = Tokenizer.from_file(p.path), p.cached, id_type(p)
+        self.width = np.dtype(self.kind).itemsize
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.model, self.code = self.tokenizer.model, "HI"[self.kind == "<u4"]
         self.characters = {k: c for k, c in enumerate(byte_symbols())}
-        self.pieces, self.rare = regex.compile(SPLIT), re.compile(f"[{RARE}]")
-        self.first: dict[str, bytes] = {"": b""}  # words at the start of a line, and pieces
-        self.spaced: dict[str, bytes] = {}  # words behind a blank
+        self.pieces = regex.compile(SPLIT)
+        self.blank, line = (self.characters[ord(c)] for c in " \n")
+        self.begins = np.zeros(vocabulary_size(p), bool)  # ids of tokens that begin with a blank or a line feed
+        self.begins[[i for s, i in spec["model"]["vocab"].items() if s[0] in (self.blank, line)]] = True
+        self.joined = not any(c in s for s in self.special for c in " \n")  # words side by side make no special token
+        self.first: dict[str, bytes] = {"": b""}  # pieces
+        self.spaced: dict[str, bytes] = {}  # words with the blank or line feed before them
         self.line = self.alone("\n")
         self.end = np.array([p.end_id], self.kind).tobytes()
 
@@ -105,31 +120,23 @@ class Tokens:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
     def letters(self, word: str) -> bytes:
-        """The ids of Latin letters behind a blank: they are one piece, which goes to the library's model at once."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
-        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes()
+        """The ids of Latin letters behind a blank or a line feed: they are one piece, which goes to the library's model at once."""
+        piece = word[1:] if word.isascii() else word[1:].encode().decode("latin-1").translate(self.characters)
+        ids = array(self.code, [t.id for t in self.model.tokenize(self.blank + piece if word[0] == " " else piece)]).tobytes()
+        return ids if word[0] == " " else self.line + ids
 
-    def learn(self, w: str) -> bytes:
-        """The ids of a word behind a blank, or behind a line feed that is still before it.
+    def others(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of any words; the library takes many at once, as one text.
 
-        Latin letters are looked up apart from a sign behind them, which is a piece of its own.
+        A split always falls before a word's blank or line feed, which its first token begins with, and no other does.
         """
-        if w.isascii() and w.isalpha() or latin(w):
-            found = self.letters(w)
-        elif w[:1] == "\n":
-            found = self.line + self.known(w[1:])
-        elif w[-1:] in SIGNS and ((core := w[:-1]).isascii() and core.isalpha() or latin(core)):
-            known = self.spaced.get(core)
-            if known is None:
-                known = self.letters(core)
-                if len(core) <= 64:
-                    self.spaced[core] = known
-            found = known + self.known(w[-1])
-        else:
-            found = self.alone(" " + w)
-        if len(w) <= 64:
-            self.spaced[w] = found
-        return found
+        if not self.joined:
+            yield from map(self.alone, words)
+            return
+        for at in range(0, len(words), LEARNT):
+            ids = np.array(self.tokenizer.encode("".join(words[at : at + LEARNT]), add_special_tokens=False).ids, self.kind)
+            data, starts = ids.tobytes(), (np.flatnonzero(self.begins[ids]) * self.width).tolist()
+            yield from (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True))
 
     def known(self, piece: str) -> bytes:
         found = self.first.get(piece)
@@ -141,19 +148,65 @@ class Tokens:
                 self.first[piece] = found
         return found
 
-    def simple(self, part: str) -> bytes:
+    def ids_of(self, words: list[str], latin: list[bool]) -> list[bytes]:
+        """The ids of different words, each with the blank or line feed before it, or a sign; `latin`: it has but Latin letters."""
+        found, rest = list(map(self.spaced.get, words)), []
+        gaps = [k for k, x in enumerate(found) if x is None]
+        for k in gaps:
+            if latin[k]:
+                found[k] = self.letters(words[k])
+            elif words[k] in SIGNS:
+                found[k] = self.known(words[k])
+            else:
+                rest.append(k)
+        for k, x in zip(rest, self.others([words[k] for k in rest]), strict=True):
+            found[k] = x
+        if len(self.spaced) + len(gaps) > self.most:  # what is in use stays
+            self.spaced = {w: x for w, x in zip(words, found, strict=True) if len(w) <= 64}
+        else:
+            self.spaced.update((words[k], found[k]) for k in gaps if len(words[k]) <= 64)
+        return found
+
+    def together(self, parts: list[str]) -> list[bytes]:
+        """The ids of plain parts, whose different words are looked up once; a part that begins with a blank goes on from another.
+
+        Words go with the blank or line feed before them.  A sign behind Latin letters is a piece of its own.
+        """
+        import pyarrow as pa
+
+        text = "".join([x if x[0] == " " else "\n" + x for x in parts])
+        data = text.encode()
+        codes = np.frombuffer(data, np.uint8)
+        other = OTHER[codes]
+        if "\xd7" in text or "\xf7" in text:  # two signs among the letters
+            other[:-1] |= (codes[:-1] == 0xC3) & ((codes[1:] == 0x97) | (codes[1:] == 0xB7))
+        starts = np.flatnonzero(BETWEEN[codes])
+        ends = np.append(starts[1:], len(codes))
+        n = np.add.reduceat(other, starts, dtype=np.int32)
+        signed = (n == 1) & SIGN[codes[ends - 1]] & (ends - starts > 2)
+        extra = np.cumsum(signed)
+        place = np.arange(len(starts)) + extra - signed  # of each word among words and signs
+        bounds = np.full(len(starts) + extra[-1] + 1, len(codes), np.int32)
+        bounds[place], bounds[place[signed] + 1] = starts, ends[signed] - 1
+        words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        at = words.indices.to_numpy()
+        kind = np.zeros(len(words.dictionary), bool)
+        kind[at[place]] = n == signed
+        found = self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist(), kind.tolist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        taken = lengths[at]
+        upto = np.cumsum(taken)
+        shift = np.cumsum(lengths)[at] - upto  # from a place in the result to one among the different words' ids
+        ids = np.frombuffer(b"".join(found), self.kind)[np.arange(upto[-1]) + np.repeat(shift, taken)].tobytes()
+        firsts = np.searchsorted(starts, np.cumsum([0, *[len(x.encode()) + (x[0] != " ") for x in parts]])[:-1])
+        begin = (self.width * (upto - taken)[place[firsts]]).tolist()
+        return [ids[a if x[0] == " " else a + len(self.line) : b] for x, a, b in zip(parts, begin, [*begin[1:], len(ids)], strict=True)]
+
+    def plain(self, text: str) -> bool:
         """Words between single blanks and line feeds: a split always falls before a blank, and around a line feed, here."""
-        if len(self.spaced) > self.most:
-            self.spaced.clear()
-        get = self.spaced.get
-        words = part.replace("\n", " \n").split(" ")
-        found = list(map(get, words))
-        found[0] = self.known(words[0])
-        at = 0
-        for _ in range(found.count(None)):
-            at = found.index(None, at)
-            found[at] = get(words[at]) or self.learn(words[at])
-        return b"".join(found)
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return not any(c in text for c in RARE)
 
     def blocks(self, text: str) -> Iterator[bytes]:
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
@@ -161,7 +214,7 @@ class Tokens:
                 yield self.special[part]
             elif not part:
                 continue
-            elif part[0] in " \n" or part[-1] in " \n" or "  " in part or "\n\n" in part or " \n" in part or "\n " in part or self.rare.search(part):
+            elif not self.plain(part):
                 found = (m.group() for m in self.pieces.finditer(part))
                 while some := list(islice(found, 65_536)):
                     yield b"".join(map(self.known, some))
@@ -170,13 +223,34 @@ class Tokens:
                 while at < len(part):
                     end = part.find(" ", at + SLICE) if len(part) - at > SLICE else -1
                     end = len(part) if end < 0 else end
-                    yield self.simple(part[at:end])
+                    yield from self.together([part[at:end]])
                     at = end
 
     def ids(self, text: str) -> bytes:
         """The text's ids and the end id, little-endian."""
         return b"".join((*self.blocks(text), self.end))
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """`ids` of each text; plain ones are worked on together, up to a bounded number of characters."""
+        out, group, held = [b""] * len(texts), [], 0
+
+        def done():
+            for k, x in zip(group, self.together([texts[k] for k in group]), strict=True):
+                out[k] = x + self.end
+
+        for k, text in enumerate(texts):
+            if not text or len(text) > SLICE or any(s in text for s in self.special) or not self.plain(text):
+                out[k] = self.ids(text)
+                continue
+            group.append(k)
+            held += len(text)
+            if held > GROUP:
+                done()
+                group, held = [], 0
+        if group:
+            done()
+        return out
+
 
 _loaded: dict[TokenParams, Tokens] = {}
 
@@ -253,7 +327,8 @@ def ordered_ids(docs: DataFrame, p: TokenParams) -> DataFrame:
             _loaded[p] = Tokens(p)
         t = _loaded[p]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.ids(x.as_py() or "") for x in batch.column("text")], pa.binary())], names=["doc_id", "ids"])
+            ids = t.many([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     ranges = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")

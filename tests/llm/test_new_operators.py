@@ -275,6 +275,20 @@ def test_token_words_like_the_library():
         assert np.frombuffer(t.ids(text), "<u2").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
 
+def test_each_word_of_many_texts_goes_to_the_library_once():
+    """However little is remembered: the different words of texts that come together are looked up once, not text by text."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdeé", k=6)) + r.choice(["", "", ".", "'s", "\u4e2d", "7"]) for _ in range(300)]
+    texts = ["".join(r.choice(words) + r.choice("   \n") for _ in range(60)).strip() for _ in range(200)]
+    texts[7:9] = ["", "two  blanks <|endoftext|>"]
+    t, whole, learnt = token_ids.Tokens(TokenParams(BYTES, cached=10)), Tokenizer.from_file(BYTES), []
+    letters, others = t.letters, t.others
+    t.letters = lambda w: learnt.append(w) or letters(w)
+    t.others = lambda ws: learnt.extend(ws) or others(ws)
+    assert [np.frombuffer(x, "<u2").tolist() for x in t.many(texts)] == [[*whole.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert len(learnt) <= 2 * len(words) + 10  # behind a blank, at the start of a line, and those of the odd text
+
+
 def test_token_files_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_ids.read_tokens(spark, token_ids.write_tokens(docs, TokenParams(BYTES))).collect() == []

@@ -41,6 +41,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def octets(text) -> bytes:
+    """The bytes of an Arrow string, which need not be UTF-8; a null has none."""
+    held = text.as_buffer()
+    return held.to_pybytes() if held else b""
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows, found without counting further."""
     return df.limit(rows + 1).count() <= rows

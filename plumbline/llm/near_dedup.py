@@ -15,7 +15,8 @@ bucket with probability (1 - t^rows)^bands, below 1e-6 here.
 
 Cases: a null or blank text has an empty set, is linked with nothing and is its own component; with fewer than three
 words the whole sequence is the one shingle; null ids take part, and a component of null ids alone has a null id and
-keeps all its rows; rows that repeat are linked; an empty table gives an empty result; other columns are ignored.
+keeps all its rows; rows that repeat are linked; bytes that are not UTF-8 are compared as they are; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, join_small, small_enough
+from plumbline.llm.common import cut, join_small, octets, small_enough
 from plumbline.llm.components import components
 
 
@@ -57,12 +58,12 @@ def _multipliers(p: NearParams):
     return r[0] | np.uint64(1), r[1]
 
 
-def shingle_set(text: str, p: NearParams):
+def shingle_set(text: bytes, p: NearParams):
     """Sorted distinct hashes of the text's shingles."""
     import numpy as np
     import xxhash
 
-    words = text.encode().lower().split()  # of bytes: only A-Z are lowered, only ASCII white space splits
+    words = text.lower().split()  # of bytes: only A-Z are lowered, only ASCII white space splits
     if len(words) < p.shingle:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -119,7 +120,7 @@ def sketches(docs: DataFrame, p: NearParams) -> DataFrame:
         for batch in batches:
             sizes, prints, sigs = [], [], []
             for text in batch.column("text"):
-                s = shingle_set(text.as_py() or "", p)
+                s = shingle_set(octets(text), p)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(sketch(s, p).tobytes() if len(s) else None)
@@ -172,7 +173,7 @@ class _Pairs:
 
             for b in batches:
                 for node, seal, text in zip(b.column("node"), b.column("print"), b.column("text"), strict=True):
-                    s = shingle_set(text.as_py() or "", p).tobytes()
+                    s = shingle_set(octets(text), p).tobytes()
                     if hashlib.blake2b(s, digest_size=16).digest() == seal.as_py():  # a text hash may have other texts
                         yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([s], pa.binary())], names=["node", "set"])
 

@@ -8,8 +8,9 @@ number of groups follows from the tokens and the rows of all rests.
 Within a group rests go, longest first, into the first sequence with room, which a tournament tree over the free
 room of the sequences finds in logarithmic time.  Both bounds hold whatever the documents are, so a group fits one task.
 
-Cases: a null or blank text is the end id alone; null ids and rows that repeat are documents of their own; ties in
-length go by row number; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+Cases: a null or blank text is the end id alone; bytes that are not UTF-8 are read as U+FFFD; null ids and rows that
+repeat are documents of their own; ties in length go by row number; an empty table gives an empty result; columns
+beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, octets
 
 
 @dataclass(frozen=True)
@@ -174,7 +175,7 @@ def tokenize(docs: DataFrame, p: PackParams) -> DataFrame:
         for batch in batches:
             at, cols = [], ([], [], [], [])
             for k, text in enumerate(batch.column("text")):
-                found = pieces_of(text.as_py() or "", p)
+                found = pieces_of(octets(text).decode(errors="replace"), p)
                 tokens = found[-1][0] + found[-1][1]
                 at += [k] * len(found)
                 for col, values in zip(cols, (*zip(*found, strict=True), [tokens] * len(found)), strict=True):

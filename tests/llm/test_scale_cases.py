@@ -410,6 +410,24 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     assert {r.doc_id for r in out} <= {r[0] for r in rows} and len({(r.doc_id, r.start) for r in out}) == len(out)
 
 
+def test_pipeline_on_texts_that_are_not_utf8(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    say = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(80)).encode()
+    texts = [say() for _ in range(30)]
+    texts[3], texts[5] = texts[3] + b" \xff\xfe\x80", texts[5][:200] + b"\xed\xa0\x80" + texts[5][200:]
+    texts += [texts[3], texts[5]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text binary").select("doc_id", F.col("text").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    tok = Tokenizer.from_file(WORDS)
+    want = {k: [*tok.encode(t.decode(errors="replace"), add_special_tokens=False).ids, 2] for k, t in enumerate(texts[:30])}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(k, len(ids), crc(ids)) for k, ids in want.items()]
+
+
 def test_packing_of_many_short_documents(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     got = packing.pack(docs, packing.PackParams(WORDS, group_rows=100)).collect()
